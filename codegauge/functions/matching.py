@@ -13,8 +13,6 @@ from pyspark.sql import Column, functions as F
 from codegauge.functions import text as T
 from codegauge.functions.rulebook import PENALTY, RULES, Rule, by_lang, text_precondition
 
-NO_RULE = F.lit(None)
-
 
 def _per_lang(lang: Column, packs: dict[str, list[Rule]], build, default: Column) -> Column:
     out = None

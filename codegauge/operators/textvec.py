@@ -12,7 +12,7 @@ from pyspark.ml.feature import CountVectorizerModel, SQLTransformer
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codegauge.functions import ngrams as N
 
@@ -46,18 +46,18 @@ def tfidf_sublinear(docs: DataFrame, lo: int, hi: int, k: int, id_col: str = "do
     base = docs.select(id_col, "text")
     spread = base.repartition(F.col(id_col))
     vocab = F.broadcast(top_vocabulary(base, lo, hi, k).select("term"))
-    tf = (
-        spread.select(id_col, F.explode(N.char_wb_ngrams(F.col("text"), lo, hi)).alias("term"))
-        .join(vocab, "term", "left_semi")
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    doc_freq = F.broadcast(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    grams = N.char_wb_ngrams(F.col("text"), lo, hi)
+    doc_freq = F.broadcast(
+        base.select(F.explode(F.array_distinct(grams)).alias("term")).join(vocab, "term", "left_semi")
+        .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
-    raw = tf.join(doc_freq, "term").select(
-        id_col, "term", "tf",
-        ((1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-    norms = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, id_col).select(id_col, "term", "tf", (F.col("w") / F.col("norm")).alias("weight"))
+    raw = (
+        spread.select(id_col, F.explode(grams).alias("term")).join(doc_freq, "term")
+        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("df").alias("df"))
+        .withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
+    )
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return raw.select(id_col, "term", "tf", (F.col("w") / norm).alias("weight"))
 
 
 class TfidfScaler(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
