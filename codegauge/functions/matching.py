@@ -1,118 +1,135 @@
 """Rule packs unrolled into literal-pattern expressions.
 
 A pattern column would be compiled for every row; a literal is compiled once per task. The
-outer CASE on the language keeps a row to its own pack.
+outer CASE on the language keeps a row to its own pack. The expressions are written as SQL text
+over column names: a pack has dozens of branches, and one parse is far cheaper than thousands of
+calls into the JVM.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
 from codegauge.functions import text as T
 from codegauge.functions.rulebook import PENALTY, RULES, Rule, by_lang, text_precondition
+from codegauge.functions.text import quote
 
+MASK_LIMIT = 62
+_OWNED_TYPE = "array<struct<ord:int,line_no:int,line:string>>"
 
-def _per_lang(lang: Column, packs: dict[str, list[Rule]], build, default: Column) -> Column:
-    out = None
+
+def _per_lang(lang: str, rules: list[Rule], build: Callable[[list[Rule]], str], default: str) -> str:
+    packs = by_lang(rules)
     for name, pack in packs.items():
-        value = build(pack)
-        out = F.when(lang == name, value) if out is None else out.when(lang == name, value)
-    return default if out is None else out.otherwise(default)
+        if len(pack) > MASK_LIMIT:
+            raise ValueError(f"{name}: more than {MASK_LIMIT} rules do not fit one mask; pass a rule table")
+    if not packs:
+        return default
+    branches = " ".join(f"WHEN {quote(name)} THEN {build(pack)}" for name, pack in packs.items())
+    return f"CASE {lang} {branches} ELSE {default} END"
 
 
-def _bits(flags: list[Column]) -> Column:
-    parts = [F.when(flag, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, flag in enumerate(flags)]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+def _test(text: str, pattern: str) -> str:
+    return f"{text} RLIKE {quote(T.rx(pattern))}"
 
 
-def _has_bit(mask: Column, i: int) -> Column:
-    return mask.bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
+def _bit(i: int) -> str:
+    return f"{1 << i}L"
 
 
-def rule_hits(code: Column, lang: Column, rules: list[Rule] = RULES) -> Column:
+def rule_hits(code: str = "code", lang: str = "lang", rules: list[Rule] = RULES) -> Column:
     """BIGINT: bit i is set when the i-th rule of the language matches anywhere in the text."""
-    _check_width(rules)
-    return _per_lang(
-        lang, by_lang(rules), lambda pack: _bits([code.rlike(T.rx(r.pattern)) for r in pack]),
-        F.lit(0).cast("bigint"),
-    )
+    def build(pack: list[Rule]) -> str:
+        return "(" + " | ".join(f"if({_test(code, r.pattern)}, {_bit(i)}, 0L)" for i, r in enumerate(pack)) + ")"
+
+    return F.expr(_per_lang(lang, rules, build, "0L"))
 
 
-def line_candidates(code: Column, lang: Column, hits: Column, rules: list[Rule] = RULES) -> Column:
+def line_candidates(code: str = "code", lang: str = "lang", hits: str = "hits",
+                    rules: list[Rule] = RULES) -> Column:
     """BIGINT: rules that can own a line of the text, a superset of `hits`.
 
     Only rules whose whole-text match is stricter than their line match are searched again.
     """
-    _check_width(rules)
-
-    def build(pack: list[Rule]) -> Column:
-        extra = [F.lit(0).cast("bigint")]
+    def build(pack: list[Rule]) -> str:
+        parts = [hits]
         for i, rule in enumerate(pack):
             core = text_precondition(rule.pattern)
-            if core == rule.pattern:
-                continue
-            bit = F.lit(1 << i).cast("bigint")
-            extra.append(bit if core is None else
-                         F.when(code.rlike(T.rx(core)), bit).otherwise(F.lit(0).cast("bigint")))
-        return reduce(lambda a, b: a.bitwiseOR(b), extra)
-
-    return hits.bitwiseOR(_per_lang(lang, by_lang(rules), build, F.lit(0).cast("bigint")))
+            if core is None:
+                parts.append(_bit(i))
+            elif core != rule.pattern:
+                parts.append(f"if({_test(code, core)}, {_bit(i)}, 0L)")
+        return "(" + " | ".join(parts) + ")"
 
+    return F.expr(_per_lang(lang, rules, build, hits))
 
-def _check_width(rules: list[Rule]) -> None:
-    for name, pack in by_lang(rules).items():
-        if len(pack) > 62:
-            raise ValueError(f"{name}: more than 62 rules do not fit one mask; pass a rule table")
 
+def penalty(hits: str = "hits", lang: str = "lang", rules: list[Rule] = RULES) -> Column:
+    """Points lost: the bits of each severity are counted at once."""
+    def build(pack: list[Rule]) -> str:
+        parts = []
+        for severity, points in PENALTY.items():
+            mask = sum(1 << i for i, r in enumerate(pack) if r.severity == severity)
+            if mask:
+                parts.append(f"bit_count({hits} & {mask}L) * {points}")
+        return "(" + " + ".join(parts) + ")"
 
-def penalty(hits: Column, lang: Column, rules: list[Rule] = RULES) -> Column:
-    def build(pack: list[Rule]) -> Column:
-        return reduce(lambda a, b: a + b,
-                      [F.when(_has_bit(hits, i), PENALTY[r.severity]).otherwise(0)
-                       for i, r in enumerate(pack)])
+    return F.expr(_per_lang(lang, rules, build, "0"))
 
-    return _per_lang(lang, by_lang(rules), build, F.lit(0))
 
-
-def hit_ids(hits: Column, lang: Column, rules: list[Rule] = RULES) -> Column:
+def hit_ids(hits: str = "hits", lang: str = "lang", rules: list[Rule] = RULES) -> Column:
     """ARRAY<STRING> of the rules in a hit mask, in pack order."""
-    def build(pack: list[Rule]) -> Column:
-        return F.array_compact(F.array(*[F.when(_has_bit(hits, i), F.lit(r.rule_id))
-                                         for i, r in enumerate(pack)]))
+    def build(pack: list[Rule]) -> str:
+        return "array_compact(array(" + ", ".join(
+            f"if(({hits} & {_bit(i)}) <> 0, {quote(r.rule_id)}, NULL)" for i, r in enumerate(pack)) + "))"
 
-    return _per_lang(lang, by_lang(rules), build, F.array().cast("array<string>"))
+    return F.expr(_per_lang(lang, rules, build, "CAST(array() AS array<string>)"))
 
 
-def owned_lines(code: Column, lang: Column, candidates: Column, rules: list[Rule] = RULES) -> Column:
+def owned_lines(code: str = "code", lang: str = "lang", candidates: str = "candidates",
+                rules: list[Rule] = RULES) -> Column:
     """ARRAY<STRUCT<ord, line_no, line>>: each line with the first rule of the pack that hits it.
 
     Row-local, so neither a shuffle nor a regrouping by document is needed. Documents without
     a candidate rule are not split at all, and a line is tested against candidates only.
     """
-    empty = F.array().cast("array<struct<ord:int,line_no:int,line:string>>")
-
-    def build(pack: list[Rule]) -> Column:
-        def owner(line: Column, i: Column) -> Column:
-            first = F.coalesce(*[
-                F.when(_has_bit(candidates, k) & line.rlike(T.rx(r.pattern)), F.lit(k))
-                for k, r in enumerate(pack)
-            ])
-            return F.struct(first.alias("ord"), (i + 1).alias("line_no"), line.alias("line"))
+    empty = f"CAST(array() AS {_OWNED_TYPE})"
 
-        found = F.filter(F.transform(T.split_lines(code), owner), lambda x: x["ord"].isNotNull())
-        return F.transform(found, lambda x: F.struct(
-            x["ord"].alias("ord"), x["line_no"].alias("line_no"), T.strip(x["line"]).alias("line")))
+    def build(pack: list[Rule]) -> str:
+        first = "coalesce(" + ", ".join(
+            f"if(({candidates} & {_bit(i)}) <> 0 AND {_test('x', r.pattern)}, {i}, NULL)"
+            for i, r in enumerate(pack)) + ")"
+        found = (f"filter(transform({T.split_lines_sql(code)}, (x, i) -> "
+                 f"named_struct('ord', {first}, 'line_no', i + 1, 'line', x)), f -> f.ord IS NOT NULL)")
+        return (f"transform({found}, f -> named_struct('ord', f.ord, 'line_no', f.line_no, "
+                f"'line', {T.strip_sql('f.line')}))")
 
-    return F.when(candidates == 0, empty).otherwise(_per_lang(lang, by_lang(rules), build, empty))
+    return F.expr(f"if({candidates} = 0, {empty}, {_per_lang(lang, rules, build, empty)})")
 
 
-def pick(lang: Column, ord_: Column, field: str, rules: list[Rule] = RULES) -> Column:
+def pick_sql(lang: str, ord_: str, field: str, rules: list[Rule] = RULES) -> str:
     """A rule attribute (rule_id, severity, message) by language and position: array indexing."""
-    cast = "int" if field == "severity" else "string"
-    return _per_lang(
-        lang, by_lang(rules),
-        lambda pack: F.get(F.array(*[F.lit(getattr(r, field)) for r in pack]), ord_),
-        F.lit(None).cast(cast),
-    )
+    def literal(rule: Rule) -> str:
+        value = getattr(rule, field)
+        return str(value) if isinstance(value, int) else quote(value)
+
+    return _per_lang(lang, rules,
+                     lambda pack: f"get(array({', '.join(literal(r) for r in pack)}), {ord_})", "NULL")
+
+
+def pick(field: str, lang: str = "lang", ord_: str = "ord", rules: list[Rule] = RULES) -> Column:
+    return F.expr(pick_sql(lang, ord_, field, rules))
+
+
+def report_entries(lang: str = "lang", owned: str = "owned", rules: list[Rule] = RULES) -> Column:
+    """ARRAY<STRING> of report entries, in (rule order, line) order."""
+    from codegauge.functions.score import ENTRY_SQL
+
+    def build(pack: list[Rule]) -> str:
+        severity = f"get(array({', '.join(str(r.severity) for r in pack)}), f.ord)"
+        message = f"get(array({', '.join(quote(r.message) for r in pack)}), f.ord)"
+        return f"transform(sort_array({owned}), f -> {ENTRY_SQL.format(severity=severity, message=message)})"
+
+    return F.expr(_per_lang(lang, rules, build, "CAST(array() AS array<string>)"))

@@ -20,6 +20,13 @@ HEALTH_BANDS = [(85, "Good Stand"), (50, "Needs Work"), (0, "Critical")]
 SECURITY_WORDS = ["sql", "inject", "xss", "password", "hardcoded", "shell", "pickle", "rce",
                   "innerhtml", "localstorage"]
 
+# Fixed value: the two lines of a report entry, over a finding `f` and its rule's attributes.
+ENTRY_SQL = (
+    "concat(CASE {severity} WHEN 3 THEN '" + RED + "' WHEN 2 THEN '" + YELLOW + "' ELSE '" + BLUE + "' END, "
+    "' Line ', lpad(CAST(f.line_no AS string), greatest(3, length(CAST(f.line_no AS string))), ' '), "
+    "':  ', f.line, '\n           =>  ', {message})"
+)
+
 
 def severity_icon(severity: Column) -> Column:
     return F.when(severity == 3, RED).when(severity == 2, YELLOW).otherwise(BLUE)

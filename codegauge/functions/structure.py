@@ -17,7 +17,7 @@ _STRING_OR_COMMENT = (
     r'(?s)"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|\z)' r"|'''(?:[^'\\]|\\.|'(?!''))*+(?:'''|\z)"
     r'|"(?:[^"\\\n]|\\.)*+"' r"|'(?:[^'\\\n]|\\.)*+'" r"|#[^\n]*"
 )
-_DEF = r"(?m)^[^\S\n]*def\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*+)\)"
+_DEF = r"(?m)^([^\S\n]*)def\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*+)\)"
 _KEYWORD_ONLY = r"(?s)(?:^|,)\s*\*.*"
 _MUTABLE = r"[^=!<>]=\s*[\[{]"
 _ZERO = r"^\s*0+(?:\.0*)?(?:[^\w.]|\z)"
@@ -25,22 +25,40 @@ _HEADER = r"^\s*def\s+(\w+)\s*\("
 _CALL = r"(?<![\w.])(\w+)\s*\("
 _NEVER_CLOSES = 1 << 30
 
+# Necessary conditions on the raw text.
+MAYBE_MUTABLE = T.rx(r"=\s*[\[{]")
+MAYBE_ZERO = T.rx(r"/\s*0")
+_MAYBE_RECURSIVE = T.rx(r"(?s)\bdef\s+(\w+)\s*\(.*?\b\1\s*\(")
+_LONG_TEXT = 100_000
+
+
+def may_recurse(code: Column) -> Column:
+    """Some function name is followed by a bracket again. Long text is not searched for it: one
+    search per function would cost more there than the exact pass."""
+    return (F.length(code) > _LONG_TEXT) | code.rlike(_MAYBE_RECURSIVE)
+
 
 def skeleton(code: Column) -> Column:
     return F.regexp_replace(T.unify_breaks(code), _STRING_OR_COMMENT, "''")
 
 
+def _in_tree_order(found: Column) -> Column:
+    """Outer functions first, then by position: the order of a breadth-first walk."""
+    return F.sort_array(found)
+
+
 def mutable_defaults(skel: Column) -> Column:
     """ARRAY<STRING>: the function name once per list, dict or set default of a positional parameter."""
-    names = F.regexp_extract_all(skel, F.lit(T.rx(_DEF)), F.lit(1))
-    params = F.regexp_extract_all(skel, F.lit(T.rx(_DEF)), F.lit(2))
+    lead, names, params = (F.regexp_extract_all(skel, F.lit(T.rx(_DEF)), F.lit(g)) for g in (1, 2, 3))
+    headers = F.arrays_zip(lead.alias("lead"), names.alias("name"), params.alias("args"))
 
-    def per_function(name: Column, args: Column) -> Column:
-        positional = F.regexp_replace(args, T.rx(_KEYWORD_ONLY), "")
-        count = F.size(F.regexp_extract_all(positional, F.lit(T.rx(_MUTABLE)), F.lit(0)))
-        return F.array_repeat(name, count)
+    def count(x: Column, i: Column) -> Column:
+        positional = F.regexp_replace(x["args"], T.rx(_KEYWORD_ONLY), "")
+        n = F.size(F.regexp_extract_all(positional, F.lit(T.rx(_MUTABLE)), F.lit(0)))
+        return F.struct(F.length(x["lead"]).alias("indent"), i.alias("pos"), x["name"].alias("name"), n.alias("n"))
 
-    return F.flatten(F.zip_with(names, params, per_function))
+    ordered = _in_tree_order(F.transform(headers, count))
+    return F.flatten(F.transform(ordered, lambda x: F.array_repeat(x["name"], x["n"])))
 
 
 def zero_divisions(skel: Column) -> Column:
@@ -71,26 +89,29 @@ def unguarded_recursion(skel: Column) -> Column:
     One pass over the lines keeps the stack of open functions; a function closes at the first
     line indented no deeper than its header. Nested lines count for every open function.
     """
-    open_type = "array<struct<name:string,indent:int,rec:boolean,guarded:boolean>>"
-    start = F.struct(F.array().cast(open_type).alias("open"), F.array().cast("array<string>").alias("found"))
+    frame = "struct<indent:int,pos:int,name:string,rec:boolean,guarded:boolean>"
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{frame}>").alias("open"),
+                     F.array().cast(f"array<{frame}>").alias("found"))
 
     def faulty(frames: Column) -> Column:
-        return F.transform(F.filter(frames, lambda f: f["rec"] & ~f["guarded"]), lambda f: f["name"])
+        return F.filter(frames, lambda f: f["rec"] & ~f["guarded"])
 
     def step(state: Column, x: Column) -> Column:
         still = F.filter(state["open"], lambda f: f["indent"] < x["indent"])
         closed = F.filter(state["open"], lambda f: f["indent"] >= x["indent"])
         updated = F.transform(still, lambda f: F.struct(
-            f["name"].alias("name"), f["indent"].alias("indent"),
+            f["indent"].alias("indent"), f["pos"].alias("pos"), f["name"].alias("name"),
             (f["rec"] | F.array_contains(x["calls"], f["name"])).alias("rec"),
             (f["guarded"] | x["is_if"]).alias("guarded")))
         opened = F.array(F.struct(
-            x["name"].alias("name"), x["indent"].alias("indent"),
+            x["indent"].alias("indent"), state["pos"].alias("pos"), x["name"].alias("name"),
             F.array_contains(x["calls"], x["name"]).alias("rec"), F.lit(False).alias("guarded")))
         return F.struct(
+            (state["pos"] + 1).alias("pos"),
             F.when(x["name"] != "", F.concat(updated, opened)).otherwise(updated).alias("open"),
             F.when(F.size(closed) == 0, state["found"])
             .otherwise(F.concat(state["found"], faulty(closed))).alias("found"))
 
     facts = F.transform(F.split(skel, "\n", -1), _line_facts)
-    return F.aggregate(facts, start, step, lambda s: F.concat(s["found"], faulty(s["open"])))
+    found = F.aggregate(facts, start, step, lambda s: F.concat(s["found"], faulty(s["open"])))
+    return F.transform(_in_tree_order(found), lambda f: f["name"])

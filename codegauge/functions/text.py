@@ -12,6 +12,8 @@ BLANKS = (
 )
 ODD_BREAKS = r"\r\n|[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
+TRAILING_BREAK = r"\n\z"
+
 # Java flags: `.` stops at \n only (d); \w, \b and \s follow Unicode (U).
 FLAGS = "(?dU)"
 FLAGS_ANYCASE = "(?idU)"
@@ -22,6 +24,22 @@ def rx(pattern: str) -> str:
     return FLAGS + pattern
 
 
+def quote(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip_sql(text: str) -> str:
+    return f"btrim({text}, {quote(BLANKS)})"
+
+
+def split_lines_sql(text: str) -> str:
+    """`split_lines` as SQL text, for use inside larger expressions."""
+    unified = f"regexp_replace({text}, {quote(ODD_BREAKS)}, '\n')"
+    joined = f"regexp_replace({unified}, {quote(TRAILING_BREAK)}, '')"
+    return f"if({text} = '', CAST(array() AS array<string>), split({joined}, '\n', -1))"
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -38,7 +56,7 @@ def unify_breaks(text: Column) -> Column:
 def joined_lines(text: Column) -> Column:
     """The lines of the text joined by newlines: one trailing break is lost."""
     unified = unify_breaks(text)
-    return F.regexp_replace(unified, r"\n\z", "")
+    return F.regexp_replace(unified, TRAILING_BREAK, "")
 
 
 def split_lines(text: Column) -> Column:

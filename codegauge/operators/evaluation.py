@@ -58,9 +58,10 @@ def classification_report(pred: DataFrame, label_col: str = "label", pred_col: s
 def balanced_weights(df: DataFrame, label_col: str = "has_bug") -> DataFrame:
     """Adds `weight` = n / (2 * n_class) for a 0/1 label.
 
-    The class counts are one row, read as scalar subqueries: no join, whatever the class sizes.
+    The class counts are one row, read as a scalar subquery: no join, whatever the class sizes.
     """
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label_col) == 1).alias("ones"))
-    n, ones = counts.select("n").scalar(), counts.select("ones").scalar()
+    counts = df.agg(F.struct(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(label_col) == 1).alias("ones")).alias("counts")).scalar()
+    n, ones = counts["n"], counts["ones"]
     size = F.when(F.col(label_col) == 1, ones).otherwise(n - ones)
     return df.withColumn("weight", n / (size * 2))

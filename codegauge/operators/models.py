@@ -17,6 +17,7 @@ from codegauge.session import ensure_checkpoint_dir
 
 TREES, DEPTH, RATE, SEED = 120, 4, 0.1, 42
 TREE_FEATURES = 1000
+TOLERANCE = 1e-4
 
 
 def with_text(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
@@ -38,7 +39,7 @@ def train_basic(train: DataFrame, max_iter: int = 1000) -> PipelineModel:
     try:
         n = vectors.count()
         fitted = LogisticRegression(
-            maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
+            maxIter=max_iter, tol=TOLERANCE, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
             weightCol="weight").fit(vectors)
     finally:
         vectors.unpersist()

@@ -9,20 +9,16 @@ from codegauge.functions.rulebook import RULES, Rule
 
 # A rule table up to this many rows is read and unrolled into literals.
 UNROLL_LIMIT = 2000
-MASK_LIMIT = 62
 
 
 def with_hits(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    return df.withColumn("hits", M.rule_hits(F.col("code"), F.col("lang"), rules))
+    return df.withColumn("hits", M.rule_hits(rules=rules))
 
 
 def with_owned_lines(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Adds `hits` (whole text) and `owned` (array of lines with their rule)."""
-    scanned = with_hits(df, rules).withColumn(
-        "candidates", M.line_candidates(F.col("code"), F.col("lang"), F.col("hits"), rules))
-    return scanned.withColumn(
-        "owned", M.owned_lines(F.col("code"), F.col("lang"), F.col("candidates"), rules)
-    ).drop("candidates")
+    scanned = with_hits(df, rules).withColumn("candidates", M.line_candidates(rules=rules))
+    return scanned.withColumn("owned", M.owned_lines(rules=rules)).drop("candidates")
 
 
 def explode_lines(df: DataFrame) -> DataFrame:
@@ -34,15 +30,14 @@ def explode_lines(df: DataFrame) -> DataFrame:
 
 def line_findings(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(doc_id, lang, line_no, ord, rule_id, severity, line): a line belongs to its first rule."""
+    # Outer generators throughout: an inner one makes the optimizer push "array not empty" below
+    # the projections, which would evaluate the scan a second time.
     rows = with_owned_lines(df.select("doc_id", "lang", "code"), rules).select(
-        "doc_id", "lang", F.inline("owned"))
+        "doc_id", "lang", F.inline_outer("owned")).filter("line_no is not null")
     return rows.select(
-        "doc_id", "lang", "line_no", "ord",
-        M.pick(F.col("lang"), F.col("ord"), "rule_id", rules).alias("rule_id"),
-        M.pick(F.col("lang"), F.col("ord"), "severity", rules).alias("severity"),
-        M.pick(F.col("lang"), F.col("ord"), "message", rules).alias("message"),
-        "line",
-    )
+        "doc_id", "lang", "line_no", "ord", M.pick("rule_id", rules=rules).alias("rule_id"),
+        M.pick("severity", rules=rules).alias("severity"), M.pick("message", rules=rules).alias("message"),
+        "line")
 
 
 def line_findings_from_table(df: DataFrame, rules: DataFrame) -> DataFrame:
@@ -55,7 +50,7 @@ def line_findings_from_table(df: DataFrame, rules: DataFrame) -> DataFrame:
     small = rules.select("rule_id", "lang", "ord", "pattern", "severity", "message").limit(
         UNROLL_LIMIT + 1).collect()
     widest = max((sum(1 for r in small if r.lang == lang) for lang in {r.lang for r in small}), default=0)
-    if len(small) <= UNROLL_LIMIT and widest <= MASK_LIMIT:
+    if len(small) <= UNROLL_LIMIT and widest <= M.MASK_LIMIT:
         return _unrolled(df, small)
     lines = explode_lines(df.select("doc_id", "lang", "code"))
     dims = rules.select(F.col("lang").alias("_lang"), F.col("ord").alias("_ord"),
@@ -89,19 +84,9 @@ def _unrolled(df: DataFrame, rows: list) -> DataFrame:
 
 def doc_rule_hits(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(doc_id, lang, rule_id): rules matching anywhere in the whole text, each once."""
-    return with_hits(df.select("doc_id", "lang", "code"), rules).filter(F.col("hits") != 0).select(
-        "doc_id", "lang", F.explode(M.hit_ids(F.col("hits"), F.col("lang"), rules)).alias("rule_id"))
-
-
-def report_parts(lang: Column, owned: Column, rules: list[Rule] = RULES) -> Column:
-    """ARRAY<STRING> of report entries, in (rule order, line) order."""
-    def entry(x: Column) -> Column:
-        severity = M.pick(lang, x["ord"], "severity", rules)
-        return F.concat(
-            F.format_string("%s Line %3d:  ", S.severity_icon(severity), x["line_no"]), x["line"],
-            F.lit("\n           =>  "), M.pick(lang, x["ord"], "message", rules))
-
-    return F.transform(F.sort_array(owned), entry)
+    return with_hits(df.select("doc_id", "lang", "code"), rules).select(
+        "doc_id", "lang", F.explode_outer(M.hit_ids(rules=rules)).alias("rule_id")
+    ).filter("rule_id is not null")
 
 
 def report_text(parts: Column) -> Column:
@@ -111,4 +96,5 @@ def report_text(parts: Column) -> Column:
 def fault_report(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(doc_id, report): the rule findings of a document as text, row-local."""
     return with_owned_lines(df.select("doc_id", "lang", "code"), rules).select(
-        "doc_id", report_text(report_parts(F.col("lang"), F.col("owned"), rules)).alias("report"))
+        "doc_id", M.report_entries(rules=rules).alias("parts")
+    ).select("doc_id", report_text(F.col("parts")).alias("report"))

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codegauge.functions import matching as M, score as S
+from codegauge.functions import matching as M, score as S, text as T
 from codegauge.functions.rulebook import LINT_PENALTY, RULES, STRUCTURE_PENALTY, Rule
 from codegauge.operators import scan, structure
 
 
-def base_score_column(hits: Column, lang: Column, structure_n: Column, lint_n: Column,
-                      rules: list[Rule] = RULES) -> Column:
-    lost = (M.penalty(hits, lang, rules) + structure_n * STRUCTURE_PENALTY + lint_n * LINT_PENALTY)
+def base_score_column(structure_n: Column, lint_n: Column, rules: list[Rule] = RULES) -> Column:
+    """Over a row with `hits` and `lang`."""
+    lost = (M.penalty(rules=rules) + structure_n * STRUCTURE_PENALTY + lint_n * LINT_PENALTY)
     return S.clamp(F.lit(100) - lost)
 
 
@@ -31,8 +31,7 @@ def base_score(df: DataFrame, log: DataFrame | None = None, rules: list[Rule] =
         scan.with_hits(df.select("doc_id", "lang", "code"), rules)), log)
     return scanned.select(
         "doc_id", "lang",
-        base_score_column(F.col("hits"), F.col("lang"), structure.structure_count(F.col("structure")),
-                          F.size("lint"), rules).alias("base_score"))
+        base_score_column(structure.structure_count(F.col("structure")), F.size("lint"), rules).alias("base_score"))
 
 
 def all_findings(df: DataFrame, log: DataFrame | None = None) -> DataFrame:
@@ -48,8 +47,8 @@ def all_findings(df: DataFrame, log: DataFrame | None = None) -> DataFrame:
         "severity", "line", "message")
     tree = structure.with_structure(base.filter(F.col("lang") == "python")).select(
         "doc_id", F.lit(2).alias("source"),
-        F.posexplode(structure.structure_messages(F.col("structure"))).alias("pos", "message")
-    ).select("doc_id", "source", F.col("pos").cast("bigint").alias("pos"), F.lit(3).alias("severity"),
+        F.posexplode_outer(structure.structure_messages(F.col("structure"))).alias("pos", "message")
+    ).filter("pos is not null").select("doc_id", "source", F.col("pos").cast("bigint").alias("pos"), F.lit(3).alias("severity"),
              F.lit("AST").alias("line"), "message")
     out = rules.unionByName(tree)
     if log is not None:
@@ -70,7 +69,6 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 def text_counts(report: Column) -> list[Column]:
     """The counts as the report text shows them; an icon quoted in code counts as well."""
-    from codegauge.functions import text as T
     return [
         T.occurrences(report, S.RED).alias("critical_count"),
         (T.occurrences(report, S.YELLOW) + T.occurrences(report, S.BLUE)).cast("int").alias("optims_count"),

@@ -18,16 +18,15 @@ _STRUCT_TYPE = "struct<mutable:array<string>,recursive:array<string>,zero_divs:i
 def structure_facts(code: Column, lang: Column) -> Column:
     """STRUCT<mutable, recursive, zero_divs>; only Python has them.
 
-    Each check is guarded by a cheap substring test, so text without functions or slashes
-    skips the work.
+    Each check is guarded by a necessary condition on the raw text, so most text skips the work.
     """
     skel = X.skeleton(code)
     none = F.array().cast("array<string>")
     has_def = F.contains(code, F.lit("def"))
     facts = F.struct(
-        F.when(has_def & code.rlike(r"=\s*[\[{]"), X.mutable_defaults(skel)).otherwise(none).alias("mutable"),
-        F.when(has_def, X.unguarded_recursion(skel)).otherwise(none).alias("recursive"),
-        F.when(code.rlike(r"/[\s]*0"), X.zero_divisions(skel)).otherwise(0).cast("int").alias("zero_divs"),
+        F.when(has_def & code.rlike(X.MAYBE_MUTABLE), X.mutable_defaults(skel)).otherwise(none).alias("mutable"),
+        F.when(has_def & X.may_recurse(code), X.unguarded_recursion(skel)).otherwise(none).alias("recursive"),
+        F.when(code.rlike(X.MAYBE_ZERO), X.zero_divisions(skel)).otherwise(0).cast("int").alias("zero_divs"),
     )
     empty = F.struct(none.alias("mutable"), none.alias("recursive"), F.lit(0).alias("zero_divs"))
     return F.when(lang == "python", facts).otherwise(empty).cast(_STRUCT_TYPE)
@@ -52,18 +51,19 @@ def with_structure(df: DataFrame) -> DataFrame:
 
 def mutable_default_findings(df: DataFrame) -> DataFrame:
     return with_structure(df.select("doc_id", "lang", "code")).select(
-        "doc_id", F.explode("structure.mutable").alias("function_name"))
+        "doc_id", F.explode_outer("structure.mutable").alias("function_name")).filter("function_name is not null")
 
 
 def unbounded_recursion_findings(df: DataFrame) -> DataFrame:
     return with_structure(df.select("doc_id", "lang", "code")).select(
-        "doc_id", F.explode("structure.recursive").alias("function_name"))
+        "doc_id", F.explode_outer("structure.recursive").alias("function_name")).filter("function_name is not null")
 
 
 def literal_zero_division_findings(df: DataFrame) -> DataFrame:
-    """(doc_id, occurrence): one row per division."""
-    return with_structure(df.select("doc_id", "lang", "code")).filter("structure.zero_divs > 0").select(
-        "doc_id", F.explode(F.sequence(F.lit(1), F.col("structure.zero_divs"))).alias("occurrence"))
+    """(doc_id, occurrence): one row per division, numbered from 1."""
+    numbers = F.when(F.col("structure.zero_divs") > 0, F.sequence(F.lit(1), F.col("structure.zero_divs")))
+    return with_structure(df.select("doc_id", "lang", "code")).select(
+        "doc_id", F.explode_outer(numbers).alias("occurrence")).filter("occurrence is not null")
 
 
 def lint_log_findings(log: DataFrame) -> DataFrame:

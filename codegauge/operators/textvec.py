@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizerModel, SQLTransformer
@@ -37,23 +36,38 @@ def top_vocabulary(texts: DataFrame, lo: int, hi: int, k: int) -> DataFrame:
     return term_counts(texts, lo, hi).orderBy(F.desc("freq"), "term").limit(k)
 
 
+def with_doc_terms(docs: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Replaces `text` by `terms`, ARRAY<STRUCT<term, tf>>: the counts are run lengths of the sorted
+    n-grams, so a document is counted inside its own row, without a shuffle."""
+    rest = [c for c in docs.columns if c != "text"]
+    grams = docs.select(*rest, F.sort_array(N.char_wb_ngrams(F.col("text"), lo, hi)).alias("s"))
+    starts = grams.withColumn("p", F.expr(
+        "filter(transform(s, (x, i) -> if(i = 0 OR x <> get(s, i - 1), i, NULL)), i -> i IS NOT NULL)"))
+    return starts.select(*rest, F.expr(
+        "transform(p, (i, j) -> named_struct('term', get(s, i), "
+        "'tf', CAST(coalesce(get(p, j + 1), size(s)) - i AS bigint)))").alias("terms"))
+
+
+def _vocabulary_with_df(terms: DataFrame, k: int) -> DataFrame:
+    """(term, df) of the k most frequent terms: both counts come from one pass."""
+    return (
+        terms.select(F.inline_outer("terms")).filter("term is not null")
+        .groupBy("term").agg(F.sum("tf").alias("freq"), F.count(F.lit(1)).alias("df"))
+        .orderBy(F.desc("freq"), "term").limit(k).select("term", "df"))
+
+
 def tfidf_sublinear(docs: DataFrame, lo: int, hi: int, k: int, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, term, tf, weight) in long form: (1 + ln tf) * (ln((1+n)/(1+df)) + 1), L2 per document.
 
-    Documents are hashed by id once, as text; counting terms and the norm then reuse that
-    partitioning. The vocabulary has at most k rows, which bounds both broadcasts.
+    Documents are hashed by id once, as text; the norm reuses that partitioning. The vocabulary
+    has at most k rows, which bounds its broadcast.
     """
     base = docs.select(id_col, "text")
-    spread = base.repartition(F.col(id_col))
-    vocab = F.broadcast(top_vocabulary(base, lo, hi, k).select("term"))
-    grams = N.char_wb_ngrams(F.col("text"), lo, hi)
-    doc_freq = F.broadcast(
-        base.select(F.explode(F.array_distinct(grams)).alias("term")).join(vocab, "term", "left_semi")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    vocab = F.broadcast(_vocabulary_with_df(with_doc_terms(base, lo, hi), k))
     n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
     raw = (
-        spread.select(id_col, F.explode(grams).alias("term")).join(doc_freq, "term")
-        .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("df").alias("df"))
+        with_doc_terms(base.repartition(F.col(id_col)), lo, hi)
+        .select(id_col, F.inline_outer("terms")).join(vocab, "term")
         .withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
@@ -73,13 +87,17 @@ class TfidfScaler(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
     def _transform(self, dataset: DataFrame) -> DataFrame:
         idf = np.asarray(self.getOrDefault(self.idf))
 
-        @F.udf(VectorUDT(), useArrow=False)
+        @F.udf(VectorUDT(), useArrow=True)
         def scale(v):
             w = (1.0 + np.log(v.values)) * idf[v.indices]
             norm = math.sqrt(float(w @ w))
             return SparseVector(v.size, v.indices, w / norm if norm else w)
 
-        return dataset.withColumn(self.getOutputCol(), scale(F.col(self.getInputCol())))
+        # The one-element generator keeps the optimizer from folding the n-gram lambdas into the
+        # function's argument, which the Python evaluation step does not support.
+        kept = [c for c in dataset.columns if c != self.getInputCol()]
+        apart = dataset.select(*kept, F.explode(F.array(self.getInputCol())).alias(self.getInputCol()))
+        return apart.withColumn(self.getOutputCol(), scale(F.col(self.getInputCol())))
 
 
 def _ngram_sql(lo: int, hi: int) -> str:
@@ -92,16 +110,10 @@ def _ngram_sql(lo: int, hi: int) -> str:
 
 def fit_text_vectors(texts: DataFrame, lo: int, hi: int, k: int, output: str = "features") -> PipelineModel:
     """Vectoriser of a `text` column. The driver holds the vocabulary only: at most k terms."""
-    vocab = [r.term for r in top_vocabulary(texts, lo, hi, k).select("term").collect()]
-    sql = SQLTransformer(statement=f"SELECT *, {_ngram_sql(lo, hi)} AS _grams FROM __THIS__")
-    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="_grams", outputCol="_counts")
-    spark = texts.sparkSession
-    terms = F.broadcast(spark.createDataFrame(pd.DataFrame({"term": vocab, "pos": range(len(vocab))})))
-    grams = sql.transform(texts.select("text")).select(
-        F.explode(F.array_distinct("_grams")).alias("term"))
-    found = {r.pos: r.df for r in grams.join(terms, "term").groupBy("pos").agg(
-        F.count(F.lit(1)).alias("df")).collect()}
+    rows = _vocabulary_with_df(with_doc_terms(texts.select("text"), lo, hi), k).collect()
     n = texts.count()
-    idf = [math.log((1 + n) / (1 + found.get(i, 0))) + 1 for i in range(len(vocab))]
-    scaler = TfidfScaler(inputCol="_counts", outputCol=output, idf=idf)
-    return PipelineModel([sql, counter, scaler])
+    sql = SQLTransformer(statement=f"SELECT *, {_ngram_sql(lo, hi)} AS _grams FROM __THIS__")
+    counter = CountVectorizerModel.from_vocabulary(
+        [r.term for r in rows], inputCol="_grams", outputCol="_counts")
+    idf = [math.log((1 + n) / (1 + r.df)) + 1 for r in rows]
+    return PipelineModel([sql, counter, TfidfScaler(inputCol="_counts", outputCol=output, idf=idf)])

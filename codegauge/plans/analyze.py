@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from codegauge.functions import lang as L, score as S, text as T
+from codegauge.functions import lang as L, matching as M, score as S, text as T
 from codegauge.operators import fixes, scan, scoring, structure
 
 RESULT_COLUMNS = ["doc_id", "lang", "score", "confidence", "msg", "old_line", "full_code", "lines", "chars",
@@ -25,10 +25,10 @@ def analyze_corpus(df: DataFrame, log: DataFrame | None = None) -> DataFrame:
     tree = F.transform(structure.structure_messages(F.col("structure")),
                        lambda m: F.concat(F.lit(f"{S.RED} AST:  "), m))
     lint = F.transform(F.col("lint"), lambda m: F.concat(F.lit(f"{S.YELLOW} PYLINT:  "), m))
-    parts = F.concat(scan.report_parts(F.col("lang"), F.col("owned")), tree, lint)
+    rows = rows.withColumn("parts", F.concat(M.report_entries(), tree, lint))
     base_score = scoring.base_score_column(
-        F.col("hits"), F.col("lang"), structure.structure_count(F.col("structure")), F.size("lint"))
-    rows = rows.withColumn("old_line", F.when(F.col("blank"), "").otherwise(scan.report_text(parts)))
+        structure.structure_count(F.col("structure")), F.size("lint"))
+    rows = rows.withColumn("old_line", F.when(F.col("blank"), "").otherwise(scan.report_text(F.col("parts"))))
     rows = rows.withColumn(
         "score", F.when(F.col("blank"), 0).otherwise(S.blend(base_score, F.col("p_bug"))).cast("int"))
 

@@ -100,15 +100,17 @@ CTES["hits"] = f"""hits AS (
 CTES["page_hits"] = CTES["hits"].replace("hits AS (", "page_hits AS (", 1).replace("FROM snippets", "FROM page_scripts")
 
 _SKEL = (r'(?s)""".*?(?:"""|\z)' r"|'''.*?(?:'''|\z)" r'|"(?:[^"\\\n]|\\.)*"' r"|'(?:[^'\\\n]|\\.)*'" r"|#[^\n]*")
-_DEF = r"(?m)^[^\S\n]*def\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)"
+_DEF = r"(?m)^([^\S\n]*)def\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)"
 CTES["skel"] = f"""skel AS (
   SELECT doc_id, regexp_replace(code, {q(_SKEL)}, '''''', 'g') AS s FROM snippets WHERE lang = 'python')"""
 CTES["mutable"] = rf"""mutable AS (
-  SELECT doc_id, name AS function_name FROM (
-    SELECT doc_id, name, unnest(range(len(regexp_extract_all(
+  SELECT doc_id, name AS function_name, length(lead) AS k1, ordinal AS k2 FROM (
+    SELECT doc_id, lead, ordinal, name, unnest(range(len(regexp_extract_all(
              regexp_replace(args, '(?s)(?:^|,)\s*\*.*', ''), '[^=!<>]=\s*[\[{{]')))) AS i
-    FROM (SELECT doc_id, unnest(regexp_extract_all(s, {q(_DEF)}, 1)) AS name,
-                 unnest(regexp_extract_all(s, {q(_DEF)}, 2)) AS args FROM skel)))"""
+    FROM (SELECT doc_id, unnest(regexp_extract_all(s, {q(_DEF)}, 1)) AS lead,
+                 unnest(range(len(regexp_extract_all(s, {q(_DEF)}, 1)))) AS ordinal,
+                 unnest(regexp_extract_all(s, {q(_DEF)}, 2)) AS name,
+                 unnest(regexp_extract_all(s, {q(_DEF)}, 3)) AS args FROM skel)))"""
 CTES["zero"] = r"""zero AS (
   SELECT doc_id, unnest(range(1, n + 1))::INTEGER AS occurrence FROM (
     SELECT doc_id, len(list_filter(string_split(replace(s, '//', '%'), '/')[2:],
@@ -123,8 +125,8 @@ CTES["skel_lines"] = r"""skel_lines AS (
   FROM (SELECT doc_id, unnest(string_split(s, chr(10))) AS line,
                unnest(range(1, len(string_split(s, chr(10))) + 1)) AS line_no FROM skel))"""
 CTES["recursion"] = """recursion AS (
-  SELECT doc_id, name AS function_name FROM (
-    SELECT d.doc_id, d.line_no, d.name, bool_or(list_contains(b.calls, d.name)) AS rec,
+  SELECT doc_id, name AS function_name, indent AS k1, line_no AS k2 FROM (
+    SELECT d.doc_id, d.line_no, d.indent, d.name, bool_or(list_contains(b.calls, d.name)) AS rec,
            coalesce(bool_or(b.is_if AND b.line_no > d.line_no), false) AS guarded
     FROM (SELECT d.*, (SELECT min(e.line_no) FROM skel_lines e WHERE e.doc_id = d.doc_id AND e.line_no > d.line_no
                        AND NOT e.floating AND e.indent <= d.indent) AS stop
@@ -132,9 +134,9 @@ CTES["recursion"] = """recursion AS (
     JOIN skel_lines b ON b.doc_id = d.doc_id AND b.line_no >= d.line_no AND b.line_no < coalesce(d.stop, 1000000000)
     GROUP BY ALL) WHERE rec AND NOT guarded)"""
 CTES["tree"] = f"""tree AS (
-  SELECT doc_id, 1 AS grp, '''' || function_name || ''': {ST.MUTABLE_TEXT}' AS message FROM mutable UNION ALL
-  SELECT doc_id, 2, '''' || function_name || ''': {ST.RECURSION_TEXT}' FROM recursion UNION ALL
-  SELECT doc_id, 3, '{ST.ZERO_TEXT}' FROM zero)"""
+  SELECT doc_id, 1 AS grp, k1, k2, '''' || function_name || ''': {ST.MUTABLE_TEXT}' AS message FROM mutable UNION ALL
+  SELECT doc_id, 2, k1, k2, '''' || function_name || ''': {ST.RECURSION_TEXT}' FROM recursion UNION ALL
+  SELECT doc_id, 3, 0, 0, '{ST.ZERO_TEXT}' FROM zero)"""
 _PEN = "CASE rule_id " + " ".join(f"WHEN {q(r.rule_id)} THEN {PENALTY[r.severity]}" for r in RULES) + " END"
 
 
@@ -161,7 +163,7 @@ def _report(name: str, docs: str, findings: str, tree: bool, lint: bool) -> str:
              || lpad(line_no::VARCHAR, greatest(3, length(line_no::VARCHAR))::INTEGER, ' ') || ':  ' || line || {NL}
              || '           =>  ' || message AS part FROM {findings}"""]
     if tree:
-        parts.append(f"SELECT doc_id, grp, row_number() OVER (), '{S.RED} AST:  ' || message FROM tree")
+        parts.append(f"SELECT doc_id, grp, k1 * 1000000 + k2, '{S.RED} AST:  ' || message FROM tree")
     if lint:
         parts.append(f"""SELECT l.doc_id, 9, pos, '{S.YELLOW} PYLINT:  ' || text FROM lint l
                          JOIN {docs} d ON d.doc_id = l.doc_id AND d.lang = 'python'""")
@@ -469,8 +471,8 @@ ORACLE: dict[str, str] = {
     "fault_report": sql("SELECT doc_id, report FROM rule_report", "rule_report"),
     "page_script_findings": sql(
         "SELECT doc_id, lang, line_no, rule_id, severity, message, line FROM page_findings", "page_findings"),
-    "mutable_defaults": sql("SELECT * FROM mutable", "mutable"),
-    "unbounded_recursion": sql("SELECT * FROM recursion", "recursion"),
+    "mutable_defaults": sql("SELECT doc_id, function_name FROM mutable", "mutable"),
+    "unbounded_recursion": sql("SELECT doc_id, function_name FROM recursion", "recursion"),
     "zero_division": sql("SELECT * FROM zero", "zero"),
     "lint_log_findings": sql("SELECT doc_id, pos, text FROM lint", "lint"),
     "all_findings": sql(
