@@ -22,9 +22,6 @@ _OWNED_TYPE = "array<struct<ord:int,line_no:int,line:string>>"
 
 def _per_lang(lang: str, rules: list[Rule], build: Callable[[list[Rule]], str], default: str) -> str:
     packs = by_lang(rules)
-    for name, pack in packs.items():
-        if len(pack) > MASK_LIMIT:
-            raise ValueError(f"{name}: more than {MASK_LIMIT} rules do not fit one mask; pass a rule table")
     if not packs:
         return default
     branches = " ".join(f"WHEN {quote(name)} THEN {build(pack)}" for name, pack in packs.items())
@@ -39,8 +36,15 @@ def _bit(i: int) -> str:
     return f"{1 << i}L"
 
 
+def fits_mask(rules: list[Rule]) -> bool:
+    return all(len(pack) <= MASK_LIMIT for pack in by_lang(rules).values())
+
+
 def rule_hits(code: str = "code", lang: str = "lang", rules: list[Rule] = RULES) -> Column:
     """BIGINT: bit i is set when the i-th rule of the language matches anywhere in the text."""
+    if not fits_mask(rules):
+        raise ValueError(f"a language has more than {MASK_LIMIT} rules; its hits do not fit one mask")
+
     def build(pack: list[Rule]) -> str:
         return "(" + " | ".join(f"if({_test(code, r.pattern)}, {_bit(i)}, 0L)" for i, r in enumerate(pack)) + ")"
 
@@ -88,25 +92,29 @@ def hit_ids(hits: str = "hits", lang: str = "lang", rules: list[Rule] = RULES) -
     return F.expr(_per_lang(lang, rules, build, "CAST(array() AS array<string>)"))
 
 
-def owned_lines(code: str = "code", lang: str = "lang", candidates: str = "candidates",
+def owned_lines(code: str = "code", lang: str = "lang", candidates: str | None = "candidates",
                 rules: list[Rule] = RULES) -> Column:
     """ARRAY<STRUCT<ord, line_no, line>>: each line with the first rule of the pack that hits it.
 
     Row-local, so neither a shuffle nor a regrouping by document is needed. Documents without
-    a candidate rule are not split at all, and a line is tested against candidates only.
+    a candidate rule are not split at all, and a line is tested against candidates only; with
+    candidates=None every rule is tested on every line.
     """
     empty = f"CAST(array() AS {_OWNED_TYPE})"
 
     def build(pack: list[Rule]) -> str:
+        def gate(i: int) -> str:
+            return f"({candidates} & {_bit(i)}) <> 0 AND " if candidates else ""
+
         first = "coalesce(" + ", ".join(
-            f"if(({candidates} & {_bit(i)}) <> 0 AND {_test('x', r.pattern)}, {i}, NULL)"
-            for i, r in enumerate(pack)) + ")"
+            f"if({gate(i)}{_test('x', r.pattern)}, {i}, NULL)" for i, r in enumerate(pack)) + ")"
         found = (f"filter(transform({T.split_lines_sql(code)}, (x, i) -> "
                  f"named_struct('ord', {first}, 'line_no', i + 1, 'line', x)), f -> f.ord IS NOT NULL)")
         return (f"transform({found}, f -> named_struct('ord', f.ord, 'line_no', f.line_no, "
                 f"'line', {T.strip_sql('f.line')}))")
 
-    return F.expr(f"if({candidates} = 0, {empty}, {_per_lang(lang, rules, build, empty)})")
+    found = _per_lang(lang, rules, build, empty)
+    return F.expr(f"if({candidates} = 0, {empty}, {found})" if candidates else found)
 
 
 def pick_sql(lang: str, ord_: str, field: str, rules: list[Rule] = RULES) -> str:

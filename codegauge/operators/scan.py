@@ -32,8 +32,10 @@ def line_findings(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """(doc_id, lang, line_no, ord, rule_id, severity, line): a line belongs to its first rule."""
     # Outer generators throughout: an inner one makes the optimizer push "array not empty" below
     # the projections, which would evaluate the scan a second time.
-    rows = with_owned_lines(df.select("doc_id", "lang", "code"), rules).select(
-        "doc_id", "lang", F.inline_outer("owned")).filter("line_no is not null")
+    base = df.select("doc_id", "lang", "code")
+    scanned = (with_owned_lines(base, rules) if M.fits_mask(rules)
+               else base.withColumn("owned", M.owned_lines(candidates=None, rules=rules)))
+    rows = scanned.select("doc_id", "lang", F.inline_outer("owned")).filter("line_no is not null")
     return rows.select(
         "doc_id", "lang", "line_no", "ord", M.pick("rule_id", rules=rules).alias("rule_id"),
         M.pick("severity", rules=rules).alias("severity"), M.pick("message", rules=rules).alias("message"),
@@ -49,8 +51,7 @@ def line_findings_from_table(df: DataFrame, rules: DataFrame) -> DataFrame:
     """
     small = rules.select("rule_id", "lang", "ord", "pattern", "severity", "message").limit(
         UNROLL_LIMIT + 1).collect()
-    widest = max((sum(1 for r in small if r.lang == lang) for lang in {r.lang for r in small}), default=0)
-    if len(small) <= UNROLL_LIMIT and widest <= M.MASK_LIMIT:
+    if len(small) <= UNROLL_LIMIT:
         return _unrolled(df, small)
     lines = explode_lines(df.select("doc_id", "lang", "code"))
     dims = rules.select(F.col("lang").alias("_lang"), F.col("ord").alias("_ord"),
