@@ -12,10 +12,18 @@ def model_text(code: Column, lang: Column) -> Column:
     return F.concat(code, F.lit(" "), lang)
 
 
+def raw_words(text: Column) -> Column:
+    """ARRAY<STRING>: lower-cased words; an empty one where the text begins or ends with a blank."""
+    return F.split(F.lower(text), T.rx(r"[\s\x1C-\x1F]+"), -1)
+
+
+def padded(word: Column) -> Column:
+    return F.concat(F.lit(" "), word, F.lit(" "))
+
+
 def words(text: Column) -> Column:
     """ARRAY<STRING>: lower-cased words, each with one blank on both sides."""
-    parts = F.split(F.lower(text), T.rx(r"[\s\x1C-\x1F]+"), -1)
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.transform(F.filter(raw_words(text), lambda w: w != ""), padded)
 
 
 def word_ngrams(word: Column, lo: int, hi: int) -> Column:

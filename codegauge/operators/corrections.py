@@ -83,35 +83,34 @@ def _closest(rest: DataFrame, cands: DataFrame) -> DataFrame:
         "bug_type", "head").agg((-F.max("best")["neg"]).alias("row_no"))
 
 
-def best_by_type(snips: DataFrame, corr: DataFrame) -> DataFrame:
-    """(doc_id, similar_correction): the same-type correction with the most equal leading
-    characters (first 50); ties go to the first row; NULL for an unknown or empty type.
+def _asked(snips: DataFrame) -> DataFrame:
+    key = T.strip(F.col("code"))
+    return snips.select("doc_id", "bug_type", key.alias("key"), F.substring(key, 1, PREFIX).alias("head"))
 
-    Work is done once per distinct (type, head), not per snippet.
-    """
-    asked = snips.select("doc_id", "bug_type", F.substring(T.strip(F.col("code")), 1, PREFIX).alias("head"))
-    heads = asked.filter("bug_type <> ''").select("bug_type", "head").distinct()
+
+def _winners(snips: DataFrame, corr: DataFrame) -> DataFrame:
+    """(bug_type, head, similar_correction): worked out once per distinct (type, head), not per snippet."""
+    heads = _asked(snips).filter("bug_type <> ''").select("bug_type", "head").distinct()
     cands = _candidates(corr)
     tried = heads.join(_complete_matches(cands), ["bug_type", "head"], "left")
     settled = tried.filter("hit is not null").select("bug_type", "head", F.col("hit").alias("row_no"))
     rest = tried.filter("hit is null").select("bug_type", "head")
-    winners = settled.unionByName(_closest(rest, cands)).join(
-        corr.select("row_no", F.col("corrected_code").alias("similar_correction")), "row_no")
-    return asked.join(winners.select("bug_type", "head", "similar_correction"),
-                      ["bug_type", "head"], "left").select("doc_id", "similar_correction")
+    return settled.unionByName(_closest(rest, cands)).join(
+        corr.select("row_no", F.col("corrected_code").alias("similar_correction")), "row_no").drop("row_no")
 
 
-def suggest_correction(snips: DataFrame, corr: DataFrame) -> DataFrame:
-    """(doc_id, suggestion): exact correction, else the most similar of the type, else NULL.
+def best_by_type(snips: DataFrame, corr: DataFrame) -> DataFrame:
+    """(doc_id, similar_correction): the same-type correction with the most equal leading
+    characters (first 50); ties go to the first row; NULL for an unknown or empty type."""
+    return _asked(snips).select("doc_id", "bug_type", "head").join(
+        _winners(snips, corr), ["bug_type", "head"], "left").select("doc_id", "similar_correction")
 
-    The two lookups meet on doc_id; only snippets without an exact hit go to the second one.
-    """
-    exact = snips.select("doc_id", "code", "bug_type", T.strip(F.col("code")).alias("key")).join(
-        _exact_keys(corr), "key", "left")
-    known = exact.filter("exact_correction is not null").select(
-        "doc_id", F.col("exact_correction").alias("suggestion"))
-    other = best_by_type(exact.filter("exact_correction is null").select("doc_id", "code", "bug_type"), corr)
-    return known.unionByName(other.select("doc_id", F.col("similar_correction").alias("suggestion")))
+
+def suggest_correction(snips: DataFrame, corr: DataFrame) -> DataFrame:
+    """(doc_id, suggestion): exact correction, else the most similar of the type, else NULL."""
+    return _asked(snips).join(_exact_keys(corr), "key", "left").drop("key").join(
+        _winners(snips, corr), ["bug_type", "head"], "left").select(
+        "doc_id", F.coalesce("exact_correction", "similar_correction").alias("suggestion"))
 
 
 def correction_stats(corr: DataFrame) -> DataFrame:

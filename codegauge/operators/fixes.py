@@ -32,44 +32,42 @@ def _changed_lines(before: Column, after: Column) -> Column:
     return F.when(before == after, 0).otherwise(changed)
 
 
-def _step_counts(df: DataFrame, lang: str, steps) -> DataFrame:
-    """(fix, lines) per document and applied step; each step is a column, computed once."""
-    cur = df.filter(F.col("lang") == lang).select(T.joined_lines(F.col("code")).alias("_t0"))
-    counts = []
-    for i, (name, apply) in enumerate(steps):
-        cur = cur.withColumn(f"_t{i + 1}", apply(F.col(f"_t{i}")))
-        counts.append(F.struct(F.lit(name).alias("fix"),
-                               _changed_lines(F.col(f"_t{i}"), F.col(f"_t{i + 1}")).alias("lines")))
-    if lang == "python":
-        last = F.col(f"_t{len(steps)}")
-        guards = F.size(F.regexp_extract_all(last, F.lit(T.rx(R.MUTABLE_HEAD)), F.lit(0)))
-        cur = cur.withColumn("_short", R.shorten_headers(last)).withColumn(
-            "_end", R.guard_defaults(F.col("_short")))
-        counts.append(F.struct(F.lit("mutable_default").alias("fix"), guards.alias("lines")))
-        counts.append(F.struct(F.lit("imports").alias("fix"),
-                               F.size(R.missing_imports(F.col("_end"))).alias("lines")))
-    return cur.select(F.inline(F.filter(F.array(*counts), lambda x: x["lines"] > 0)))
-
-
 def _sub(pattern: str, to: str, any_case: bool = False):
     flags = T.FLAGS_ANYCASE if any_case else T.FLAGS
     return lambda text: F.regexp_replace(text, flags + pattern, to)
 
 
+STEPS = {
+    "python": [(n, _sub(p, t)) for n, p, t in R.PYTHON_REPLACEMENTS]
+    + [(n, _sub(p, t, True)) for n, p, t in R.PYTHON_SECRETS] + [("add_self", R.add_self)],
+    "javascript": [(n, _sub(p, t)) for n, p, t in R.JAVASCRIPT_REPLACEMENTS],
+    "java": [(n, _sub(p, t)) for n, p, t in R.JAVA_REPLACEMENTS],
+}
+
+
 def fix_summary(df: DataFrame) -> DataFrame:
     """(lang, fix, docs, lines): documents and lines each fix changes.
 
-    Counts are summed map-side before the shuffle, which carries one row per fix and task.
+    One pass over the table: every step is a column, computed once and only for its language.
+    Counts are summed map-side, so the shuffle carries one row per fix and task.
     """
-    packs = {
-        "python": [(n, _sub(p, t)) for n, p, t in R.PYTHON_REPLACEMENTS]
-        + [(n, _sub(p, t, True)) for n, p, t in R.PYTHON_SECRETS] + [("add_self", R.add_self)],
-        "javascript": [(n, _sub(p, t)) for n, p, t in R.JAVASCRIPT_REPLACEMENTS],
-        "java": [(n, _sub(p, t)) for n, p, t in R.JAVA_REPLACEMENTS],
-    }
-    out = None
-    for lang, steps in packs.items():
-        part = _step_counts(df, lang, steps).select(F.lit(lang).alias("lang"), "fix", "lines")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("lang", "fix").agg(
+    cur = df.select("lang", T.joined_lines(F.col("code")).alias("start"))
+    counts = None
+    for lang, steps in STEPS.items():
+        mine, before, found = F.col("lang") == lang, "start", []
+        for name, apply in steps:
+            after = f"{lang}_{name}"
+            cur = cur.withColumn(after, F.when(mine, apply(F.col(before))))
+            found.append((name, _changed_lines(F.col(before), F.col(after))))
+            before = after
+        if lang == "python":
+            cur = cur.withColumn("short", F.when(mine, R.shorten_headers(F.col(before)))).withColumn(
+                "end", F.when(mine, R.guard_defaults(F.col("short"))))
+            found.append(("mutable_default", F.size(
+                F.regexp_extract_all(F.col(before), F.lit(T.rx(R.MUTABLE_HEAD)), F.lit(0)))))
+            found.append(("imports", F.size(R.missing_imports(F.col("end")))))
+        rows = F.array(*[F.struct(F.lit(n).alias("fix"), c.cast("int").alias("lines")) for n, c in found])
+        counts = F.when(mine, rows) if counts is None else counts.when(mine, rows)
+    applied = cur.select("lang", F.inline_outer(counts)).filter("lines > 0")
+    return applied.groupBy("lang", "fix").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("lines").cast("bigint").alias("lines"))

@@ -9,10 +9,14 @@ from codegauge.functions.rulebook import LINT_PENALTY, RULES, STRUCTURE_PENALTY,
 from codegauge.operators import scan, structure
 
 
-def base_score_column(structure_n: Column, lint_n: Column, rules: list[Rule] = RULES) -> Column:
-    """Over a row with `hits` and `lang`."""
-    lost = (M.penalty(rules=rules) + structure_n * STRUCTURE_PENALTY + lint_n * LINT_PENALTY)
-    return S.clamp(F.lit(100) - lost)
+def points_lost(rules: list[Rule] = RULES) -> Column:
+    """Over a row with `hits`, `lang` and `structure`."""
+    found = structure.structure_count(F.col("structure"))
+    return M.penalty(rules=rules) + found * STRUCTURE_PENALTY
+
+
+def score_of(lost: Column, lint_lines: Column) -> Column:
+    return S.clamp(F.lit(100) - (lost + lint_lines * LINT_PENALTY))
 
 
 def with_lint(df: DataFrame, log: DataFrame | None) -> DataFrame:
@@ -26,37 +30,40 @@ def with_lint(df: DataFrame, log: DataFrame | None) -> DataFrame:
 
 
 def base_score(df: DataFrame, log: DataFrame | None = None, rules: list[Rule] = RULES) -> DataFrame:
-    """(doc_id, lang, base_score)."""
-    scanned = with_lint(structure.with_structure(
-        scan.with_hits(df.select("doc_id", "lang", "code"), rules)), log)
-    return scanned.select(
-        "doc_id", "lang",
-        base_score_column(structure.structure_count(F.col("structure")), F.size("lint"), rules).alias("base_score"))
+    """(doc_id, lang, base_score). Text is scanned before the linter counts are joined, so the
+    join moves three numbers per document and no code."""
+    lost = structure.with_structure(scan.with_hits(df.select("doc_id", "lang", "code"), rules)).select(
+        "doc_id", "lang", points_lost(rules).alias("lost"))
+    if log is None:
+        return lost.select("doc_id", "lang", score_of(F.col("lost"), F.lit(0)).alias("base_score"))
+    counts = structure.lint_log_findings(log).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    lines = F.when(F.col("lang") == "python", F.coalesce("n", F.lit(0))).otherwise(0)
+    return lost.join(counts, "doc_id", "left").select(
+        "doc_id", "lang", score_of(F.col("lost"), lines).alias("base_score"))
 
 
 def all_findings(df: DataFrame, log: DataFrame | None = None) -> DataFrame:
-    """(doc_id, source, pos, severity, text): rule lines, then structure, then linter findings.
+    """(doc_id, source, pos, severity, line, message): rule lines, then structure, then linter findings.
 
-    `source` ranks the three kinds; `pos` orders rows inside one kind.
+    `source` ranks the three kinds; `pos` orders rows inside one kind: rule position and line
+    number folded into one key, then the position in the list. The first two kinds leave one
+    projection together, so the code is read once.
     """
-    base = df.select("doc_id", "lang", "code")
-    # rule position and line number fold into one sort key
-    rules = scan.line_findings(base).select(
-        "doc_id", F.lit(1).alias("source"),
-        (F.col("ord").cast("bigint") * (1 << 32) + F.col("line_no")).alias("pos"),
-        "severity", "line", "message")
-    tree = structure.with_structure(base.filter(F.col("lang") == "python")).select(
-        "doc_id", F.lit(2).alias("source"),
-        F.posexplode_outer(structure.structure_messages(F.col("structure"))).alias("pos", "message")
-    ).filter("pos is not null").select("doc_id", "source", F.col("pos").cast("bigint").alias("pos"), F.lit(3).alias("severity"),
-             F.lit("AST").alias("line"), "message")
-    out = rules.unionByName(tree)
+    of_rules = F.expr(
+        "transform(owned, f -> struct(1 AS source, CAST(f.ord AS bigint) * 4294967296 + f.line_no AS pos, "
+        f"{M.pick_sql('lang', 'f.ord', 'severity')} AS severity, f.line AS line, "
+        f"{M.pick_sql('lang', 'f.ord', 'message')} AS message))")
+    of_tree = F.transform(F.col("messages"), lambda m, i: F.struct(
+        F.lit(2).alias("source"), i.cast("bigint").alias("pos"), F.lit(3).alias("severity"),
+        F.lit("AST").alias("line"), m.alias("message")))
+    scanned = structure.with_structure(scan.with_owned_lines(df.select("doc_id", "lang", "code"))).select(
+        "doc_id", "lang", "owned", structure.structure_messages(F.col("structure")).alias("messages"))
+    out = scanned.select("doc_id", F.inline_outer(F.concat(of_rules, of_tree))).filter("source is not null")
     if log is not None:
-        python = base.filter(F.col("lang") == "python").select("doc_id")
-        lint = structure.lint_log_findings(log).join(python, "doc_id", "left_semi").select(
+        python = df.filter(F.col("lang") == "python").select("doc_id")
+        out = out.unionByName(structure.lint_log_findings(log).join(python, "doc_id", "left_semi").select(
             "doc_id", F.lit(3).alias("source"), F.col("pos").cast("bigint").alias("pos"),
-            F.lit(2).alias("severity"), F.lit("PYLINT").alias("line"), F.col("text").alias("message"))
-        out = out.unionByName(lint)
+            F.lit(2).alias("severity"), F.lit("PYLINT").alias("line"), F.col("text").alias("message")))
     return out
 
 

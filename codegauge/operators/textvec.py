@@ -25,8 +25,8 @@ def term_counts(texts: DataFrame, lo: int, hi: int) -> DataFrame:
     Words are counted first, and only distinct words are cut into n-grams, weighted by their
     count: the n-gram explosion grows with the vocabulary of words, not with the text.
     """
-    words = texts.select(F.explode(N.words(F.col("text"))).alias("word")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"))
+    words = texts.select(F.explode(N.raw_words(F.col("text"))).alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n")).filter("word <> ''").select(N.padded(F.col("word")).alias("word"), "n")
     return words.select(F.explode(N.word_ngrams(F.col("word"), lo, hi)).alias("term"), "n").groupBy(
         "term").agg(F.sum("n").cast("bigint").alias("freq"))
 

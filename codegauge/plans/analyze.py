@@ -18,16 +18,16 @@ def analyze_corpus(df: DataFrame, log: DataFrame | None = None) -> DataFrame:
     log the whole job is one projection: no shuffle, and it runs unchanged on a stream.
     """
     p_bug = F.col("p_bug") if "p_bug" in df.columns else F.lit(None).cast("double")
-    base = df.select("doc_id", "lang", "code", p_bug.alias("p_bug"))
-    rows = fixes.with_fixed(scoring.with_lint(structure.with_structure(scan.with_owned_lines(base)), log))
+    # the linter join comes first: nothing derived from the code has to be shuffled
+    base = scoring.with_lint(df.select("doc_id", "lang", "code", p_bug.alias("p_bug")), log)
+    rows = fixes.with_fixed(structure.with_structure(scan.with_owned_lines(base)))
     rows = rows.withColumn("blank", T.is_blank(F.col("code")))
 
     tree = F.transform(structure.structure_messages(F.col("structure")),
                        lambda m: F.concat(F.lit(f"{S.RED} AST:  "), m))
     lint = F.transform(F.col("lint"), lambda m: F.concat(F.lit(f"{S.YELLOW} PYLINT:  "), m))
     rows = rows.withColumn("parts", F.concat(M.report_entries(), tree, lint))
-    base_score = scoring.base_score_column(
-        structure.structure_count(F.col("structure")), F.size("lint"))
+    base_score = scoring.score_of(scoring.points_lost(), F.size("lint"))
     rows = rows.withColumn("old_line", F.when(F.col("blank"), "").otherwise(scan.report_text(F.col("parts"))))
     rows = rows.withColumn(
         "score", F.when(F.col("blank"), 0).otherwise(S.blend(base_score, F.col("p_bug"))).cast("int"))

@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SPLIT_BYTES = 128 * 1024 * 1024
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app: str = "codegauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,11 +42,6 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    size = estimated_bytes(df)
-    return size is not None and size <= limit
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread a *small* input over all cores before expensive row-wise work.
 

@@ -101,7 +101,7 @@ def blend_score(spark, sf):
     snips = I.snippets(spark, sf)
     chances = evaluation.rule_probability(snips, ("doc_id", "code", "lang"))
     hits = scan.with_hits(structure.with_structure(chances))
-    base = scoring.base_score_column(structure.structure_count(F.col("structure")), F.lit(0))
+    base = scoring.score_of(scoring.points_lost(), F.lit(0))
     # one document in seven has no model answer
     p_bug = F.when(F.col("doc_id") % 7 != 0, F.round("p_bug", 2))
     return hits.select("doc_id", base.alias("base"), p_bug.alias("p")).select(
