@@ -3,13 +3,14 @@
 They work on a skeleton of the code in which comments and string bodies are blanked. Known
 limits against a syntax tree: expressions inside f-strings are not seen, text that does not
 parse is still checked, and a default that merely starts with a display counts as one.
+
+The expressions are SQL text over column names, like the rule packs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from codegauge.functions import text as T
+from codegauge.functions.text import quote
 
 # One alternation, so a quote in a comment or a # in a string is not misread. The possessive
 # loops keep the matcher from recursing on long strings.
@@ -17,101 +18,93 @@ _STRING_OR_COMMENT = (
     r'(?s)"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|\z)' r"|'''(?:[^'\\]|\\.|'(?!''))*+(?:'''|\z)"
     r'|"(?:[^"\\\n]|\\.)*+"' r"|'(?:[^'\\\n]|\\.)*+'" r"|#[^\n]*"
 )
-_DEF = r"(?m)^([^\S\n]*)def\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*+)\)"
-_KEYWORD_ONLY = r"(?s)(?:^|,)\s*\*.*"
-_MUTABLE = r"[^=!<>]=\s*[\[{]"
-_ZERO = r"^\s*0+(?:\.0*)?(?:[^\w.]|\z)"
-_HEADER = r"^\s*def\s+(\w+)\s*\("
-_CALL = r"(?<![\w.])(\w+)\s*\("
+_DEF = T.rx(r"(?m)^([^\S\n]*)def\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*+)\)")
+_KEYWORD_ONLY = T.rx(r"(?s)(?:^|,)\s*\*.*")
+_MUTABLE = T.rx(r"[^=!<>]=\s*[\[{]")
+_ZERO = T.rx(r"^\s*0+(?:\.0*)?(?:[^\w.]|\z)")
+_HEADER = T.rx(r"^\s*def\s+(\w+)\s*\(")
+_OPENS = T.rx(r"^\s*(?:def|class)\s+\w+\s*\(")
+_CALL = T.rx(r"(?<![\w.])(\w+)\s*\(")
+_FLOATING = T.rx(r"^\s*(?:[)\]}].*)?\z")
+_IF = T.rx(r"^\s*(?:el)?if\b")
+_INDENT = T.rx(r"^\s*")
 _NEVER_CLOSES = 1 << 30
 
-# Necessary conditions on the raw text.
-MAYBE_MUTABLE = T.rx(r"=\s*[\[{]")
-MAYBE_ZERO = T.rx(r"/\s*0")
+# Necessary conditions on the raw text. Long text is not searched for a repeated function name:
+# one search per function would cost more there than the exact pass.
+_MAYBE_MUTABLE = T.rx(r"=\s*[\[{]")
+_MAYBE_ZERO = T.rx(r"/\s*0")
 _MAYBE_RECURSIVE = T.rx(r"(?s)\bdef\s+(\w+)\s*\(.*?\b\1\s*\(")
 _LONG_TEXT = 100_000
 
+NAMES_TYPE = "array<string>"
+_FRAMES = "array<struct<indent:int,pos:int,name:string,rec:boolean,guarded:boolean>>"
+
 
-def may_recurse(code: Column) -> Column:
-    """Some function name is followed by a bracket again. Long text is not searched for it: one
-    search per function would cost more there than the exact pass."""
-    return (F.length(code) > _LONG_TEXT) | code.rlike(_MAYBE_RECURSIVE)
+def may_have_mutable(code: str) -> str:
+    return f"(contains({code}, 'def') AND {code} RLIKE {quote(_MAYBE_MUTABLE)})"
 
 
-def skeleton(code: Column) -> Column:
-    return F.regexp_replace(T.unify_breaks(code), _STRING_OR_COMMENT, "''")
+def may_recurse(code: str) -> str:
+    return (f"(contains({code}, 'def') AND "
+            f"(length({code}) > {_LONG_TEXT} OR {code} RLIKE {quote(_MAYBE_RECURSIVE)}))")
 
 
-def _in_tree_order(found: Column) -> Column:
-    """Outer functions first, then by position: the order of a breadth-first walk."""
-    return F.sort_array(found)
+def may_divide(code: str) -> str:
+    return f"({code} RLIKE {quote(_MAYBE_ZERO)})"
 
 
-def mutable_defaults(skel: Column) -> Column:
-    """ARRAY<STRING>: the function name once per list, dict or set default of a positional parameter."""
-    lead, names, params = (F.regexp_extract_all(skel, F.lit(T.rx(_DEF)), F.lit(g)) for g in (1, 2, 3))
-    headers = F.arrays_zip(lead.alias("lead"), names.alias("name"), params.alias("args"))
+def skeleton(code: str) -> str:
+    unified = f"regexp_replace({code}, {quote(T.ODD_BREAKS)}, '\\n')"
+    blank = quote("''")
+    return f"regexp_replace({unified}, {quote(_STRING_OR_COMMENT)}, {blank})"
 
-    def count(x: Column, i: Column) -> Column:
-        positional = F.regexp_replace(x["args"], T.rx(_KEYWORD_ONLY), "")
-        n = F.size(F.regexp_extract_all(positional, F.lit(T.rx(_MUTABLE)), F.lit(0)))
-        return F.struct(F.length(x["lead"]).alias("indent"), i.alias("pos"), x["name"].alias("name"), n.alias("n"))
 
-    ordered = _in_tree_order(F.transform(headers, count))
-    return F.flatten(F.transform(ordered, lambda x: F.array_repeat(x["name"], x["n"])))
+def mutable_defaults(skel: str) -> str:
+    """ARRAY<STRING>: the function name once per list, dict or set default of a positional parameter.
+
+    Outer functions come first, then position: the order of a breadth-first walk.
+    """
+    lead, names, params = (f"regexp_extract_all({skel}, {quote(_DEF)}, {g})" for g in (1, 2, 3))
+    positional = f"regexp_replace(x.`2`, {quote(_KEYWORD_ONLY)}, '')"
+    found = (f"transform(arrays_zip({lead}, {names}, {params}), (x, i) -> named_struct("
+             f"'indent', length(x.`0`), 'pos', i, 'name', x.`1`, "
+             f"'n', size(regexp_extract_all({positional}, {quote(_MUTABLE)}, 0))))")
+    return f"flatten(transform(sort_array({found}), x -> array_repeat(x.name, x.n)))"
 
 
-def zero_divisions(skel: Column) -> Column:
+def zero_divisions(skel: str) -> str:
     """How many true divisions have the constant zero on the right; // and % do not count."""
-    pieces = F.split(F.replace(skel, F.lit("//"), F.lit("%")), "/", -1)
-    return F.size(F.filter(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda piece: piece.rlike(T.rx(_ZERO)))).cast("int")
+    pieces = f"split(replace({skel}, '//', '%'), '/', -1)"
+    return f"size(filter({pieces}, (p, i) -> i > 0 AND p RLIKE {quote(_ZERO)}))"
 
 
-def _line_facts(line: Column) -> Column:
-    """Facts of one line: indentation, the function it opens, calls, and whether it is an if."""
-    name = F.regexp_extract(line, T.rx(_HEADER), 1)
-    rest = F.regexp_replace(line, T.rx(r"^\s*(?:def|class)\s+\w+\s*\("), "(")
-    floating = line.rlike(T.rx(r"^\s*(?:[)\]}].*)?\z"))
-    indent = F.length(F.regexp_extract(line, T.rx(r"^\s*"), 0))
-    return F.struct(
-        F.when(floating, F.lit(_NEVER_CLOSES)).otherwise(indent).alias("indent"),
-        name.alias("name"),
-        F.regexp_extract_all(rest, F.lit(T.rx(_CALL)), F.lit(1)).alias("calls"),
-        line.rlike(T.rx(r"^\s*(?:el)?if\b")).alias("is_if"),
-    )
+def _line_facts(line: str) -> str:
+    """One line: indentation, the function it opens, calls, and whether it is an if."""
+    return (f"named_struct('indent', if({line} RLIKE {quote(_FLOATING)}, {_NEVER_CLOSES}, "
+            f"length(regexp_extract({line}, {quote(_INDENT)}, 0))), "
+            f"'name', regexp_extract({line}, {quote(_HEADER)}, 1), "
+            f"'calls', regexp_extract_all(regexp_replace({line}, {quote(_OPENS)}, '('), {quote(_CALL)}, 1), "
+            f"'is_if', {line} RLIKE {quote(_IF)})")
 
 
-def unguarded_recursion(skel: Column) -> Column:
-    """ARRAY<STRING>: functions that call themselves and hold no if statement.
+def unguarded_recursion(skel: str) -> str:
+    """ARRAY<STRING>: functions that call themselves and hold no if statement, in tree order.
 
     One pass over the lines keeps the stack of open functions; a function closes at the first
     line indented no deeper than its header. Nested lines count for every open function.
     """
-    frame = "struct<indent:int,pos:int,name:string,rec:boolean,guarded:boolean>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{frame}>").alias("open"),
-                     F.array().cast(f"array<{frame}>").alias("found"))
-
-    def faulty(frames: Column) -> Column:
-        return F.filter(frames, lambda f: f["rec"] & ~f["guarded"])
-
-    def step(state: Column, x: Column) -> Column:
-        still = F.filter(state["open"], lambda f: f["indent"] < x["indent"])
-        closed = F.filter(state["open"], lambda f: f["indent"] >= x["indent"])
-        updated = F.transform(still, lambda f: F.struct(
-            f["indent"].alias("indent"), f["pos"].alias("pos"), f["name"].alias("name"),
-            (f["rec"] | F.array_contains(x["calls"], f["name"])).alias("rec"),
-            (f["guarded"] | x["is_if"]).alias("guarded")))
-        opened = F.array(F.struct(
-            x["indent"].alias("indent"), state["pos"].alias("pos"), x["name"].alias("name"),
-            F.array_contains(x["calls"], x["name"]).alias("rec"), F.lit(False).alias("guarded")))
-        return F.struct(
-            (state["pos"] + 1).alias("pos"),
-            F.when(x["name"] != "", F.concat(updated, opened)).otherwise(updated).alias("open"),
-            F.when(F.size(closed) == 0, state["found"])
-            .otherwise(F.concat(state["found"], faulty(closed))).alias("found"))
-
-    facts = F.transform(F.split(skel, "\n", -1), _line_facts)
-    found = F.aggregate(facts, start, step, lambda s: F.concat(s["found"], faulty(s["open"])))
-    return F.transform(_in_tree_order(found), lambda f: f["name"])
+    faulty = "filter({0}, f -> f.rec AND NOT f.guarded)"
+    still = ("transform(filter(s.open, f -> f.indent < x.indent), f -> named_struct("
+             "'indent', f.indent, 'pos', f.pos, 'name', f.name, "
+             "'rec', f.rec OR array_contains(x.calls, f.name), 'guarded', f.guarded OR x.is_if))")
+    opened = ("array(named_struct('indent', x.indent, 'pos', s.pos, 'name', x.name, "
+              "'rec', array_contains(x.calls, x.name), 'guarded', false))")
+    closed = "filter(s.open, f -> f.indent >= x.indent)"
+    step = (f"named_struct('pos', s.pos + 1, 'open', if(x.name <> '', concat({still}, {opened}), {still}), "
+            f"'found', concat(s.found, {faulty.format(closed)}))")
+    start = f"named_struct('pos', 0, 'open', CAST(array() AS {_FRAMES}), 'found', CAST(array() AS {_FRAMES}))"
+    facts = f"transform(split({skel}, '\\n', -1), line -> {_line_facts('line')})"
+    found = (f"aggregate({facts}, {start}, (s, x) -> {step}, "
+             f"s -> concat(s.found, {faulty.format('s.open')}))")
+    return f"transform(sort_array({found}), f -> f.name)"

@@ -12,24 +12,21 @@ MUTABLE_TEXT = "mutable default value; use None and build it inside"
 RECURSION_TEXT = "calls itself without an if that stops it"
 ZERO_TEXT = "division by the constant zero"
 
-_STRUCT_TYPE = "struct<mutable:array<string>,recursive:array<string>,zero_divs:int>"
-
-
-def structure_facts(code: Column, lang: Column) -> Column:
+def structure_facts(code: str = "code", lang: str = "lang") -> Column:
     """STRUCT<mutable, recursive, zero_divs>; only Python has them.
 
     Each check is guarded by a necessary condition on the raw text, so most text skips the work.
     """
     skel = X.skeleton(code)
-    none = F.array().cast("array<string>")
-    has_def = F.contains(code, F.lit("def"))
-    facts = F.struct(
-        F.when(has_def & code.rlike(X.MAYBE_MUTABLE), X.mutable_defaults(skel)).otherwise(none).alias("mutable"),
-        F.when(has_def & X.may_recurse(code), X.unguarded_recursion(skel)).otherwise(none).alias("recursive"),
-        F.when(code.rlike(X.MAYBE_ZERO), X.zero_divisions(skel)).otherwise(0).cast("int").alias("zero_divs"),
-    )
-    empty = F.struct(none.alias("mutable"), none.alias("recursive"), F.lit(0).alias("zero_divs"))
-    return F.when(lang == "python", facts).otherwise(empty).cast(_STRUCT_TYPE)
+    none = f"CAST(array() AS {X.NAMES_TYPE})"
+
+    def checked(condition: str, value: str, otherwise: str) -> str:
+        return f"if({lang} = 'python' AND {condition}, {value}, {otherwise})"
+
+    return F.expr(
+        f"named_struct('mutable', {checked(X.may_have_mutable(code), X.mutable_defaults(skel), none)}, "
+        f"'recursive', {checked(X.may_recurse(code), X.unguarded_recursion(skel), none)}, "
+        f"'zero_divs', {checked(X.may_divide(code), X.zero_divisions(skel), '0')})")
 
 
 def structure_count(facts: Column) -> Column:
@@ -46,7 +43,7 @@ def structure_messages(facts: Column) -> Column:
 
 
 def with_structure(df: DataFrame) -> DataFrame:
-    return df.withColumn("structure", structure_facts(F.col("code"), F.col("lang")))
+    return df.withColumn("structure", structure_facts())
 
 
 def mutable_default_findings(df: DataFrame) -> DataFrame:
