@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "doc_rule_hits", "line_findings", "fault_report", "base_score", "apply_fixes", "fix_summary",
-    "analyze_snippets", "report_languages", "all_findings", "expand_corpus", "stratified_split",
+    "analyze_corpus", "report_by_lang", "all_findings", "expand_corpus", "stratified_split",
     "exact_lookup", "best_by_type", "suggest_correction", "extract_features", "rule_accuracy",
     "char_wb_ngrams", "top_vocabulary", "tfidf_sublinear", "text_metrics", "usage_by_model", "first_success",
     "recent_history", "lint_log_findings",

@@ -13,10 +13,10 @@ from codegauge.functions import text as T
 from codegauge.functions.text import quote
 
 # One alternation, so a quote in a comment or a # in a string is not misread. The possessive
-# loops keep the matcher from recursing on long strings.
+# loops keep the matcher from recursing on long strings; the look-ahead skips other characters fast.
 _STRING_OR_COMMENT = (
-    r'(?s)"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|\z)' r"|'''(?:[^'\\]|\\.|'(?!''))*+(?:'''|\z)"
-    r'|"(?:[^"\\\n]|\\.)*+"' r"|'(?:[^'\\\n]|\\.)*+'" r"|#[^\n]*"
+    r'(?s)(?=["\'#])(?:"""(?:[^"\\]|\\.|"(?!""))*+(?:"""|\z)' r"|'''(?:[^'\\]|\\.|'(?!''))*+(?:'''|\z)"
+    r'|"(?:[^"\\\n]|\\.)*+"' r"|'(?:[^'\\\n]|\\.)*+'" r"|#[^\n]*)"
 )
 _DEF = T.rx(r"(?m)^([^\S\n]*)def\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*+)\)")
 _KEYWORD_ONLY = T.rx(r"(?s)(?:^|,)\s*\*.*")
@@ -55,9 +55,8 @@ def may_divide(code: str) -> str:
 
 
 def skeleton(code: str) -> str:
-    unified = f"regexp_replace({code}, {quote(T.ODD_BREAKS)}, '\\n')"
     blank = quote("''")
-    return f"regexp_replace({unified}, {quote(_STRING_OR_COMMENT)}, {blank})"
+    return f"regexp_replace({T.unify_breaks_sql(code)}, {quote(_STRING_OR_COMMENT)}, {blank})"
 
 
 def mutable_defaults(skel: str) -> str:
@@ -65,10 +64,10 @@ def mutable_defaults(skel: str) -> str:
 
     Outer functions come first, then position: the order of a breadth-first walk.
     """
-    lead, names, params = (f"regexp_extract_all({skel}, {quote(_DEF)}, {g})" for g in (1, 2, 3))
-    positional = f"regexp_replace(x.`2`, {quote(_KEYWORD_ONLY)}, '')"
-    found = (f"transform(arrays_zip({lead}, {names}, {params}), (x, i) -> named_struct("
-             f"'indent', length(x.`0`), 'pos', i, 'name', x.`1`, "
+    part = "regexp_extract(h, {0}, {1})".format
+    positional = f"regexp_replace({part(quote(_DEF), 3)}, {quote(_KEYWORD_ONLY)}, '')"
+    found = (f"transform(regexp_extract_all({skel}, {quote(_DEF)}, 0), (h, i) -> named_struct("
+             f"'indent', length({part(quote(_DEF), 1)}), 'pos', i, 'name', {part(quote(_DEF), 2)}, "
              f"'n', size(regexp_extract_all({positional}, {quote(_MUTABLE)}, 0))))")
     return f"flatten(transform(sort_array({found}), x -> array_repeat(x.name, x.n)))"
 

@@ -33,10 +33,14 @@ def strip_sql(text: str) -> str:
     return f"btrim({text}, {quote(BLANKS)})"
 
 
+def unify_breaks_sql(text: str) -> str:
+    """`unify_breaks` as SQL text; text with plain newlines only, the usual case, passes through."""
+    return f"if({text} RLIKE {quote(ODD_BREAKS)}, regexp_replace({text}, {quote(ODD_BREAKS)}, '\n'), {text})"
+
+
 def split_lines_sql(text: str) -> str:
     """`split_lines` as SQL text, for use inside larger expressions."""
-    unified = f"regexp_replace({text}, {quote(ODD_BREAKS)}, '\n')"
-    joined = f"regexp_replace({unified}, {quote(TRAILING_BREAK)}, '')"
+    joined = f"regexp_replace({unify_breaks_sql(text)}, {quote(TRAILING_BREAK)}, '')"
     return f"if({text} = '', CAST(array() AS array<string>), split({joined}, '\n', -1))"
 
 
@@ -50,13 +54,12 @@ def is_blank(text: Column) -> Column:
 
 def unify_breaks(text: Column) -> Column:
     """Every line break becomes a single newline."""
-    return F.regexp_replace(text, ODD_BREAKS, "\n")
+    return F.when(text.rlike(ODD_BREAKS), F.regexp_replace(text, ODD_BREAKS, "\n")).otherwise(text)
 
 
 def joined_lines(text: Column) -> Column:
     """The lines of the text joined by newlines: one trailing break is lost."""
-    unified = unify_breaks(text)
-    return F.regexp_replace(unified, TRAILING_BREAK, "")
+    return F.regexp_replace(unify_breaks(text), TRAILING_BREAK, "")
 
 
 def split_lines(text: Column) -> Column:

@@ -499,16 +499,16 @@ ORACLE: dict[str, str] = {
              SELECT l.doc_id, 2 FROM lint l JOIN snippets s ON s.doc_id = l.doc_id AND s.lang = 'python') GROUP BY doc_id""",
         "findings", "tree", "lint"),
     "security_count": sql(f"SELECT doc_id, {security('report')} AS security_count FROM rule_report", "rule_report"),
-    "analyze_snippets": sql(_SNIPPET_ANALYSIS.replace("{report}", "full_report").replace("{base}", "base_lint"),
+    "analyze_corpus": sql(_SNIPPET_ANALYSIS.replace("{report}", "full_report").replace("{base}", "base_lint"),
                             "full_report", "fixed", "base_lint"),
     "analyze_pages": sql(analysis("page_scripts", "page_report", "page_fixed", _PAGE_PEN) + ")",
                          "page_report", "page_fixed", "page_hits"),
-    "report_languages": sql(
+    "report_by_lang": sql(
         "SELECT lang, count(*) AS docs, round(avg(score), 6) AS mean_score, sum(critical_count)::BIGINT AS critical, "
         "sum(optims_count)::BIGINT AS optims, sum(security_count)::BIGINT AS security FROM ("
         + _SNIPPET_ANALYSIS.replace("{report}", "tree_report").replace("{base}", "base") + ") GROUP BY lang",
         "tree_report", "fixed", "base"),
-    "report_rules": sql("SELECT lang, rule_id, count(*) AS docs FROM hits GROUP BY lang, rule_id", "hits"),
+    "report_by_rule": sql("SELECT lang, rule_id, count(*) AS docs FROM hits GROUP BY lang, rule_id", "hits"),
     "apply_fixes": sql("SELECT doc_id, lang, fixed_code FROM fixed", "fixed"),
     "fix_summary": sql(_summary(), "fixed"),
     "text_metrics": f"""SELECT doc_id, len({lines_of('text')})::INTEGER AS line_count, length(text)::INTEGER AS char_count,
