@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from codegauge.llm.licenses import PHRASES, TEMPLATES, parts
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -21,6 +23,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN word USING (r) LEFT JOIN found USING (r)"""
 
+
+def _template_regex(template: str) -> str:
+    """The template over words that each follow a blank."""
+    return "".join({"(": "(?:", ")": ")?"}.get(p) or (f"(?: [^ ]+){{0,{p}}}" if isinstance(p, int) else f"(?: {p})")
+                   for p in parts(template)) + " "
+
+
+def licenses_sql(templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES) -> str:
+    phrase_rows = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in phrases)
+    template_rows = ", ".join(f"('{label}', '{_template_regex(t)}')" for label, t in templates)
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+phrase(p, label, n) AS (VALUES {phrase_rows}),
+template(label, pattern) AS (VALUES {template_rows}),
+place AS (SELECT r, q - 1 AS place_at, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS q FROM d) JOIN phrase
+          ON array_to_string(w[q : q + n - 1], ' ') = p),
+base AS (SELECT r, count(*) AS n_base, min(place_at) AS first_word, max(place_at) AS last_word FROM place GROUP BY r),
+own AS (SELECT r, label FROM (SELECT r, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d) JOIN template
+        ON regexp_matches(s, pattern)),
+base_label AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM place GROUP BY r),
+label AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+          FROM (SELECT r, label FROM place UNION SELECT r, label FROM own) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN r IN (SELECT r FROM own) THEN 1.0 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN base_label USING (r) LEFT JOIN label USING (r)"""
+
+
 ORACLE = {
+    "op4_license_scan": licenses_sql(),
     "op7_decontaminate": _OP7,
 }

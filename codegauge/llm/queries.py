@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegauge.llm import decontaminate
+from codegauge.llm import decontaminate, licenses
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    base, own = "transform(phrases, m -> m.label)", "transform(templates, m -> m.label)"
+    return found.select(
+        "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"),
+        F.expr("array_min(transform(phrases, m -> m.start))").alias("first_word"),
+        F.expr("array_max(transform(phrases, m -> m.start))").alias("last_word"),
+        F.expr(f"array_join(array_sort(array_distinct({base})), ',')").alias("base_labels"),
+        F.expr(f"array_join(array_sort(array_union({base}, {own})), ',')").alias("labels"),
+        F.expr("CASE WHEN size(templates) > 0 THEN 1D WHEN size(phrases) > 0 THEN 0.5D ELSE 0D END").alias("score"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.expr("array_sort(array_distinct(flatten(transform(matches, m -> m.item_ids))))")
@@ -20,5 +32,6 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_license_scan": op4_license_scan,
     "op7_decontaminate": op7_decontaminate,
 }
