@@ -52,7 +52,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BI
 FROM d LEFT JOIN base USING (r) LEFT JOIN base_label USING (r) LEFT JOIN label USING (r)"""
 
 
+
+def near_duplicates_sql(shingle: int, percent: int) -> str:
+    """Links by counting common shingles, components by following links."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p : p + {shingle} - 1], ' ') AS s
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {shingle} + 2, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(r, q) AS (SELECT a, b FROM sides UNION SELECT reach.r, sides.b FROM reach JOIN sides ON reach.q = sides.a),
+c AS (SELECT reach.r, min(d.doc_id) AS c FROM reach JOIN d ON d.r = q GROUP BY reach.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(c, doc_id), doc_id) AS component_id,
+       doc_id IS NOT DISTINCT FROM coalesce(least(c, doc_id), doc_id) AS kept
+FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""
+
+
 ORACLE = {
+    "op2_near_duplicates": near_duplicates_sql(2, 80),
     "op4_license_scan": licenses_sql(),
     "op7_decontaminate": _OP7,
 }
