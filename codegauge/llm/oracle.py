@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from codegauge.llm.licenses import PHRASES, TEMPLATES, parts
+from codegauge.llm.sharding import LIMIT_BYTES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -70,8 +71,25 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(c, d
 FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)"""
 
 
+
+def shards_sql(limit: int) -> str:
+    """The depth of a row: one more than its deepest prefix that is too large and holds two hashes."""
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, CAST(strlen(coalesce(text, '')) AS BIGINT) AS b,
+                  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+p AS (SELECT r, h, b, k, h >> (60 - k) AS x FROM d, (SELECT unnest(range(0, 61)) AS k)),
+f AS (SELECT k, x FROM p GROUP BY k, x HAVING sum(b) > {limit} AND min(h) < max(h)),
+e AS (SELECT d.r, d.doc_id, d.b, d.h, coalesce(max(f.k) + 1, 0) AS depth
+      FROM d JOIN p ON p.r = d.r LEFT JOIN f ON f.k = p.k AND f.x = p.x GROUP BY ALL),
+s AS (SELECT *, lpad(bin(h >> (60 - depth)), CAST(depth AS INTEGER), '0') AS shard FROM e)
+SELECT doc_id, b AS bytes, shard, CAST(depth AS BIGINT) AS depth, '0' AS page, CAST(sum(b) OVER w AS BIGINT) AS shard_bytes,
+       count(*) OVER w AS shard_rows, b > {limit} AS oversize
+FROM s WINDOW w AS (PARTITION BY shard)"""
+
+
 ORACLE = {
     "op2_near_duplicates": near_duplicates_sql(2, 80),
+    "op3_hash_shards": shards_sql(LIMIT_BYTES),
     "op4_license_scan": licenses_sql(),
     "op7_decontaminate": _OP7,
 }
