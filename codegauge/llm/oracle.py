@@ -87,7 +87,19 @@ SELECT doc_id, b AS bytes, shard, CAST(depth AS BIGINT) AS depth, '0' AS page, C
 FROM s WINDOW w AS (PARTITION BY shard)"""
 
 
+
+_OP1 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])), 0) AS BIGINT) AS score
+      FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
+
+
 ORACLE = {
+    "op1_top_k": _OP1,
     "op2_near_duplicates": near_duplicates_sql(2, 80),
     "op3_hash_shards": shards_sql(LIMIT_BYTES),
     "op4_license_scan": licenses_sql(),

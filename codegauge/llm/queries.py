@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegauge.llm import decontaminate, licenses, neardup, sharding
+from codegauge.llm import covertree, decontaminate, licenses, neardup, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return covertree.top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -42,6 +47,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_hash_shards": op3_hash_shards,
     "op4_license_scan": op4_license_scan,
