@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegauge.llm import covertree, decontaminate, licenses, neardup, sharding
+from codegauge.llm import compression, covertree, decontaminate, licenses, neardup, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN size(templates) > 0 THEN 1D WHEN size(phrases) > 0 THEN 0.5D ELSE 0D END").alias("score"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", (compression.fold("doc_id") == 0).alias("held_out"), "score", quality.predicted().alias("predicted"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.expr("array_sort(array_distinct(flatten(transform(matches, m -> m.item_ids))))")
@@ -46,10 +51,18 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", (compression.fold("doc_id") == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_hash_shards": op3_hash_shards,
     "op4_license_scan": op4_license_scan,
+    "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op10_toxicity": op10_toxicity,
 }
