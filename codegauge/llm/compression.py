@@ -35,10 +35,14 @@ def fold(id_col: str) -> F.Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def compressor(dictionary: bytes, level: int, raw: bool) -> zstandard.ZstdCompressor:
+def compressor(dictionary: bytes, level: int, raw: bool, min_match: int = 0, source: int = 0) -> zstandard.ZstdCompressor:
+    """A compressor for small frames without any header that is the same for all of them."""
     kind = zstandard.DICT_TYPE_RAWCONTENT if raw else zstandard.DICT_TYPE_AUTO
-    return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind) if dictionary else None,
-                                    write_content_size=False, write_dict_id=False, write_checksum=False)
+    own = {"min_match": min_match} if min_match else {}
+    settings = zstandard.ZstdCompressionParameters.from_level(
+        level, source_size=source, dict_size=len(dictionary), write_content_size=0, write_dict_id=0, write_checksum=0, **own)
+    return zstandard.ZstdCompressor(
+        compression_params=settings, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind) if dictionary else None)
 
 
 def trained(samples: list[bytes], size: int) -> bytes:

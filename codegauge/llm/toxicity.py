@@ -5,9 +5,9 @@ stretches that mark toxic text: byte n-grams that occur in many more toxic than
 ordinary dictionary is padded to the same length, so matches in the common part cost the same, and a window gets shorter under
 the toxic dictionary by what toxic stretches save. Pieces that repeat one another count once, so copies are no evidence.
 
-Every whole text, with letters A-Z lower-cased, is compressed in windows with both. Features of the score: the largest saving of a
-window, the three largest, their share of windows above the calibrated saving, and the mean. A logistic curve, fitted on labelled documents
-that built no dictionary, makes them a probability. Bounds and defined results: `codegauge.llm.compression`.
+Every whole text, with letters A-Z lower-cased, is compressed in windows with both. Features of the score: the
+largest saving of a window, the three largest, the mean, the share and the sum of savings of two bytes and more, the sum of those of
+four and more. A logistic curve, fitted on labelled documents that built no dictionary, weighs them: it is the threshold's calibration. Bounds and defined results: `codegauge.llm.compression`.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 
 from codegauge.llm.compression import LOWER, Features, classify, compressor, grams, log1, trained, unlike, windows
 
-WINDOW, LEVEL = 256, 3
+#: Below 64 literals zstandard writes them plainly, so in short windows a saving is bytes of matched wording.
+WINDOW, LEVEL, MIN_MATCH = 96, 6, 4
 ORDINARY, TOXIC = 16_000, 8192
-NGRAMS = (5, 6, 8)
+NGRAMS = (4, 5, 6, 8)
 #: How much more frequent an n-gram is in toxic pieces, and how many standard errors that exceeds chance by.
-RATIO, ERRORS = 8.0, 4.0
+RATIO, ERRORS = 30.0, 4.5
 
 
 def _counts(pieces: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,12 +69,13 @@ def stretches(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
 
 def saving_features(toxic: bytes, ordinary: bytes) -> Callable[[], Features]:
     def make() -> Features:
-        a, b = compressor(b"\0" * len(toxic) + ordinary, LEVEL, True), compressor(toxic + ordinary, LEVEL, True)
+        a, b = (compressor(d, LEVEL, True, MIN_MATCH, WINDOW) for d in (b"\0" * len(toxic) + ordinary, toxic + ordinary))
 
         def features(text: bytes) -> list[float]:
             saved = sorted((len(a.compress(w)) - len(b.compress(w)) for w in windows(text, WINDOW)), reverse=True)
-            most, top = saved[0], sum(saved[:3])
-            return [max(-2, min(most, 8)), log1(most), log1(top), sum(s >= 3 for s in saved) / len(saved), sum(saved) / len(saved)]
+            some = [s for s in saved if s >= 2]
+            return [min(saved[0], 12), min(sum(saved[:3]), 30), sum(saved) / len(saved), len(some) / len(saved),
+                    log1(sum(some)), log1(sum(s for s in some if s >= 4))]
 
         return features
 
