@@ -23,17 +23,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codegauge.session import scratch_path
 
 BLOCK = 4096
 PIVOTS = 64
 LEAF = 48
+#: Block pairs that go to Python at once, while blocks are written and searched.
+ROWS_PER_BATCH = 8
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
 
@@ -245,14 +248,26 @@ def _search_pairs(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFr
         yield pd.DataFrame({"query_id": ids, "vec_id": ranked, "score": scores}, dtype="int64")
 
 
+@contextmanager
+def _few_rows_per_batch(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROWS_PER_BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding",
           block: int = BLOCK, max_pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest integer inner product for every query."""
     spark = vectors.sparkSession
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
+    def stored(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
         path = scratch_path(spark, name)
-        df.write.parquet(path)
+        with _few_rows_per_batch(spark) if large_rows else nullcontext():
+            df.write.parquet(path)
         return spark.read.parquet(path)
 
     rows = quantised(vectors, id_col, vector_col, scale)
@@ -279,7 +294,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     home_pairs = asked.join(cand.drop("mid", "radius"), ["dim", "pivot"]).withColumn("worst", F.lit(None).cast("binary"))
-    home = stored(home_pairs.select(*pair_cols).mapInPandas(lambda it: _search_pairs(it, k), result), "home")
+    home = stored(home_pairs.select(*pair_cols).mapInPandas(lambda it: _search_pairs(it, k), result), "home", True)
     # the kth score that each query has reached, and the worst of them in each query block
     reached = best_of(home).groupBy("query_id").agg(F.max("rank").alias("m"), F.min("score").alias("s")).where(F.col("m") == k)
     members = asked.select("qblock", F.explode(_ids("q_ids")).alias("query_id"))
@@ -293,7 +308,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         .join(cand.select("dim", "pivot", "block", "mid", "radius"), "dim").where("pivot <> qpivot") \
         .where(most + F.abs(most) * 1e-9 + 1e-6 >= F.col("least")).select("qblock", "block")
     far_pairs = near.join(aimed.drop("pivot", "qmid", "qradius", "least"), "qblock").join(cand.drop("dim", "pivot", "mid", "radius"), "block")
-    far = far_pairs.select(*pair_cols).mapInPandas(lambda it: _search_pairs(it, k), result)
+    far = stored(far_pairs.select(*pair_cols).mapInPandas(lambda it: _search_pairs(it, k), result), "far", True)
     return best_of(home.union(far)).select("query_id", "rank", "vec_id", "score")
 
 
