@@ -6,9 +6,10 @@
 2. Star: the classes that share a band key are a bucket; its member of smallest random rank is the centre and every other member
    gets one edge to it, so a bucket of m members makes m - 1 edges. Ranks differ from band to band, so centres do too.
 3. Edges are confirmed on the full shingle sets, rebuilt from the texts of the classes that have an edge.
-4. Rest: a star can miss links between its leaves. In buckets whose members are not yet one component, members outside the
-   bucket's largest component get an edge to every member of another component; those edges are confirmed too. Members of one
-   component need no further edge, so a large group of copies adds none.
+4. Rest: a star can miss links between its leaves. A bucket whose members are not one component yet belongs to the home of its most
+   frequent component; members outside that component are compared with all members of the buckets of that home, so no link that
+   shares a bucket is lost. The comparison goes block by block (at most BLOCK askers and BLOCK others in a group) inside
+   tasks, and a row comes out only for a link to another component. Members of one component need no further comparison.
 5. Components by repeated minimum over neighbours with pointer jumping; every document takes its class's component.
 
 With bands of 6 rows of 64 bands, a pair at similarity 0.8 shares no bucket with probability 4e-9.
@@ -35,7 +36,7 @@ from codegauge.llm.words import SPACES, chain, mix, runs, slices, words
 from codegauge.session import scratch_path
 
 BINS, ROWS = 384, 6
-ATTEMPTS = 32
+ATTEMPTS, BLOCK = 32, 512
 _REST_SEED, _PICK_SEED, _BAND_SEED = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -151,10 +152,13 @@ def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _sets(docs: DataFrame, edges: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """node and its sorted shingle hashes as bytes, for every class at an end of an edge."""
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    wanted = classes.select("node", "n", "d1", "d2").join(ends, "node", "left_semi").withColumnRenamed("node", "id")
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """node and its sorted shingle hashes as bytes, for the given classes."""
+    wanted = classes.select("node", "n", "d1", "d2").join(nodes, "node", "left_semi").withColumnRenamed("node", "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task: rows with a repeated id lie together
@@ -212,6 +216,72 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         labels = after.select("node", F.col("to").alias("label"))
 
 
+def _merged(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the links: components of the graph whose nodes are the labels so far."""
+    between = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a") \
+        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    joined = components(spark, between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return _stored(spark, labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def _mixed(spark: SparkSession, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with their label and the bucket's most frequent one (top)."""
+    tagged = members.select("key", "node", "n").join(labels, "node").select("key", "node", "n", "label")
+    parts = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")) \
+        .where("labels > 1").select("key", F.col("top.label").alias("top"))
+    return _stored(spark, tagged.join(mixed, "key"), "open")
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by group: for every asker one link to each other component that has one in the group."""
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        others = [r for r in rows if not r[1]]
+        if not others:
+            return []
+        flat = np.concatenate([r[4] for r in others])
+        sizes = np.array([len(r[4]) for r in others])
+        owner = np.repeat(np.arange(len(others)), sizes)
+        label = np.array([r[3] for r in others])
+        out = []
+        for _, asks, node, own, shingles in rows:
+            if not asks or not len(shingles):
+                continue
+            at = np.minimum(np.searchsorted(shingles, flat), len(shingles) - 1)
+            common = np.bincount(owner[shingles[at] == flat], minlength=len(others))
+            good = np.flatnonzero((label != own) & (100 * common >= percent * (len(shingles) + sizes - common)))
+            out += [(node, others[k][2]) for k in good[np.unique(label[good], return_index=True)[1]]]
+        return out
+
+    group, key = [], None
+    for batch in batches:
+        found = []
+        columns = [batch.column(c).to_pylist() for c in ("home", "chunk", "part", "asks", "node", "label")]
+        for (h, c, p, asks, node, label), raw in zip(zip(*columns), batch.column("shingles")):
+            if (h, c, p) != key:
+                found += links(group)
+                group, key = [], (h, c, p)
+            group.append((key, asks, node, label, np.frombuffer(raw.as_py(), np.uint64)))
+        yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    found = links(group)
+    yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _block_links(spark: SparkSession, left: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that the stars left, from comparing the askers of every home with all its members."""
+    members = left.select(F.col("top").alias("home"), "node", "label").distinct()
+    members = members.withColumn("asks", F.col("label") != F.col("home"))
+    count = members.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks"), F.ceil(F.sum(F.col("asks").cast("int")) / BLOCK).alias("parts"))
+    sized = _stored(spark, members.join(count, "home"), "homes")
+    side = lambda n: F.pmod(F.xxhash64("node", "home"), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    others = sized.select("home", side("chunks").alias("chunk"), all_of("parts").alias("part"), F.lit(False).alias("asks"), "node", "label")
+    askers = sized.where("asks").select("home", all_of("chunks").alias("chunk"), side("parts").alias("part"), F.lit(True).alias("asks"), "node", "label")
+    sets = _sets(texts, sized.select("node").distinct(), classes, size)
+    rows = others.union(askers).join(sets, "node").repartition("home", "chunk", "part").sortWithinPartitions("home", "chunk", "part")
+    return rows.mapInArrow(lambda it: _compare_blocks(it, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, `n_shingles` (size of its set) and `component_id` (smallest id reachable, itself included)."""
@@ -230,22 +300,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     star = _stored(spark, bucketed.where("node <> centre").select(
         F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "star")
     texts = source.where("id IS NOT NULL")
-    links = _stored(spark, confirmed(star, _sets(texts, star, classes, shingle), percent), "links")
-    labels = components(spark, links)
-    # what the stars leave: buckets of more than two members that are not one component yet
-    tagged = bucketed.where("m > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    parts = tagged.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels")) \
-        .where("labels > 1").select("key", F.col("top.label").alias("top"))
-    open_ = _stored(spark, tagged.join(mixed, "key"), "open")
-    small = open_.where("label <> top").select("key", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("label").alias("xl"))
-    pairs = open_.join(small, "key").where(f"label <> xl AND 100 * least(n, xn) >= {percent} * greatest(n, xn)") \
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    rest = _stored(spark, pairs.join(star, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = _stored(spark, confirmed(rest, _sets(texts, rest, classes, shingle), percent), "links")
-        if not more.isEmpty():
-            labels = components(spark, links.union(more))
+    links = _stored(spark, confirmed(star, _sets(texts, _ends(star), classes, shingle), percent), "links")
+    nodes = bucketed.select("node").distinct().withColumn("label", F.col("node"))
+    labels = _merged(spark, nodes, links)
+    left = _mixed(spark, bucketed.where("m > 2"), labels)
+    more = _stored(spark, _block_links(spark, left, texts, classes, shingle, percent), "links")
+    if not more.isEmpty():
+        labels = _merged(spark, labels, more)
     found = classes.select(*digest, "node").join(labels, "node", "left").select(*digest, F.coalesce("label", "node").alias("component"))
     return sketched.select("id", *digest).join(found, digest, "left") \
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
