@@ -1,8 +1,8 @@
 """Exact top-k by inner product: dual-tree search over cover trees of queries and candidates.
 
-Vectors are laid out in blocks of nearby vectors. A block holds a cover tree in arrays: every level halves the scale, the centres of
+Vectors are laid out in blocks of nearby vectors. A block holds a cover tree in arrays: every level divides the scale by BASE, the centres of
 a node's children are a net of its points at that scale (each point within the scale of its centre, centres further apart than
-it), and every node keeps the measured covering radius of its points. A pair of nodes, one of queries (centre q, radius r) and
+it), and every node keeps the measured covering radius of its points. A node whose net would be nearly all of its points is a leaf. A pair of nodes, one of queries (centre q, radius r) and
 one of candidates (centre p, radius s), can reach at most q.p + r|p| + s|q| + rs; it is pruned when that is below the worst kth score
 of the query group. The search goes down both trees, sorts the remaining leaf pairs by bound and scores them best first.
 
@@ -35,6 +35,12 @@ from codegauge.session import scratch_path
 BLOCK = 4096
 PIVOTS = 64
 LEAF = 48
+#: Each level of a tree divides the scale by this.
+BASE = 1.3
+#: A net with more than a part of CROWD of its points as centres is no use; its node is not split.
+CROWD = 4
+#: Node pairs, and candidates, that are worked off at once.
+CHUNK = 4096
 #: Block pairs that go to Python at once, while blocks are written and searched.
 ROWS_PER_BATCH = 8
 _EXACT = float(1 << 53)
@@ -56,7 +62,7 @@ class Tree:
 
 
 def build_tree(ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Tree:
-    """Level by level: split each node into the cells of a net at half its scale, down to small or single-valued nodes."""
+    """Level by level: split each node into the cells of a net at the next scale, down to small or single-valued nodes."""
     order = np.arange(len(ids))
     centres, radii, starts, stops, firsts, lasts = [], [], [], [], [], []
 
@@ -74,23 +80,23 @@ def build_tree(ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Tree:
     add(order, 0, 0)
     node = 0
     while node < len(centres):
-        start, stop, scale = starts[node], stops[node], radii[node] / 2
+        start, stop, scale = starts[node], stops[node], radii[node] / BASE
         if stop - start > leaf and radii[node] > 0:
-            where = order[start:stop].copy()
-            firsts[node] = len(centres)
-            at = start
-            centre = centres[node]
-            while len(where):
+            where, cells, centre = order[start:stop].copy(), [], centres[node]
+            while len(where) and len(cells) <= (stop - start) // CROWD:
                 gap = points[where] - points[centre]
                 near = (gap * gap).sum(axis=1) <= scale * scale
                 near |= where == centre
-                own = where[near]
-                order[at:at + len(own)] = own
-                add(own, at, centre)
-                at += len(own)
+                cells.append((where[near], centre))
                 where = where[~near]
                 centre = where[0] if len(where) else -1
-            lasts[node] = len(centres)
+            if not len(where):  # else the net has nearly as many centres as points, and the node stays a leaf
+                firsts[node], at = len(centres), start
+                for own, centre in cells:
+                    order[at:at + len(own)] = own
+                    add(own, at, centre)
+                    at += len(own)
+                lasts[node] = len(centres)
         node += 1
     slot = np.empty(len(order), np.int64)
     slot[order] = np.arange(len(order))
@@ -98,10 +104,15 @@ def build_tree(ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> Tree:
 
 
 def _bounds(q: Tree, c: Tree, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    p, r = q.points[q.centre[a]], c.points[c.centre[b]]
-    most = (p * r).sum(axis=1) + q.radius[a] * np.sqrt((r * r).sum(axis=1)) + c.radius[b] * np.sqrt((p * p).sum(axis=1)) \
-        + q.radius[a] * c.radius[b]
-    return most + np.abs(most) * 1e-9 + 1e-6  # rounding never prunes
+    """The most that a query of node a and a candidate of node b can reach; rounding never prunes."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), CHUNK):
+        x, y = a[at:at + CHUNK], b[at:at + CHUNK]
+        p, r = q.points[q.centre[x]], c.points[c.centre[y]]
+        most = (p * r).sum(axis=1) + q.radius[x] * np.sqrt((r * r).sum(axis=1)) + c.radius[y] * np.sqrt((p * p).sum(axis=1)) \
+            + q.radius[x] * c.radius[y]
+        out[at:at + CHUNK] = most + np.abs(most) * 1e-9 + 1e-6
+    return out
 
 
 def _products(p: np.ndarray, r: np.ndarray, exact: bool) -> np.ndarray:
@@ -125,6 +136,11 @@ class Best:
 
     def offer(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
         old = self.found[row]
+        if len(scores) > self.k and scores.dtype != object:
+            near = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            scores, ids = scores[near], ids[near]
+            first = np.lexsort((ids, -scores))[:self.k]
+            scores, ids = scores[first], ids[first]
         pool = old + list(zip((-scores).tolist(), ids.tolist()))
         pool.sort()
         self.found[row] = pool[:self.k]
@@ -161,9 +177,11 @@ def search(q: Tree, c: Tree, k: int, floor: np.ndarray, best: Best | None = None
     cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else np.zeros(0, np.int64)
     for lo, hi in zip(cuts, cuts[1:]):
         s, t = q.start[a[lo]], q.stop[a[lo]]
-        at, step = lo, 1
+        at = lo
         while at < hi and bound[at] >= np.maximum(floor[s:t], best.worst[s:t]).min():
-            part = b[at:min(at + step, hi)]
+            sizes = np.cumsum(c.stop[b[at:hi]] - c.start[b[at:hi]])
+            step = max(1, int(np.searchsorted(sizes, min(CHUNK, 4 * LEAF if at == lo else CHUNK), "right")))
+            part = b[at:at + step]
             rows = np.concatenate([np.arange(c.start[x], c.stop[x]) for x in part])
             scores = _products(q.points[s:t], c.points[rows], exact)
             ids = c.ids[rows]
@@ -172,7 +190,7 @@ def search(q: Tree, c: Tree, k: int, floor: np.ndarray, best: Best | None = None
                 ok = (scores[row - s] >= least) & (ids != q.ids[row])
                 if ok.any():
                     best.offer(row, scores[row - s][ok], ids[ok])
-            at, step = at + step, min(2 * step, 64)
+            at += step
     return best
 
 
