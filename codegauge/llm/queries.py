@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegauge.llm import compression, covertree, decontaminate, licenses, neardup, quality, sharding, toxicity
+from codegauge.llm import compression, covertree, decontaminate, licenses, neardup, quality, sharding, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN size(templates) > 0 THEN 1D WHEN size(phrases) > 0 THEN 0.5D ELSE 0D END").alias("score"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scores.select("doc_id", (compression.fold("doc_id") == 0).alias("held_out"), "score", quality.predicted().alias("predicted"))
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_hash_shards": op3_hash_shards,
     "op4_license_scan": op4_license_scan,
+    "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
     "op10_toxicity": op10_toxicity,
