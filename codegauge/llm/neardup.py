@@ -10,7 +10,7 @@
    frequent component; members outside that component are compared with all members of the buckets of that home, so no link that
    shares a bucket is lost. The comparison goes block by block (at most BLOCK askers and BLOCK others in a group) inside
    tasks, and a row comes out only for a link to another component. Members of one component need no further comparison.
-5. Components by repeated minimum over neighbours with pointer jumping; every document takes its class's component.
+5. Components by merging nodes into their smallest neighbour; every document takes its class's component.
 
 With bands of 6 rows of 64 bands, a pair at similarity 0.8 shares no bucket with probability 4e-9.
 
@@ -201,19 +201,25 @@ def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for the nodes that have an edge.
 
-    Each round every node takes the smallest label among its neighbours, then the label of its label, until none changes.
+    Each round merges every node into the smallest of itself and its neighbours and keeps only the edges between different
+    merged nodes, so the graph shrinks; the rounds' maps are composed from the last, smallest one back.
     """
-    both = _stored(spark, edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = _stored(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b") \
-            .groupBy(F.col("a").alias("node")).agg(F.min("l").alias("l"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "l").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        after = _stored(spark, step.join(jump, "new").select("node", F.least("new", "far").alias("to"), "label"), "labels")
-        if after.where("to <> label").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", F.col("to").alias("label"))
+    rounds: list[DataFrame] = []
+    left = _stored(spark, edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a"))
+        into = _stored(spark, both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+        rounds.append(into)
+        ends = left.join(into.select(F.col("node").alias("a"), F.col("label").alias("x")), "a") \
+            .join(into.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").where("x <> y")
+        left = _stored(spark, ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not rounds:
+        return spark.createDataFrame([], "node long, label long")
+    found = rounds.pop()
+    while rounds:
+        after = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        found = _stored(spark, rounds.pop().join(after, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+    return found
 
 
 def _merged(spark: SparkSession, labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -301,8 +307,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
         F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "star")
     texts = source.where("id IS NOT NULL")
     links = _stored(spark, confirmed(star, _sets(texts, _ends(star), classes, shingle), percent), "links")
-    nodes = bucketed.select("node").distinct().withColumn("label", F.col("node"))
-    labels = _merged(spark, nodes, links)
+    labels = bucketed.select("node").distinct().join(components(spark, links), "node", "left") \
+        .select("node", F.coalesce("label", "node").alias("label"))
+    labels = _stored(spark, labels, "labels")
     left = _mixed(spark, bucketed.where("m > 2"), labels)
     more = _stored(spark, _block_links(spark, left, texts, classes, shingle, percent), "links")
     if not more.isEmpty():

@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 from codegauge.llm.pieces import MODEL_PATH, Lookup, Pieces, char_bytes, code_points, decode, escape, load_pieces, splitter
 from codegauge.llm.words import mix, slices
 
-SAMPLES, ALPHA, SEED = 3, 0.3, 1
-SLICE_BYTES = 1 << 20
+SAMPLES, ALPHA, SEED = 2, 0.3, 1
+SLICE_BYTES = 2 << 20
 _DRAW = np.uint64(0x9E3779B97F4A7C15)
 #: Draw numbers: sample << 40 | pre-token << 8 | use; `use` counts the tokens of a pre-token, the last ones are set aside.
 _ROOT, _REST = 255, 254
+_ALL = (1 << 64) - 1
 
 
 class Lattices:
@@ -100,7 +101,8 @@ class Lattices:
     def draw(self, word: np.ndarray, key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation of each given word: edges one after the other, where each word's begin, and their log chances."""
         at, end = self.base[word].copy(), self.final[word]
-        live = np.flatnonzero(at < end)
+        live = np.argsort(word, kind="stable")  # neighbouring nodes are searched one after the other
+        live = live[at[live] < end[live]]
         owner, edges, chance, turn = [], [], np.zeros(len(word)), 0
         while len(live):
             u = uniform(key[live], number[live] + np.uint64(min(turn, _REST - 1)) + (np.uint64(turn // _REST) << np.uint64(56)))
@@ -121,14 +123,17 @@ class Lattices:
         """A segmentation of a word that is none of the known ones, by their remaining chances."""
         at, out, log, left, step = int(self.base[word]), [], 0.0, known, 0
         while at < self.final[word]:
-            options = range(int(self.first[at]), int(self.first[at + 1]))
-            mass = []
-            for e in options:
-                gone = sum(math.exp(sum(self.log[x] for x in path[step:])) for path in left if path[step] == e)
-                mass.append(max(0.0, float(self.chance[e]) - gone))
-            u = float(uniform(np.array([key]), np.array([number + (step << 48)], np.uint64))[0]) * sum(mass)
-            pick = next((k for k, m in enumerate(np.cumsum(mass)) if m >= u and mass[k] > 0), int(np.argmax(mass)))
-            e = options[pick]
+            first = int(self.first[at])
+            mass = self.chance[first:int(self.first[at + 1])].tolist()
+            for path in left:
+                mass[path[step] - first] -= math.exp(sum(self.log[list(path[step:])].tolist()))
+            u = uniform_one(int(key), number + (step << 48)) * sum(max(0.0, m) for m in mass)
+            e, run = first + mass.index(max(mass)), 0.0
+            for k, m in enumerate(mass):
+                run += max(0.0, m)
+                if m > 0 and run >= u:
+                    e = first + k
+                    break
             out.append(e)
             log += float(self.log[e])
             left = [path for path in left if path[step] == e]
@@ -141,6 +146,14 @@ def uniform(key: np.ndarray, number: np.ndarray) -> np.ndarray:
     return (mix(key + number.astype(np.uint64) * _DRAW) >> np.uint64(12)).astype(np.float64) * 2.0 ** -52 + 2.0 ** -53
 
 
+def uniform_one(key: int, number: int) -> float:
+    """The same for one draw."""
+    x = (key + number * int(_DRAW)) & _ALL
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & _ALL
+    return ((x ^ x >> 31) >> 12) * 2.0 ** -52 + 2.0 ** -53
+
+
 def truncated(location: np.ndarray, most: float, u: np.ndarray) -> np.ndarray:
     """Gumbels of the given locations that are at most `most`."""
     with np.errstate(over="ignore"):
@@ -183,7 +196,7 @@ def best_first(lattices: Lattices, words: np.ndarray, key: np.uint64, fresh: lis
         paths.append(path)
         values.append(value)
 
-    top = -math.log(-math.log(float(uniform(np.array([key]), np.array([number(0, 0, _ROOT)], np.uint64))[0])))
+    top = -math.log(-math.log(uniform_one(int(key), number(0, 0, _ROOT))))
     expand(fresh[0], 0, top)
     while True:
         j = max(range(len(values)), key=lambda x: values[x].max())
@@ -196,8 +209,8 @@ def best_first(lattices: Lattices, words: np.ndarray, key: np.uint64, fresh: lis
         new = len(paths)
         other, chance = lattices.draw_other(int(words[i]), gone, key, number(new, i, _ROOT))
         gone.append(tuple(other))
-        rest = float(log_rest(math.log(min(1.0, sum(math.exp(sum(lattices.log[e] for e in path)) for path in gone)))))
-        u = uniform(np.array([key]), np.array([number(new + k, i, _ROOT)], np.uint64))
+        rest = float(log_rest(math.log(min(1.0, sum(math.exp(sum(lattices.log[list(path)].tolist())) for path in gone)))))
+        u = np.array([uniform_one(int(key), number(new + k, i, _ROOT))])
         location = float(log[:i].sum()) + rest
         values[j][i] = float(truncated(np.array([location]), most, u)[0]) if rest > -math.inf else -math.inf
         tail_edges, tail_offsets, tail_log = fresh[new]
@@ -214,11 +227,24 @@ def best_first(lattices: Lattices, words: np.ndarray, key: np.uint64, fresh: lis
     return out
 
 
-def _tokens(lattices: Lattices, edges: np.ndarray, pieces: Pieces) -> np.ndarray:
-    token = lattices.token[edges]
-    if (token >= 0).all():
-        return token
-    return np.concatenate([[t] if t >= 0 else [pieces.byte_ids[b] for b in char_bytes(chr(-1 - t))] for t in token.tolist()]).astype(np.int64)
+def _edge_tokens(lattices: Lattices, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all edges one after the other, and where each edge's begin; a lost character has a token for each byte."""
+    spelled = {c: [pieces.byte_ids[b] for b in char_bytes(chr(-1 - c))] for c in np.unique(lattices.token[lattices.token < 0]).tolist()}
+    count = np.ones(len(lattices.token), np.int64)
+    lost = np.flatnonzero(lattices.token < 0)
+    count[lost] = [len(spelled[c]) for c in lattices.token[lost].tolist()]
+    begin = np.concatenate([[0], np.cumsum(count)])
+    flat = np.repeat(lattices.token, count)
+    for e in lost.tolist():
+        flat[begin[e]:begin[e + 1]] = spelled[int(lattices.token[e])]
+    return flat, begin
+
+
+def _tokens(edges: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    count = begin[edges + 1] - begin[edges]
+    if len(edges) and count.max() == 1:
+        return flat[begin[edges]]
+    return flat[np.repeat(begin[edges] - np.cumsum(count) + count, count) + np.arange(count.sum())]
 
 
 def sample_texts(keys: list[int], texts: list[str], pieces: Pieces, lookup: Lookup, k: int, alpha: float) -> list[list[tuple[np.ndarray, float, float]]]:
@@ -235,10 +261,10 @@ def sample_texts(keys: list[int], texts: list[str], pieces: Pieces, lookup: Look
     place = (np.arange(len(words)) - starts[owner]).astype(np.uint64) << np.uint64(8)
     key = np.array(keys, np.uint64)
     draws = [lattices.draw(words, key[owner], place + np.uint64(j << 40)) for j in range(k)]
-    out = []
+    tokens, out = _edge_tokens(lattices, pieces), []
     for t, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
         fresh = [(e[o[a]:o[b]], o[a:b + 1] - o[a], log[a:b]) for e, o, log in draws]
-        out.append([(_tokens(lattices, e, pieces), p, q) for e, p, q in best_first(lattices, words[a:b], key[t], fresh, k)])
+        out.append([(_tokens(e, *tokens), p, q) for e, p, q in best_first(lattices, words[a:b], key[t], fresh, k)])
     return out
 
 
