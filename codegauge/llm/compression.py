@@ -147,52 +147,75 @@ def unlike(pieces: list[bytes]) -> list[bytes]:
 Features = Callable[[bytes], list[float]]
 
 
-def scored(docs: DataFrame, make: Callable[[], Features], curve: Curve | None, constant: float, id_col: str, text_col: str,
-           lower: bool) -> DataFrame:
-    """(id, score) of every row, or (id, features) where there is no curve yet (constant is then ignored)."""
+@dataclass
+class Model:
+    """Features and curve; without a curve every text has the constant score."""
+
+    make: Callable[[], Features] | None
+    curve: Curve | None
+    constant: float
+    lower: bool
+
+    def scores(self, features: Features | None, column: pa.Array) -> np.ndarray:
+        """The scores of a slice of texts, or their features while there is no curve."""
+        if features is None:
+            return np.full(len(column), self.constant)
+        data, offsets = text_bytes(column)
+        raw = data.tobytes()
+        raw = raw.translate(LOWER) if self.lower else raw
+        rows = np.array([features(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())])
+        return rows if self.curve is None else self.curve(rows)
+
+
+def scored(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """(id, score) of every row, or (id, features) of a model that has no curve yet."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+    tuning = model.make is not None and model.curve is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = make()
+        features = model.make() if model.make else None
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets = text_bytes(part.column("text"))
-                raw = data.tobytes()
-                raw = raw.translate(LOWER) if lower else raw
-                rows = [features(raw[a:b]) for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
-                out = pa.array(rows, pa.list_(pa.float64())) if curve is None else pa.array(curve(np.array(rows)), pa.float64())
+                found = model.scores(features, part.column("text"))
+                out = pa.array(found.tolist(), pa.list_(pa.float64())) if tuning else pa.array(found, pa.float64())
                 yield pa.record_batch([part.column("id"), out], names=["id", "score"])
 
-    return source.mapInArrow(run, f"id {kind}, score {'array<double>' if curve is None else 'double'}")
+    return source.mapInArrow(run, f"id {kind}, score {'array<double>' if tuning else 'double'}")
+
+
+def keep_rows(docs: DataFrame, model: Model, least: float = -math.inf, most: float = math.inf, text_col: str = "text") -> DataFrame:
+    """The documents with least <= score < most, all columns as they are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = model.make() if model.make else None
+        for batch in batches:
+            for part in slices(batch, text_col):
+                found = model.scores(features, part.column(text_col))
+                yield part.filter(pa.array((found >= least) & (found < most)))
 
+    return docs.mapInArrow(run, docs.schema)
 
-def classify(docs: DataFrame, labels: DataFrame, label_col: str, build: Callable[[dict[int, list[bytes]]], Callable[[], Features]],
-             lower: bool, per_class: int = PER_CLASS, chunks: int = CHUNKS, id_col: str = "doc_id", text_col: str = "text",
-             train: DataFrame | None = None) -> DataFrame:
-    """(id, score) of every document; `build` makes the features from the sampled pieces of each class.
 
-    `train`: where the labelled texts are looked up, `docs` by default.
-    """
-    train = docs if train is None else train
-    spark = docs.sparkSession
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, build: Callable[[dict[int, list[bytes]]], Callable[[], Features]],
+        lower: bool, per_class: int = PER_CLASS, chunks: int = CHUNKS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from the labelled documents; `build` makes the features from the sampled pieces of each class."""
     share, picked = labelled_ids(labels, label_col, id_col, per_class)
-    constant = 0.5 if share is None else share
-    make, curve = None, None
-    if share is not None and 0 < share < 1:
-        ids = spark.createDataFrame(picked, f"id {labels.schema[id_col].dataType.simpleString()}, label int, build boolean")
-        pieces = chunk_sample(train, ids, chunks, id_col, text_col)
-        if all(pieces.values()):
-            make = build(pieces)
-            tuning = train.join(F.broadcast(ids.where("NOT build").withColumnRenamed("id", "__id")), F.col(id_col) == F.col("__id")) \
-                .select(F.struct(id_col, "label").alias("key"), F.col(text_col).alias("text"))
-            seen = scored(tuning, make, None, constant, "key", "text", lower).select("id.label", "score").collect()
-            label = np.array([r["label"] for r in seen])
-            if len(set(label.tolist())) == 2:
-                curve = fit_curve(np.array([r["score"] for r in seen]), label, constant)
-    if curve is None:
-        return docs.select(F.col(id_col).alias("id"), F.lit(float(constant)).alias("score"))
-    return scored(docs, make, curve, constant, id_col, text_col, lower)
+    constant = Model(None, None, 0.5 if share is None else float(share), lower)
+    if share is None or not 0 < share < 1:
+        return constant
+    ids = docs.sparkSession.createDataFrame(picked, f"id {labels.schema[id_col].dataType.simpleString()}, label int, build boolean")
+    pieces = chunk_sample(docs, ids, chunks, id_col, text_col)
+    if not all(pieces.values()):
+        return constant
+    model = Model(build(pieces), None, float(share), lower)
+    tuning = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.where("NOT build")), "id") \
+        .select(F.struct("id", "label").alias("key"), "text")
+    seen = scored(tuning, model, "key", "text").select("id.label", "score").collect()
+    label = np.array([r["label"] for r in seen])
+    if len(set(label.tolist())) < 2:
+        return constant
+    model.curve = fit_curve(np.array([r["score"] for r in seen]), label, float(share))
+    return model
 
 
 def log1(x: float) -> float:

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from codegauge.llm.compression import Features, classify, compressor, trained, windows
+from codegauge.llm.compression import Features, Model, compressor, fit, scored, trained, windows
 
 WINDOW, DICTIONARY, LEVEL = 1024, 64 << 10, 3
 THRESHOLD = 0.3
@@ -39,9 +39,15 @@ def _build(pieces: dict[int, list[bytes]]) -> Callable[[], Features]:
     return size_features(trained(parts[1], DICTIONARY), trained(parts[0], DICTIONARY))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", **options) -> DataFrame:
+def quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality", **options) -> Model:
+    return fit(docs, labels, label_col, _build, lower=False, **options)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
+                   **options) -> DataFrame:
     """(id, score): the probability that a text is labelled good."""
-    return classify(docs, labels, label_col, _build, lower=False, id_col=id_col, **options).withColumnRenamed("id", id_col)
+    model = quality_model(docs, labels, label_col, id_col=id_col, text_col=text_col, **options)
+    return scored(docs, model, id_col, text_col).withColumnRenamed("id", id_col)
 
 
 def predicted(score: str = "score", threshold: float = THRESHOLD) -> F.Column:

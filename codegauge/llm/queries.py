@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegauge.llm import compression, covertree, decontaminate, licenses, neardup, quality, sharding, tokencount, toxicity
+from codegauge.llm import compression, covertree, decontaminate, licenses, neardup, quality, sampling, sharding, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sampling.sample_segmentations(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), "log_prob", "log_inclusion",
+                        F.xxhash64("ids").alias("ids_hash"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scores.select("doc_id", (compression.fold("doc_id") == 0).alias("held_out"), "score",
@@ -69,5 +75,6 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op9_sampled_segmentations": op9_sampled_segmentations,
     "op10_toxicity": op10_toxicity,
 }

@@ -18,7 +18,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from codegauge.llm.compression import LOWER, Features, classify, compressor, grams, log1, trained, unlike, windows
+from codegauge.llm.compression import LOWER, Features, Model, compressor, fit, grams, log1, scored, trained, unlike, windows
 
 #: Below 64 literals zstandard writes them plainly, so in short windows a saving is bytes of matched wording.
 WINDOW, LEVEL, MIN_MATCH = 96, 6, 4
@@ -88,6 +88,12 @@ def _build(pieces: dict[int, list[bytes]]) -> Callable[[], Features]:
     return saving_features(stretches(unlike(toxic), unlike(ordinary)), trained(parts, ORDINARY)[-ORDINARY:])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", **options) -> DataFrame:
+def toxicity_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", **options) -> Model:
+    return fit(docs, labels, label_col, _build, lower=True, **options)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+                   **options) -> DataFrame:
     """(id, score): the probability that a text is labelled toxic."""
-    return classify(docs, labels, label_col, _build, lower=True, id_col=id_col, **options).withColumnRenamed("id", id_col)
+    model = toxicity_model(docs, labels, label_col, id_col=id_col, text_col=text_col, **options)
+    return scored(docs, model, id_col, text_col).withColumnRenamed("id", id_col)
