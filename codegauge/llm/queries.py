@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegauge.llm import compression, covertree, decontaminate, licenses, neardup, quality, sampling, sharding, tokencount, toxicity
+from codegauge.llm import compression, covertree, decontaminate, licenses, lm, neardup, quality, sampling, sharding, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sampling.sample_segmentations(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "rank", F.size("ids").cast("long").alias("n_tokens"), "log_prob", "log_inclusion",
@@ -75,6 +79,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_quality": op6_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_sampled_segmentations": op9_sampled_segmentations,
     "op10_toxicity": op10_toxicity,
 }
