@@ -11,7 +11,7 @@ most BLOCK vectors are packed per (pivot, salt) group; the number of salts grows
 groups. First every query block searches its home blocks, those of its own pivot; the worst kth score found there prunes
 pairs of block summaries; the remaining pairs of blocks are joined and searched. Each pair returns at most k rows for a query.
 
-Scores are exact: sums below 2**53 are computed in doubles, larger ones in Python integers and then held within the long range.
+Scores are exact: sums below 2**53 are computed in doubles, larger ones in Python integers, held within the long range before they are ranked.
 
 Defined results: vectors that are null, or hold a null or non-finite component, and rows without id take no part; vectors of another
 length than the query's are no candidates; rows that share an id are one vector (the smallest by component order); a query is
@@ -111,7 +111,7 @@ def _bounds(q: Tree, c: Tree, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         p, r = q.points[q.centre[x]], c.points[c.centre[y]]
         most = (p * r).sum(axis=1) + q.radius[x] * np.sqrt((r * r).sum(axis=1)) + c.radius[y] * np.sqrt((p * p).sum(axis=1)) \
             + q.radius[x] * c.radius[y]
-        out[at:at + CHUNK] = most + np.abs(most) * 1e-9 + 1e-6
+        out[at:at + CHUNK] = np.maximum(most + np.abs(most) * 1e-9 + 1e-6, -float(_LONG))
     return out
 
 
@@ -119,7 +119,8 @@ def _products(p: np.ndarray, r: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
         return p @ r.T
     whole = [[int(x) for x in row] for row in r]
-    return np.array([[sum(int(x) * y for x, y in zip(row, other)) for other in whole] for row in p], dtype=object).reshape(len(p), len(r))
+    held = lambda x: max(-_LONG - 1, min(_LONG, x))
+    return np.array([[held(sum(int(x) * y for x, y in zip(row, other))) for other in whole] for row in p], dtype=object).reshape(len(p), len(r))
 
 
 def _group_worst(tree: Tree, worst: np.ndarray) -> np.ndarray:
@@ -262,7 +263,7 @@ def _search_pairs(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFr
             for query, found in zip(q.ids.tolist(), best.found):
                 ids += [query] * len(found)
                 ranked += [x for _, x in found]
-                scores += [max(-_LONG - 1, min(_LONG, -int(s))) for s, _ in found]
+                scores += [-int(s) for s, _ in found]
         yield pd.DataFrame({"query_id": ids, "vec_id": ranked, "score": scores}, dtype="int64")
 
 
@@ -324,7 +325,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     most = dot + F.col("qradius") * F.sqrt(gap("mid")) + F.col("radius") * F.sqrt(gap("qmid")) + F.col("radius") * F.col("qradius")
     near = aimed.select("dim", F.col("pivot").alias("qpivot"), "qblock", "qmid", "qradius", "least") \
         .join(cand.select("dim", "pivot", "block", "mid", "radius"), "dim").where("pivot <> qpivot") \
-        .where(most + F.abs(most) * 1e-9 + 1e-6 >= F.col("least")).select("qblock", "block")
+        .where(F.greatest(most + F.abs(most) * 1e-9 + 1e-6, F.lit(-float(_LONG))) >= F.col("least")).select("qblock", "block")
     far_pairs = near.join(aimed.drop("pivot", "qmid", "qradius", "least"), "qblock").join(cand.drop("dim", "pivot", "mid", "radius"), "block")
     far = stored(far_pairs.select(*pair_cols).mapInPandas(lambda it: _search_pairs(it, k), result), "far", True)
     return best_of(home.union(far)).select("query_id", "rank", "vec_id", "score")

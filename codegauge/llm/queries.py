@@ -27,7 +27,10 @@ def op3_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return license_digest(licenses.scan_licenses(_table(spark, sf_dir, "documents")))
+
+
+def license_digest(found: DataFrame) -> DataFrame:
     base, own = "transform(phrases, m -> m.label)", "transform(templates, m -> m.label)"
     return found.select(
         "doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"),
@@ -48,7 +51,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return overlap_digest(decontaminate.find_overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def overlap_digest(found: DataFrame) -> DataFrame:
     items = F.expr("array_sort(array_distinct(flatten(transform(matches, m -> m.item_ids))))")
     return found.select("doc_id", "n_words", decontaminate.covered_words().alias("n_hit"), items.alias("items")) \
         .select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
