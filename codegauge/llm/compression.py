@@ -102,15 +102,22 @@ def labelled_ids(labels: DataFrame, label_col: str, id_col: str, per_class: int)
 
 
 def chunk_sample(docs: DataFrame, ids: DataFrame, chunks: int, id_col: str, text_col: str) -> dict[int, list[bytes]]:
-    """Pieces of the dictionary documents, at most `chunks` of each class, picked by hash from whole texts."""
+    """Pieces of the dictionary documents, at most `chunks` of each class, picked by hash from whole texts.
+
+    Places are picked first, so that no text is sorted or sent to the driver; then the pieces at those places are read.
+    """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.where("build")), "id")
-    pieces = own.where(F.length("text") > 0).select(
-        "id", "label", "text", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(CHUNK))).alias("at"))
-    out = {}
-    for label in (0, 1):
-        rows = pieces.where(F.col("label") == label).orderBy(F.xxhash64("id", "at"), "id", "at").limit(chunks) \
-            .select(F.substring("text", F.col("at"), F.lit(CHUNK)).alias("t")).collect()
-        out[label] = [r["t"].encode() for r in rows]
+    places = own.where(F.length("text") > 0).select(
+        "id", "label", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(CHUNK))).alias("at")).distinct()
+    picked = [tuple(r) for label in (0, 1)
+              for r in places.where(F.col("label") == label).orderBy(F.xxhash64("id", "at"), "id", "at").limit(chunks).collect()]
+    chosen = docs.sparkSession.createDataFrame(picked, places.schema)
+    rows = own.drop("label").join(F.broadcast(chosen), "id").where(F.length("text") >= F.col("at")) \
+        .groupBy("label", "id", "at").agg(F.min(F.substring("text", F.col("at"), F.lit(CHUNK))).alias("t")) \
+        .orderBy("label", F.xxhash64("id", "at"), "id", "at").collect()
+    out: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in rows:
+        out[r["label"]].append(r["t"].encode())
     return out
 
 

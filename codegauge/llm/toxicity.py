@@ -29,16 +29,27 @@ RATIO, ERRORS = 30.0, 4.5
 
 
 def _counts(pieces: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([np.unique(grams(p, n)) for p in pieces]), return_counts=True)
+    """The n-grams of at least two pieces, and the number of pieces of each."""
+    found, count = np.unique(np.concatenate([np.unique(grams(p, n)) for p in pieces]), return_counts=True)
+    return found[count > 1], count[count > 1]
+
+
+def _counts_of(known: np.ndarray, pieces: list[bytes], n: int) -> np.ndarray:
+    """The number of pieces that hold each of the sorted known n-grams."""
+    count = np.zeros(len(known), np.int64)
+    for piece in pieces:
+        own = np.unique(grams(piece, n))
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        count[at[known[at] == own]] += 1
+    return count
 
 
 def telling(toxic: list[bytes], ordinary: list[bytes], n: int) -> np.ndarray:
-    """The n-grams that mark toxic pieces."""
-    (u, a), (v, b) = _counts(toxic, n), _counts(ordinary, n)
+    """The n-grams that mark toxic pieces; one of a single piece is never that many errors above chance."""
+    u, a = _counts(toxic, n)
     if not len(u):
         return u
-    at = np.minimum(np.searchsorted(v, u), max(0, len(v) - 1))
-    other = np.where(v[at] == u, b[at], 0) if len(v) else np.zeros(len(u), np.int64)
+    other = _counts_of(u, ordinary, n)
     p, q = (a + 0.5) / (len(toxic) + 1), (other + 0.5) / (len(ordinary) + 1)
     error = np.sqrt(p * (1 - p) / len(toxic) + q * (1 - q) / len(ordinary))
     return u[(p >= RATIO * q) & (p - q >= ERRORS * error)]
