@@ -179,10 +179,13 @@ def search(q: Tree, c: Tree, k: int, floor: np.ndarray, best: Best | None = None
     for lo, hi in zip(cuts, cuts[1:]):
         s, t = q.start[a[lo]], q.stop[a[lo]]
         at = lo
-        while at < hi and bound[at] >= np.maximum(floor[s:t], best.worst[s:t]).min():
-            sizes = np.cumsum(c.stop[b[at:hi]] - c.start[b[at:hi]])
+        while True:
+            live = at + int(np.searchsorted(-bound[at:hi], -np.maximum(floor[s:t], best.worst[s:t]).min(), "right"))
+            if live == at:
+                break
+            sizes = np.cumsum(c.stop[b[at:live]] - c.start[b[at:live]])
             step = max(1, int(np.searchsorted(sizes, min(CHUNK, 4 * LEAF if at == lo else CHUNK), "right")))
-            part = b[at:at + step]
+            part = b[at:min(at + step, live)]
             rows = np.concatenate([np.arange(c.start[x], c.stop[x]) for x in part])
             scores = _products(q.points[s:t], c.points[rows], exact)
             ids = c.ids[rows]
@@ -191,7 +194,7 @@ def search(q: Tree, c: Tree, k: int, floor: np.ndarray, best: Best | None = None
                 ok = (scores[row - s] >= least) & (ids != q.ids[row])
                 if ok.any():
                     best.offer(row, scores[row - s][ok], ids[ok])
-            at += step
+            at += len(part)
     return best
 
 
