@@ -206,8 +206,10 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 number, hashes = words(part.column("text"), NON_WORD)
                 n_words = np.bincount(number, minlength=part.num_rows)
                 first = np.cumsum(n_words) - n_words
-                at = np.minimum(np.searchsorted(auto.vocabulary, hashes), len(auto.vocabulary) - 1)
-                ids = np.where(auto.vocabulary[at] == hashes, at + 1, 0)
+                ids = np.zeros(len(hashes), np.int64)
+                if len(auto.vocabulary):
+                    at = np.minimum(np.searchsorted(auto.vocabulary, hashes), len(auto.vocabulary) - 1)
+                    ids = np.where(auto.vocabulary[at] == hashes, at + 1, 0)
                 columns = []
                 for found in (phrase_places(number, hashes, phrases), template_matches(number, ids, auto)):
                     rows: list[list[dict]] = [[] for _ in range(part.num_rows)]
