@@ -9,7 +9,11 @@ Training covers the whole corpus: every task trains a copy of the same start on
 are averaged, weighted by their tokens, piece by piece in a shuffle. The texts are dealt to ROUNDS rounds by hash, each round starts
 from the average before, so every text is trained on once. Only the average (some hundred KB, fixed by the parameters) reaches the driver. What is counted, trained on and averaged grows with the input.
 
-Scoring is row-local: the log-probabilities of all tokens of a document are summed.
+Scoring is row-local up to the words of shared tokens: the network gives log P of the shared token, and log(n_word / n_token) is
+added, the word's share of the occurrences of all words of that token, so a word's chance follows from its own count whatever the
+number of distinct words. The counts of the COMMON most frequent words travel with the model; those of all other words are joined
+from the table of all distinct words, so which words are common changes no result. Every shared token has one occurrence more for
+words that were not counted. The chances of all words, and one of another word in every shared token, add up to 1.
 
 Defined results: null and empty texts have 0 tokens, sum 0 and a null mean; repeated rows are scored row by row (and counted in
 training as often); only id and text are read, so other columns cannot clash; an empty table gives an empty result; very long
@@ -30,6 +34,8 @@ from codegauge.session import scratch_path
 
 TOP, HASHED, CLASSES = 768, 256, 32
 SIDE, WIDTH, ROUNDS = 2, 16, 2
+#: Words whose counts are kept beside the network to spare the join; a bound of memory, not of the vocabulary.
+COMMON = 1 << 18
 RATE, BATCH = 0.2, 8192
 #: Parameters that an averaging row carries.
 CUT = 4096
@@ -220,26 +226,49 @@ def _trained(texts: DataFrame, flat: np.ndarray, vocabulary: np.ndarray, rank: n
 
 @dataclass
 class Model:
+    """The network; its own words by hash; log counts of the common words by hash; occurrences of each shared token; the folder of all counts."""
+
     flat: np.ndarray
     vocabulary: np.ndarray
     rank: np.ndarray
     shape: Shape
+    common: np.ndarray
+    log_count: np.ndarray
+    shared: np.ndarray
+    counted: str
+
+
+def shared_counts(counted: DataFrame, own: np.ndarray, n: np.ndarray, shape: Shape) -> np.ndarray:
+    """How often the words of each shared token occur; `own` are the hashes of words with tokens of their own, `n` their counts."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape.hashed, np.int64)
+        for batch in batches:
+            hashes = np.asarray(batch.column("hash")).view(np.uint64)
+            np.add.at(total, (mix(hashes) % np.uint64(shape.hashed)).astype(np.int64), np.asarray(batch.column("n")))
+        yield pa.record_batch([pa.array(range(shape.hashed), pa.int32()), pa.array(total)], names=["k", "n"])
+
+    out = np.zeros(shape.hashed, np.int64)
+    for r in counted.mapInArrow(add, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r["k"]] = r["n"]
+    np.subtract.at(out, (mix(own) % np.uint64(shape.hashed)).astype(np.int64), n)
+    return out
 
 
-def train(docs: DataFrame, shape: Shape | None = None, rounds: int = ROUNDS, text_col: str = "text") -> Model:
+def train(docs: DataFrame, shape: Shape | None = None, rounds: int = ROUNDS, text_col: str = "text", common: int = COMMON) -> Model:
     shape = shape or Shape()
     texts = docs.select(F.col(text_col).alias("text")).where(F.length("text") > 0)
     path = scratch_path(docs.sparkSession, "words")
     word_counts(texts).write.parquet(path)
     counted = docs.sparkSession.read.parquet(path)
-    top = counted.orderBy(F.desc("n"), "hash").limit(shape.top).collect()
-    rest = (counted.agg(F.sum("n")).first()[0] or 0) - sum(r["n"] for r in top)
-    counts = np.full(shape.tokens, rest / shape.hashed)
-    counts[:len(top)] = [r["n"] for r in top]
-    counts[len(top):shape.top] = 0
-    hashes = np.array([r["hash"] for r in top], np.int64).view(np.uint64)
-    by = np.argsort(hashes)
-    model = Model(start(shape, counts=counts), hashes[by], by.astype(np.int64), shape)
+    often = counted.orderBy(F.desc("n"), "hash").limit(max(common, shape.top)).toArrow()
+    hashes, n = np.asarray(often.column("hash")).view(np.uint64), np.asarray(often.column("n"))
+    top = min(shape.top, len(n))
+    shared = shared_counts(counted, hashes[:top], n[:top], shape)
+    counts = np.full(shape.tokens, shared.sum() / shape.hashed)
+    counts[:top] = n[:top]
+    counts[top:shape.top] = 0
+    by, every = np.argsort(hashes[:top]), np.argsort(hashes)
+    model = Model(start(shape, counts=counts), hashes[by], by.astype(np.int64), shape, hashes[every], np.log(n[every]), shared, path)
     for turn in range(rounds):
         own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
         model.flat = _trained(own, model.flat, model.vocabulary, model.rank, shape)
@@ -248,25 +277,43 @@ def train(docs: DataFrame, shape: Shape | None = None, rounds: int = ROUNDS, tex
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, `n_tokens`, `sum_log_prob` and `mean_log_prob`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        p = split(m.flat, m.shape)
+        p, log_total = split(m.flat, m.shape), np.log(m.shared + 1.0)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 number, hashes = words(part.column("text"), SPACES)
                 tokens = to_tokens(hashes, m.vocabulary, m.rank, m.shape)
                 log = log_probability(p, tokens, contexts(tokens, number, m.shape), m.shape)
+                rare = np.flatnonzero(tokens >= m.shape.top)
+                log[rare] -= log_total[tokens[rare] - m.shape.top]
+                if len(m.common):
+                    at = np.minimum(np.searchsorted(m.common, hashes[rare]), len(m.common) - 1)
+                    known = m.common[at] == hashes[rare]
+                    log[rare[known]] += m.log_count[at[known]]
+                    rare = rare[~known]
                 n = np.bincount(number, minlength=part.num_rows)
                 total = np.bincount(number, weights=log, minlength=part.num_rows)
-                mean = pa.array(np.divide(total, np.maximum(n, 1)), pa.float64(), mask=n == 0)
-                yield pa.record_batch([part.column("id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean],
-                                      names=["id", "n_tokens", "sum_log_prob", "mean_log_prob"])
-
-    return source.mapInArrow(run, f"id {kind}, n_tokens long, sum_log_prob double, mean_log_prob double").withColumnRenamed("id", id_col)
+                cuts = np.searchsorted(number[rare], np.arange(part.num_rows + 1)).astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes[rare].view(np.int64)))
+                yield pa.record_batch([part.column("id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), others],
+                                      names=["id", "n", "total", "others"])
+
+    path = scratch_path(spark, "scores")
+    source.mapInArrow(run, f"id {kind}, n long, total double, others array<long>") \
+        .withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    found = rows.select("row", F.explode("others").alias("hash")).join(spark.read.parquet(model.counted), "hash") \
+        .groupBy("row").agg(F.sum(F.log("n")).alias("more"))
+    total = F.col("total") + F.coalesce("more", F.lit(0.0))
+    return rows.join(found, "row", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_tokens"), total.alias("sum_log_prob"),
+        F.when(F.col("n") > 0, total / F.col("n")).alias("mean_log_prob"))
 
 
 def pseudo_likelihood(docs: DataFrame, shape: Shape | None = None, rounds: int = ROUNDS, id_col: str = "doc_id",

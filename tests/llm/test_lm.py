@@ -57,3 +57,32 @@ def test_training_on_all_documents_beats_token_frequencies(spark, docs, texts, e
 def test_vocabulary_counts_every_document(spark):
     df = spark.createDataFrame([(1, "a a b"), (2, "A c"), (3, None)], "doc_id long, text string")
     assert sorted(r.n for r in m.word_counts(df.select("text").where("text IS NOT NULL")).collect()) == [1, 1, 3]
+
+
+def test_words_of_a_shared_token_are_told_apart_by_their_counts(spark):
+    shape = m.Shape(top=2, hashed=3, classes=2, side=1, width=4)
+    seen = {"a": 90, "b": 60, **{f"w{i}": i + 1 for i in range(30)}}
+    df = spark.createDataFrame([(i, " ".join([w] * n)) for i, (w, n) in enumerate(seen.items())], "doc_id long, text string")
+    scores = []
+    for common in (0, 12, 1000):  # by the join only, by both, by the model only
+        model = m.train(df, shape, rounds=1, common=common)
+        own = spark.createDataFrame([(w, w) for w in [*seen, "unseen1", "unseen2"]] + [("two", "w3 w3 w9 unseen1 w3")], "doc_id string, text string")
+        found = {r.doc_id: r for r in m.score(own, model).collect()}
+        scores.append({w: r.sum_log_prob for w, r in found.items()})
+        assert len(found) == len(seen) + 3 and found["two"].n_tokens == 5
+        assert abs(found["two"].mean_log_prob * 5 - found["two"].sum_log_prob) < 1e-9
+    assert all(abs(x[w] - scores[0][w]) < 1e-9 for x in scores for w in x)
+    one = scores[0]
+    same = [w for w in seen if w not in ("a", "b")]
+    tokens = {w: int(m.to_tokens(m.words(m.pa.array([w]), m.SPACES)[1], model.vocabulary, model.rank, shape)[0]) for w in [*same, "unseen1"]}
+    for w in same:
+        for v in same:
+            if tokens[w] == tokens[v]:
+                assert abs(one[w] - one[v] - np.log(seen[w] / seen[v])) < 1e-6
+    # all words, and an unseen one of every shared token, share a mass of 1
+    p = m.split(model.flat, shape)
+    around = np.full((shape.tokens, 2), shape.tokens)
+    shares = np.exp(m.log_probability(p, np.arange(shape.tokens), around, shape))
+    unseen = sum(shares[shape.top + k] / (model.shared[k] + 1) for k in range(shape.hashed))
+    assert abs(sum(np.exp(one[w]) for w in seen) + unseen - 1) < 1e-5
+    assert model.shared.sum() == sum(seen[w] for w in same)
