@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegauge.llm import compression, covertree, decontaminate, licenses, lm, neardup, quality, sampling, sharding, tokencount, toxicity
+from codegauge.llm import compression, covertree, decontaminate, licenses, lm, neardup, periodicity, quality, sampling, sharding, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods_digest(periodicity.find_runs(plant_periods(_table(spark, sf_dir, "documents"))))
+
+
+def plant_periods(docs: DataFrame) -> DataFrame:
+    """Documents whose number's checksum ends in 0 get a periodic tail, as op11's contract fixes it."""
+    return docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"),
+                       F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w")) \
+        .withColumn("g", F.expr("h div 10")).withColumn("n", F.size("w").cast("long")) \
+        .withColumn("a", F.expr("CAST(g % greatest(n, 1) AS INT)")).withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)")) \
+        .select("doc_id", F.expr("""CASE WHEN h % 10 = 0 AND n > 0 THEN array_join(concat(slice(w, 1, a),
+            slice(flatten(array_repeat(slice(w, a + 1, p), CAST((n - a + p - 1) div p AS INT))), 1, CAST(n - a AS INT))), ' ')
+            ELSE text END""").alias("text"))
+
+
+def periods_digest(found: DataFrame) -> DataFrame:
+    best = "array_min(transform(runs, r -> named_struct('l', -r.length, 's', r.start, 'p', r.period)))"
+    lines = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return found.withColumn("best", F.expr(best)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.expr("best.s").alias("start"), F.expr("-best.l").alias("length"),
+        F.expr("best.p").alias("period"), F.expr("-best.l * 1000 div best.p").alias("exponent_milli"),
+        F.sha2(F.expr(lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_near_duplicates": op2_near_duplicates,
@@ -88,4 +112,5 @@ QUERIES = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_sampled_segmentations": op9_sampled_segmentations,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
 }

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +119,24 @@ def words(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(texts), np.concatenate(hashes)
 
 
+def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Text number and unchanged bytes of every word `[^\x20\x09-\x0D]+`, in order."""
+    data, offsets = text_bytes(column)
+    inside = ~SPACES[data]
+    begins, ends = _block_words(data, np.unique(offsets[(offsets > 0) & (offsets < len(data))]), SPACES)
+    at = np.zeros(len(begins) + 1, np.int64)
+    np.cumsum(ends - begins, out=at[1:])
+    found = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(at), pa.py_buffer(data[inside])])
+    return np.searchsorted(offsets, begins, "right") - 1, found
+
+
+def joined_words(found: pa.Array, number: np.ndarray, rows: int, keep: np.ndarray) -> pa.Array:
+    """For each of `rows` texts its kept words joined by one space."""
+    ends = np.searchsorted(number[keep], np.arange(rows), "right")
+    lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, ends), pa.int64()), found.filter(pa.array(keep)))
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+
 def word_hashes(texts: list[str], separators: np.ndarray) -> list[np.ndarray]:
     """The word hashes of each text."""
     number, hashes = words(pa.array(texts, pa.string()), separators)
