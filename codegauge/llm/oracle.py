@@ -98,10 +98,24 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20"""
 
 
+_OP13 = r"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, p, array_to_string(w[p : p + 19], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+again AS (SELECT r, p FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY r, p) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 20)) AS q FROM again),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS q FROM d),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY q) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (r, q) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)"""
+
+
 ORACLE = {
     "op1_top_k": _OP1,
     "op2_near_duplicates": near_duplicates_sql(2, 80),
     "op3_hash_shards": shards_sql(LIMIT_BYTES),
     "op4_license_scan": licenses_sql(),
     "op7_decontaminate": _OP7,
+    "op13_substring_dedup": _OP13,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegauge.llm import compression, covertree, decontaminate, licenses, lm, neardup, periodicity, quality, sampling, sharding, tokencount, toxicity
+from codegauge.llm import compression, covertree, decontaminate, licenses, lm, neardup, periodicity, quality, sampling, sharding, substrings, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,15 @@ def periods_digest(found: DataFrame) -> DataFrame:
         F.sha2(F.expr(lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(substrings.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def removal_digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", F.expr("aggregate(removed, 0L, (n, r) -> n + r.end - r.begin)").alias("n_removed"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_near_duplicates": op2_near_duplicates,
@@ -113,4 +122,5 @@ QUERIES = {
     "op9_sampled_segmentations": op9_sampled_segmentations,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_substring_dedup": op13_substring_dedup,
 }
