@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codegauge.llm import compression, covertree, decontaminate, licenses, lm, neardup, periodicity, quality, sampling, sharding, substrings, tokencount, toxicity
+from codegauge.llm import compression, conversations, covertree, decontaminate, licenses, lm, neardup, periodicity, quality, sampling, sharding, substrings, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +114,54 @@ def removal_digest(found: DataFrame) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair_digest(turns.select("conv_id"), conversations.repair(damage_turns(turns)))
+
+
+def damage_turns(turns: DataFrame) -> DataFrame:
+    """Faults by the checksum of conversation and turn, as op12's contract fixes them."""
+    spaced = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"),
+                          F.expr("crc32(concat(coalesce(CAST(conv_id AS STRING), ' '), ':', coalesce(CAST(turn AS STRING), ' '))) % 20").alias("k"))
+    return spaced.where("k <> 0").select(
+        "conv_id", "turn", F.expr("CASE WHEN k = 4 THEN 'user' ELSE role END").alias("role"),
+        F.expr("CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END").alias("text"),
+        F.explode(F.expr("CASE WHEN k = 3 THEN array(0, 1) ELSE array(0) END")).alias("n")).drop("n")
+
+
+def repair_digest(ids: DataFrame, found: conversations.Repair) -> DataFrame:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One hash per conversation from its sorted chunks; of a long one only the chunk at hand is in memory."""
+        begun, owner, sha, lead = False, None, None, b""
+        for batch in batches:
+            ids_out, out = [], []
+            for row in batch.to_pylist():
+                if not begun or row["conv_id"] != owner:
+                    if begun:
+                        ids_out.append(owner)
+                        out.append(sha.hexdigest())
+                    begun, owner, sha, lead = True, row["conv_id"], hashlib.sha256(), b""
+                for role, text in zip(row["roles"], row["texts"]):
+                    sha.update(lead + f"{role}:{text}".encode())
+                    lead = b"\n"
+            id_type = batch.schema.field("conv_id").type
+            yield pa.record_batch([pa.array(ids_out, id_type), pa.array(out, pa.string())], names=["conv_id", "repaired_sha256"])
+        if begun:
+            yield pa.record_batch([pa.array([owner], id_type), pa.array([sha.hexdigest()])], names=["conv_id", "repaired_sha256"])
+
+    whole = found.turns.where("whole").select("conv_id", F.sha2(F.expr(
+        "array_join(transform(arrays_zip(roles, texts), t -> concat(t.roles, ':', t.texts)), '\n')"), 256).alias("repaired_sha256"))
+    split = found.turns.where("NOT whole").repartition("conv_id").sortWithinPartitions("conv_id", "chunk") \
+        .select("conv_id", "roles", "texts").mapInArrow(digest, whole.schema)
+    hashes = whole.unionByName(split)
+    owners = ids.distinct().select(F.col("conv_id").alias("id"))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return owners.join(found.summary, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id") \
+        .join(hashes, F.col("id").eqNullSafe(F.col("conv_id")), "left") \
+        .select(F.col("id").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+                F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_near_duplicates": op2_near_duplicates,
@@ -122,5 +174,6 @@ QUERIES = {
     "op9_sampled_segmentations": op9_sampled_segmentations,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_substring_dedup": op13_substring_dedup,
 }
