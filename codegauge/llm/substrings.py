@@ -226,7 +226,8 @@ def repeated_spans(source: DataFrame, window: int = WINDOW, shard_words: int = S
         df.write.parquet(path)
         return spark.read.parquet(path)
 
-    again = _all_pieces(source, window, True).groupBy("anchor").count().where("count > 1").select("anchor")
+    # stored, so that the join's sides are shuffles of their own and a hot anchor is split
+    again = stored(_all_pieces(source, window, True).groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     repeated = stored(_all_pieces(source, window, False).join(again, "anchor"), "repeated")
     distinct = stored(repeated.groupBy("anchor", "content").agg(F.min(F.struct("id", "hash", "place")).alias("earliest"),
                                                                 F.count("*").alias("n")), "distinct")
