@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from workload.oracle import ORACLE
+from workload.registry import QUERIES
 
 SLOW = {"train_basic_metrics", "train_advanced_metrics", "predict_stored_model"}
 
@@ -29,17 +31,21 @@ def canonical(names, rows):
     return sorted((tuple(cell(r[i]) for i in order) for r in rows), key=lambda t: tuple((v is None, str(v)) for v in t))
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    df = entry_module.queries()[name](spark, sf_dir)
-    cur = duck.execute(entry_module.oracle_sql()[name])
+    df = QUERIES[name](spark, sf_dir)
+    cur = duck.execute(ORACLE[name])
     names = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(names)
     assert canonical(df.columns, df.collect()) == canonical(names, cur.fetchall())
 
 
 def test_only_model_fits_lack_sql():
-    assert set(entry_module.queries()) - set(entry_module.oracle_sql()) == SLOW
+    assert set(QUERIES) - set(ORACLE) == SLOW
+
+
+def test_entry_offers_all_of_the_library():
+    assert set(QUERIES) <= set(entry_module.queries()) and ORACLE.items() <= entry_module.oracle_sql().items()
 
 
 def test_entry_runs(spark):

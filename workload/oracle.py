@@ -99,37 +99,69 @@ CTES["hits"] = f"""hits AS (
   SELECT doc_id, lang, rule_id FROM (SELECT doc_id, lang, unnest([{_HITS}]) AS rule_id FROM snippets) WHERE rule_id IS NOT NULL)"""
 CTES["page_hits"] = CTES["hits"].replace("hits AS (", "page_hits AS (", 1).replace("FROM snippets", "FROM page_scripts")
 
-_SKEL = (r'(?s)""".*?(?:"""|\z)' r"|'''.*?(?:'''|\z)" r'|"(?:[^"\\\n]|\\.)*"' r"|'(?:[^'\\\n]|\\.)*'" r"|#[^\n]*")
-_DEF = r"(?m)^([^\S\n]*)def\s+(\w+)\s*\(((?:[^()]|\([^()]*\))*)\)"
-CTES["skel"] = f"""skel AS (
-  SELECT doc_id, regexp_replace(code, {q(_SKEL)}, '''''', 'g') AS s FROM snippets WHERE lang = 'python')"""
-CTES["mutable"] = rf"""mutable AS (
-  SELECT doc_id, name AS function_name, length(lead) AS k1, ordinal AS k2 FROM (
-    SELECT doc_id, lead, ordinal, name, unnest(range(len(regexp_extract_all(
-             regexp_replace(args, '(?s)(?:^|,)\s*\*.*', ''), '[^=!<>]=\s*[\[{{]')))) AS i
-    FROM (SELECT doc_id, unnest(regexp_extract_all(s, {q(_DEF)}, 1)) AS lead,
-                 unnest(range(len(regexp_extract_all(s, {q(_DEF)}, 1)))) AS ordinal,
-                 unnest(regexp_extract_all(s, {q(_DEF)}, 2)) AS name,
-                 unnest(regexp_extract_all(s, {q(_DEF)}, 3)) AS args FROM skel)))"""
-CTES["zero"] = r"""zero AS (
+_SKEL = (r'(?s)""".*?(?:"""|\z)' r"|'''.*?(?:'''|\z)" r'|"(?:[^"\\\n]|\\.)*"' r"|'(?:[^'\\\n]|\\.)*'" r"|(#[^\n]*)")
+_NUMBER = r"(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9]+)?\w*"
+_TOKEN = rf"\n[^\S\n]*|\*\*|:=|->|//=?|/=|[=!<>]=|{_NUMBER}|\w+|''|[^\s\w]"
+_ZERO = (r"(?:0[xX][0_]+|0[oO][0_]+|0[bB][0_]+|(?:0[0_]*(?:\.[0_]*)?|\.0[0_]*)(?:[eE][+-]?[0-9_]+)?[jJ]?|False)")
+CTES["skel"] = rf"""skel AS (
+  SELECT doc_id, replace(regexp_replace(regexp_replace(code, {q(_SKEL)}, '\1''''', 'g'), '#[^\n]*', '', 'g'), chr(92) || chr(10), ' ') AS s
+  FROM snippets WHERE lang = 'python')"""
+# Tokens with the bracket depth in front of each; a newline token carries the next line's indentation.
+CTES["tokens"] = f"""tokens AS (
+  SELECT *, coalesce(sum(step) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM (
+    SELECT *, CASE WHEN tok IN ('(', '[', '{{') THEN 1 WHEN tok IN (')', ']', '}}') THEN -1 ELSE 0 END AS step FROM (
+      SELECT doc_id, unnest(toks) AS tok, unnest(range(len(toks))) AS i FROM (
+        SELECT doc_id, regexp_extract_all(chr(10) || s, {q(_TOKEN)}) AS toks FROM skel))))"""
+CTES["headers"] = """headers AS (
+  SELECT t.doc_id, t.i AS h, t.lead_tok, t.name, min(e.i) AS stop
+  FROM (SELECT *, lag(tok) OVER w AS lead_tok, lead(tok) OVER w AS name FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i)) t
+  JOIN tokens e ON e.doc_id = t.doc_id AND e.i > t.i AND e.tok = ')' AND e.depth = 1
+  WHERE t.tok = 'def' AND t.lead_tok LIKE chr(10) || '%' GROUP BY ALL)"""
+CTES["params"] = """params AS (
+  SELECT doc_id, h, name, lead_tok, no, list(tok ORDER BY i) AS toks, list(depth ORDER BY i) AS depths FROM (
+    SELECT h.*, t.tok, t.i, t.depth, sum((t.tok = ',' AND t.depth = 1)::INTEGER) OVER (PARTITION BY h.doc_id, h.h ORDER BY t.i) AS no
+    FROM headers h JOIN tokens t ON t.doc_id = h.doc_id AND t.i > h.h + 2 AND t.i < h.stop)
+  WHERE NOT (tok = ',' AND depth = 1) AND tok NOT LIKE chr(10) || '%' GROUP BY doc_id, h, name, lead_tok, no)"""
+CTES["mutable"] = """mutable AS (
+  SELECT doc_id, name AS function_name, k1, k2 FROM (
+    SELECT *, list_filter(range(1, len(d) + 1), lambda j: d[j] <> '(')[1] AS o FROM (
+      SELECT doc_id, name, length(lead_tok) - 1 AS k1, h AS k2, toks[eq + 1:] AS d, depths[eq + 1:] AS b FROM (
+        SELECT *, list_filter(range(1, len(toks) + 1), lambda j: toks[j] = '=' AND depths[j] = 1)[1] AS eq,
+               coalesce(bool_or(toks[1] = '*') OVER (PARTITION BY doc_id, h ORDER BY no), false) AS by_name FROM params)
+      WHERE eq IS NOT NULL AND NOT by_name))
+  WHERE d[o] IN ('[', '{') AND len(list_filter(range(1, len(d) + 1), lambda j:
+      j > o AND ((b[j] = b[o] + 1 AND d[j] = 'for') OR (b[j] <= b[o] AND d[j] <> ')')))) = 0)"""
+_LEAD = f"'^((?:[(] )*){_ZERO}((?: [)])*)'"
+CTES["zero"] = f"""zero AS (
   SELECT doc_id, unnest(range(1, n + 1))::INTEGER AS occurrence FROM (
-    SELECT doc_id, len(list_filter(string_split(replace(s, '//', '%'), '/')[2:],
-      lambda p: regexp_matches(p, '^\s*0+(?:\.0*)?(?:[^\w.]|\z)'))) AS n FROM skel))"""
+    SELECT doc_id, len(list_filter(string_split(' ' || joined || ' ', ' / ')[2:], lambda p:
+        regexp_matches(p, {q(f'^(?:[(] )*{_ZERO}(?: |$)')})
+        AND (len(regexp_extract(p, {_LEAD}, 1)) < len(regexp_extract(p, {_LEAD}, 2))
+          OR (len(regexp_extract(p, {_LEAD}, 1)) = len(regexp_extract(p, {_LEAD}, 2))
+            AND regexp_extract(p, {q(f'^(?:[(] )*{_ZERO}(?: [)])* ([^ ]+)')}, 1) NOT IN ('**', '.', '[', '('))))) AS n
+    FROM (SELECT doc_id, string_agg(CASE WHEN tok LIKE chr(10) || '%' THEN chr(10) ELSE tok END, ' ' ORDER BY i) AS joined
+          FROM tokens WHERE NOT (depth > 0 AND tok LIKE chr(10) || '%') GROUP BY doc_id)))"""
+CTES["statements"] = r"""statements AS (
+  SELECT doc_id, min(line_no) AS line_no, string_agg(line, ' ' ORDER BY line_no) AS line FROM (
+    SELECT *, sum((depth <= 0 AND trim(line) <> '')::INTEGER) OVER (PARTITION BY doc_id ORDER BY line_no) AS no FROM (
+      SELECT *, coalesce(sum(len(regexp_replace(line, '[^(\[{]', '', 'g')) - len(regexp_replace(line, '[^)\]}]', '', 'g'))) OVER (
+                  PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth
+      FROM (SELECT doc_id, unnest(string_split(s, chr(10))) AS line,
+                   unnest(range(1, len(string_split(s, chr(10))) + 1)) AS line_no FROM skel)))
+  WHERE no > 0 GROUP BY doc_id, no)"""
 CTES["skel_lines"] = r"""skel_lines AS (
-  SELECT doc_id, line_no, regexp_matches(line, '^\s*(?:[)\]}].*)?\z') AS floating,
-         length(regexp_extract(line, '^\s*')) AS indent,
+  SELECT doc_id, line_no, length(regexp_extract(line, '^\s*')) AS indent,
          regexp_extract(line, '^\s*def\s+(\w+)\s*\(', 1) AS name,
          regexp_matches(line, '^\s*(?:el)?if\b') AS is_if,
          list_transform(string_split(regexp_replace(line, '^\s*(?:def|class)\s+\w+\s*\(', '('), '(')[:-2],
                         lambda p: regexp_extract(p, '(?:^|[^\w.])(\w+)\s*$', 1)) AS calls
-  FROM (SELECT doc_id, unnest(string_split(s, chr(10))) AS line,
-               unnest(range(1, len(string_split(s, chr(10))) + 1)) AS line_no FROM skel))"""
+  FROM statements)"""
 CTES["recursion"] = """recursion AS (
   SELECT doc_id, name AS function_name, indent AS k1, line_no AS k2 FROM (
     SELECT d.doc_id, d.line_no, d.indent, d.name, bool_or(list_contains(b.calls, d.name)) AS rec,
            coalesce(bool_or(b.is_if AND b.line_no > d.line_no), false) AS guarded
     FROM (SELECT d.*, (SELECT min(e.line_no) FROM skel_lines e WHERE e.doc_id = d.doc_id AND e.line_no > d.line_no
-                       AND NOT e.floating AND e.indent <= d.indent) AS stop
+                       AND e.indent <= d.indent) AS stop
           FROM skel_lines d WHERE d.name <> '') d
     JOIN skel_lines b ON b.doc_id = d.doc_id AND b.line_no >= d.line_no AND b.line_no < coalesce(d.stop, 1000000000)
     GROUP BY ALL) WHERE rec AND NOT guarded)"""
@@ -362,8 +394,8 @@ _NEEDS = {
     "snippets": ["templates"], "labelled": ["templates"], "corr": ["labelled"], "lint_log": ["snippets"],
     "lint": ["lint_log"], "lines": ["snippets"], "findings": ["lines", "rules"],
     "page_lines": ["page_scripts"], "page_findings": ["page_lines", "rules"], "hits": ["snippets"],
-    "page_hits": ["page_scripts"], "skel": ["snippets"], "mutable": ["skel"], "zero": ["skel"],
-    "skel_lines": ["skel"], "recursion": ["skel_lines"], "tree": ["mutable", "recursion", "zero"],
+    "page_hits": ["page_scripts"], "skel": ["snippets"], "tokens": ["skel"], "headers": ["tokens"], "params": ["headers"],
+    "mutable": ["params"], "zero": ["tokens"], "statements": ["skel"], "skel_lines": ["statements"], "recursion": ["skel_lines"], "tree": ["mutable", "recursion", "zero"],
     "base": ["hits", "tree"], "base_lint": ["hits", "tree", "lint"],
     "rule_report": ["findings"], "full_report": ["findings", "tree", "lint"], "tree_report": ["findings", "tree"],
     "page_report": ["page_findings"],

@@ -89,6 +89,17 @@ TEMPLATES: list[tuple[str, int, str, str, str, str]] = [
      "", "class with text"),
     ("python", 1, "none_comparison", "if a ==None and b!=  None: x = hashlib.sha1 (b)\nelse: y = c == None",
      "if a is None:\n    x = b", "None compared by value"),
+    ("python", 1, "mutable_default",
+     "def pick_{k}(a=min(len('x'), {k}), b=[], *, c={}):\n"
+     "    def inner(d=dict(e=[1]), f=([]), g=[n for n in a], h={1: [2]}, i=[] or b):\n        return d\n    return inner\n",
+     "def pick_{k}(a=1, b=None):\n    return a", "defaults in nested brackets"),
+    ("python", 1, "recursion",
+     "def walk(x):\n    return [walk(y)\n            for y in x\n            if y]\n\ndef call(x):\n    return (call\n            (x - {k}))\n\n"
+     "def stop(x):\n    if x: return 0\n    return stop(\n        x)\n",
+     "def walk(x):\n    return x", "calls over several lines"),
+    ("python", 1, "zero_division",
+     "a = 1 / 0x0 + {k} / 0j + b / (0.0)\nc = b / 0 ** 2 + b / (0 + 1)\nd = (b /\n     0) ** 2 # b / 0\n(e, f) = d\n",
+     "a = b", "spellings of zero"),
 ]
 
 
