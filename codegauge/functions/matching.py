@@ -4,6 +4,8 @@ A pattern column would be compiled for every row; a literal is compiled once per
 outer CASE on the language keeps a row to its own pack. The expressions are written as SQL text
 over column names: a pack has dozens of branches, and one parse is far cheaper than thousands of
 calls into the JVM.
+
+Hits are bits, 62 rules to a BIGINT word, in an array with as many words as the language's pack needs.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from codegauge.functions import text as T
 from codegauge.functions.rulebook import PENALTY, RULES, Rule, by_lang, text_precondition
 from codegauge.functions.text import quote
 
-MASK_LIMIT = 62
+WORD_BITS = 62
+_NO_HITS = "CAST(array() AS array<bigint>)"
 _OWNED_TYPE = "array<struct<ord:int,line_no:int,line:string>>"
 
 
@@ -33,39 +36,42 @@ def _test(text: str, pattern: str) -> str:
 
 
 def _bit(i: int) -> str:
-    return f"{1 << i}L"
+    return f"{1 << i % WORD_BITS}L"
 
 
-def fits_mask(rules: list[Rule]) -> bool:
-    return all(len(pack) <= MASK_LIMIT for pack in by_lang(rules).values())
+def _has(words: str, i: int) -> str:
+    return f"(get({words}, {i // WORD_BITS}) & {_bit(i)}) <> 0"
 
 
-def rule_hits(code: str = "code", lang: str = "lang", rules: list[Rule] = RULES) -> Column:
-    """BIGINT: bit i is set when the i-th rule of the language matches anywhere in the text."""
-    if not fits_mask(rules):
-        raise ValueError(f"a language has more than {MASK_LIMIT} rules; its hits do not fit one mask")
+def _words(tests: list[str]) -> str:
+    """ARRAY<BIGINT> of bits, from one SQL value per rule: its bit or 0."""
+    packed = [" | ".join(tests[i:i + WORD_BITS]) for i in range(0, len(tests), WORD_BITS)]
+    return "array(" + ", ".join(f"({word})" for word in packed) + ")"
+
 
+def rule_hits(code: str = "code", lang: str = "lang", rules: list[Rule] = RULES) -> Column:
+    """ARRAY<BIGINT>: the bits of the language's rules that match anywhere in the text."""
     def build(pack: list[Rule]) -> str:
-        return "(" + " | ".join(f"if({_test(code, r.pattern)}, {_bit(i)}, 0L)" for i, r in enumerate(pack)) + ")"
+        return _words([f"if({_test(code, r.pattern)}, {_bit(i)}, 0L)" for i, r in enumerate(pack)])
 
-    return F.expr(_per_lang(lang, rules, build, "0L"))
+    return F.expr(_per_lang(lang, rules, build, _NO_HITS))
 
 
 def line_candidates(code: str = "code", lang: str = "lang", hits: str = "hits",
                     rules: list[Rule] = RULES) -> Column:
-    """BIGINT: rules that can own a line of the text, a superset of `hits`.
+    """ARRAY<BIGINT>: rules that can own a line of the text, a superset of `hits`.
 
     Only rules whose whole-text match is stricter than their line match are searched again.
     """
     def build(pack: list[Rule]) -> str:
-        parts = [hits]
+        words = [[f"get({hits}, {w})"] for w in range(-(-len(pack) // WORD_BITS))]
         for i, rule in enumerate(pack):
             core = text_precondition(rule.pattern)
             if core is None:
-                parts.append(_bit(i))
+                words[i // WORD_BITS].append(_bit(i))
             elif core != rule.pattern:
-                parts.append(f"if({_test(code, core)}, {_bit(i)}, 0L)")
-        return "(" + " | ".join(parts) + ")"
+                words[i // WORD_BITS].append(f"if({_test(code, core)}, {_bit(i)}, 0L)")
+        return "array(" + ", ".join("(" + " | ".join(word) + ")" for word in words) + ")"
 
     return F.expr(_per_lang(lang, rules, build, hits))
 
@@ -75,10 +81,11 @@ def penalty(hits: str = "hits", lang: str = "lang", rules: list[Rule] = RULES) -
     def build(pack: list[Rule]) -> str:
         parts = []
         for severity, points in PENALTY.items():
-            mask = sum(1 << i for i, r in enumerate(pack) if r.severity == severity)
-            if mask:
-                parts.append(f"bit_count({hits} & {mask}L) * {points}")
-        return "(" + " + ".join(parts) + ")"
+            for w in range(0, len(pack), WORD_BITS):
+                mask = sum(1 << i for i, r in enumerate(pack[w:w + WORD_BITS]) if r.severity == severity)
+                if mask:
+                    parts.append(f"bit_count(get({hits}, {w // WORD_BITS}) & {mask}L) * {points}")
+        return "(" + (" + ".join(parts) or "0") + ")"
 
     return F.expr(_per_lang(lang, rules, build, "0"))
 
@@ -87,34 +94,30 @@ def hit_ids(hits: str = "hits", lang: str = "lang", rules: list[Rule] = RULES) -
     """ARRAY<STRING> of the rules in a hit mask, in pack order."""
     def build(pack: list[Rule]) -> str:
         return "array_compact(array(" + ", ".join(
-            f"if(({hits} & {_bit(i)}) <> 0, {quote(r.rule_id)}, NULL)" for i, r in enumerate(pack)) + "))"
+            f"if({_has(hits, i)}, {quote(r.rule_id)}, NULL)" for i, r in enumerate(pack)) + "))"
 
     return F.expr(_per_lang(lang, rules, build, "CAST(array() AS array<string>)"))
 
 
-def owned_lines(code: str = "code", lang: str = "lang", candidates: str | None = "candidates",
+def owned_lines(code: str = "code", lang: str = "lang", candidates: str = "candidates",
                 rules: list[Rule] = RULES) -> Column:
     """ARRAY<STRUCT<ord, line_no, line>>: each line with the first rule of the pack that hits it.
 
     Row-local, so neither a shuffle nor a regrouping by document is needed. Documents without
-    a candidate rule are not split at all, and a line is tested against candidates only; with
-    candidates=None every rule is tested on every line.
+    a candidate rule are not split at all, and a line is tested against candidates only.
     """
     empty = f"CAST(array() AS {_OWNED_TYPE})"
 
     def build(pack: list[Rule]) -> str:
-        def gate(i: int) -> str:
-            return f"({candidates} & {_bit(i)}) <> 0 AND " if candidates else ""
-
         first = "coalesce(" + ", ".join(
-            f"if({gate(i)}{_test('x', r.pattern)}, {i}, NULL)" for i, r in enumerate(pack)) + ")"
+            f"if({_has(candidates, i)} AND {_test('x', r.pattern)}, {i}, NULL)" for i, r in enumerate(pack)) + ")"
         found = (f"filter(transform({T.split_lines_sql(code)}, (x, i) -> "
                  f"named_struct('ord', {first}, 'line_no', i + 1, 'line', x)), f -> f.ord IS NOT NULL)")
         return (f"transform({found}, f -> named_struct('ord', f.ord, 'line_no', f.line_no, "
                 f"'line', {T.strip_sql('f.line')}))")
 
     found = _per_lang(lang, rules, build, empty)
-    return F.expr(f"if({candidates} = 0, {empty}, {found})" if candidates else found)
+    return F.expr(f"if(exists({candidates}, w -> w <> 0), {found}, {empty})")
 
 
 def pick_sql(lang: str, ord_: str, field: str, rules: list[Rule] = RULES) -> str:

@@ -36,8 +36,25 @@ def accepted(text: Column) -> Column:
 
 
 def usage_pct(total: Column, limit: Column) -> Column:
-    """Share of the context window in percent, one decimal, halves to even."""
-    return F.when(limit > 0, F.bround(total / limit * 100, 1)).otherwise(0.0)
+    """Share of the context window in percent, one decimal; the binary value is rounded, not its printed form."""
+    return F.when(limit > 0, _one_decimal(total / limit * 100)).otherwise(0.0)
+
+
+def _one_decimal(x: Column) -> Column:
+    """The nearest tenth of the exact binary value of x >= 0; halves go to the even tenth.
+
+    The middle between two tenths is m/20 with m odd, which a double mostly misses: 20 times the nearest
+    double, taken without rounding as a sum and its error, tells on which side of it the exact middle lies.
+    """
+    tenths = F.floor(x * 10)
+    odd = (tenths * 2 + 1).cast("double")
+    middle = odd / 20
+    high, low = middle * 16, middle * 4
+    total = high + low
+    error = (high - (total - (total - high))) + (low - (total - high))
+    beyond = (total - odd) + error  # middle as a double is above (+), below (-) or at the exact middle
+    up = (x > middle) | ((x == middle) & ((beyond > 0) | ((beyond == 0) & (tenths % 2 == 1))))
+    return F.when(up, tenths + 1).otherwise(tenths).cast("double") / 10
 
 
 def usage_band(pct: Column) -> Column:

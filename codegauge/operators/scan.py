@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codegauge.functions import matching as M, score as S, text as T
+from codegauge.functions.literals import LineIndex
 from codegauge.functions.rulebook import RULES, Rule
 
-# A rule table up to this many rows is read and unrolled into literals.
-UNROLL_LIMIT = 2000
+# Bytes of a rule table that travel to the executors at a time.
+RULE_BLOCK_BYTES = 8 << 20
+OWNED = "array<struct<line_no:int,ord:int,rule_id:string,severity:int,message:string,line:string>>"
 
 
 def with_hits(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -33,54 +38,63 @@ def line_findings(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     # Outer generators throughout: an inner one makes the optimizer push "array not empty" below
     # the projections, which would evaluate the scan a second time.
     base = df.select("doc_id", "lang", "code")
-    scanned = (with_owned_lines(base, rules) if M.fits_mask(rules)
-               else base.withColumn("owned", M.owned_lines(candidates=None, rules=rules)))
-    rows = scanned.select("doc_id", "lang", F.inline_outer("owned")).filter("line_no is not null")
+    rows = with_owned_lines(base, rules).select("doc_id", "lang", F.inline_outer("owned")).filter("line_no is not null")
     return rows.select(
         "doc_id", "lang", "line_no", "ord", M.pick("rule_id", rules=rules).alias("rule_id"),
         M.pick("severity", rules=rules).alias("severity"), M.pick("message", rules=rules).alias("message"),
         "line")
 
 
-def line_findings_from_table(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """The same for rules held in a table (rule_id, lang, ord, pattern, severity, message).
+def line_findings_from_table(df: DataFrame, rules: DataFrame, block_bytes: int = RULE_BLOCK_BYTES) -> DataFrame:
+    """The same for rules held in a table (rule_id, lang, ord, pattern, severity, message), whatever their number.
 
-    A small table is read and unrolled (patterns compile once, no join). A larger one is joined
-    on the language with the match inside the join condition, keeping the least position per
-    line; both give the same rows.
+    Row-local: the rules travel to the documents as an index over the literals they need, in blocks of bounded
+    size (one, unless a pack passes `block_bytes`), and each block lowers the owner of the lines it hits. Of
+    rules with one position the smaller rule_id owns the line. A null text or language has no findings.
     """
-    small = rules.select("rule_id", "lang", "ord", "pattern", "severity", "message").limit(
-        UNROLL_LIMIT + 1).collect()
-    if len(small) <= UNROLL_LIMIT:
-        return _unrolled(df, small)
-    lines = explode_lines(df.select("doc_id", "lang", "code"))
-    dims = rules.select(F.col("lang").alias("_lang"), F.col("ord").alias("_ord"),
-                        F.concat(F.lit(T.FLAGS), F.col("pattern")).alias("_pattern"))
-    owned = (
-        lines.join(dims, (F.col("lang") == F.col("_lang")) & F.expr("line rlike _pattern"))
-        .groupBy("doc_id", "lang", "line_no").agg(F.min("_ord").alias("ord"),
-                                                  F.first("line").alias("line"))
-    )
-    return owned.join(rules.select("rule_id", "lang", "ord", "severity", "message"), ["lang", "ord"]).select(
-        "doc_id", "lang", "line_no", "ord", "rule_id", "severity", "message",
-        T.strip(F.col("line")).alias("line"))
-
-
-def _unrolled(df: DataFrame, rows: list) -> DataFrame:
-    """Positions are renumbered per language so that they index the pack, then mapped back."""
-    rules: list[Rule] = []
-    positions: dict[str, list[int]] = {}
-    for row in sorted(rows, key=lambda r: r.ord):
-        taken = positions.setdefault(row.lang, [])
-        rules.append(Rule(row.rule_id, row.lang, len(taken), row.pattern, row.severity, row.message))
-        taken.append(row.ord)
-    found = line_findings(df, rules)
-    original = None
-    for lang, taken in positions.items():
-        value = F.get(F.array(*[F.lit(p) for p in taken]), F.col("ord"))
-        cond = F.col("lang") == lang
-        original = F.when(cond, value) if original is None else original.when(cond, value)
-    return found if original is None else found.withColumn("ord", original)
+    state = df.select("doc_id", "lang", "code", F.lit(None).cast(OWNED).alias("owned"))
+    schema = state.schema
+    for block in _rule_blocks(rules, block_bytes):
+        packs = df.sparkSession.sparkContext.broadcast(block)
+
+        def scan(batches: Iterator[pa.RecordBatch], packs=packs) -> Iterator[pa.RecordBatch]:
+            indexes = {lang: (LineIndex([r[2] for r in pack]), pack) for lang, pack in packs.value.items()}
+            for batch in batches:
+                texts, langs, known = (batch.column(c).to_pylist() for c in ("code", "lang", "owned"))
+                owned = [_owners(text, *indexes[lang], old) if text and lang in indexes else old
+                         for text, lang, old in zip(texts, langs, known)]
+                yield pa.record_batch([*batch.columns[:3], pa.array(owned, batch.schema.field("owned").type)], schema=batch.schema)
+
+        state = state.mapInArrow(scan, schema)
+    return state.select("doc_id", "lang", F.inline_outer("owned")).filter("line_no is not null").select(
+        "doc_id", "lang", "line_no", "ord", "rule_id", "severity", "message", "line")
+
+
+def _owners(text: str, index: LineIndex, pack: list[tuple], known: list[dict] | None) -> list[dict]:
+    """The owners of a text's lines after a block of rules: a line's owner has the least (position, rule_id)."""
+    out = {f["line_no"]: f for f in known or []}
+    for number, line in enumerate(text.splitlines(), 1):
+        found = index.owner(line)
+        if found is not None:
+            position, rule_id, _, severity, message = pack[found]
+            old = out.get(number)
+            if old is None or (position, rule_id) < (old["ord"], old["rule_id"]):
+                out[number] = {"line_no": number, "ord": position, "rule_id": rule_id, "severity": severity, "message": message,
+                               "line": line.strip()}
+    return list(out.values())
+
+
+def _rule_blocks(rules: DataFrame, limit: int) -> Iterator[dict[str, list[tuple]]]:
+    """Packs by language, each in order of (position, rule_id), in blocks of about `limit` bytes."""
+    rows = rules.select("lang", "ord", "rule_id", "pattern", "severity", "message").where("lang IS NOT NULL AND pattern IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("pattern") + F.octet_length("message") + F.octet_length("rule_id") + 64)).first()[0] or 0
+    n = -(-size // limit)
+    for k in range(n):
+        packs: dict[str, list[tuple]] = {}
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("lang", "ord", "rule_id", "pattern"), F.lit(n)) == k)
+        for r in part.collect():
+            packs.setdefault(r.lang, []).append((r.ord, r.rule_id, r.pattern, r.severity, r.message))
+        yield {lang: sorted(pack) for lang, pack in packs.items()}
 
 
 def doc_rule_hits(df: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

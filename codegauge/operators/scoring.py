@@ -67,11 +67,18 @@ def all_findings(df: DataFrame, log: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def severity_counts(findings: DataFrame) -> DataFrame:
-    """(doc_id, critical, optims) over finding rows."""
-    return findings.groupBy("doc_id").agg(
-        F.count_if(F.col("severity") == 3).alias("critical"),
-        F.count_if(F.col("severity") != 3).alias("optims"))
+def severity_counts(df: DataFrame, log: DataFrame | None = None, rules: list[Rule] = RULES) -> DataFrame:
+    """(doc_id, critical, optims) for every document, clean ones included. Rule and structure findings are
+    counted inside the row; only the linter's counts are joined."""
+    severity = M.pick_sql("lang", "f.ord", "severity", rules)
+    rows = structure.with_structure(scan.with_owned_lines(df.select("doc_id", "lang", "code"), rules)).select(
+        "doc_id", "lang", F.expr(f"size(filter(owned, f -> {severity} = 3))").alias("worst"),
+        F.size("owned").alias("lines"), structure.structure_count(F.col("structure")).alias("tree"))
+    rows = rows.withColumn("n", F.lit(0)) if log is None else rows.join(
+        structure.lint_log_findings(log).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id", "left")
+    lint = F.when(F.col("lang") == "python", F.coalesce("n", F.lit(0))).otherwise(0)
+    return rows.select("doc_id", (F.col("worst") + F.col("tree")).cast("bigint").alias("critical"),
+                       (F.col("lines") - F.col("worst") + lint).cast("bigint").alias("optims"))
 
 
 def text_counts(report: Column) -> list[Column]:

@@ -110,7 +110,8 @@ def usage_by_model(responses: DataFrame) -> DataFrame:
 
 
 def fallback_to_rules(results: DataFrame, reviews: DataFrame, repairs: DataFrame) -> DataFrame:
-    """(doc_id, review, fixed): a model's accepted review and repair, else the rule results.
+    """(doc_id, review, fixed): a model's accepted review and repair, else the rule results. A blank snippet,
+    whose rule report is empty, has empty ones.
 
     `results` has doc_id, old_line, full_code; the reply tables have request_id and result
     (empty when every model failed).
@@ -119,5 +120,5 @@ def fallback_to_rules(results: DataFrame, reviews: DataFrame, repairs: DataFrame
     mended = repairs.filter("result <> ''").select(
         F.col("request_id").alias("doc_id"), R.strip_fence_edges(F.col("result")).alias("repair"))
     return results.join(seen, "doc_id", "left").join(mended, "doc_id", "left").select(
-        "doc_id", F.coalesce("review", "old_line").alias("review"),
-        F.coalesce("repair", "full_code").alias("fixed"))
+        "doc_id", F.when(F.col("old_line") == "", "").otherwise(F.coalesce("review", "old_line")).alias("review"),
+        F.when(F.col("old_line") == "", "").otherwise(F.coalesce("repair", "full_code")).alias("fixed"))

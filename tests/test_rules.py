@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codegauge.functions import score as S
+from codegauge.functions.literals import needed_literals
 from codegauge.functions.rulebook import PENALTY, RULES, Rule, text_precondition
 from codegauge.operators import scan, scoring
 from codegauge.plans.analyze import analyze_corpus
@@ -40,22 +41,48 @@ def test_first_rule_owns_the_line(corpus):
     assert set(got) == expected_lines(rows)
 
 
-@pytest.mark.parametrize("limit", [2000, 0])
-def test_rule_table_gives_the_same_findings(spark, corpus, monkeypatch, limit):
+@pytest.mark.parametrize("block_bytes", [scan.RULE_BLOCK_BYTES, 900])
+def test_rule_table_gives_the_same_findings(spark, corpus, block_bytes):
     rows, df = corpus
-    monkeypatch.setattr(scan, "UNROLL_LIMIT", limit)
-    got = {(r.doc_id, r.line_no, r.rule_id, r.line)
-           for r in scan.line_findings_from_table(df, rules_df(spark)).collect()}
-    assert got == expected_lines(rows)
-
-
-def test_pack_wider_than_a_mask(spark):
-    rules = [Rule(f"r{i}", "python", i, rf"\bname{i}\b", 1, "m") for i in range(100)]
-    df = spark.createDataFrame([(1, "python", "x\nname7 name99\nname99")], "doc_id bigint, lang string, code string")
-    got = {(r.line_no, r.rule_id) for r in scan.line_findings(df, rules).collect()}
-    assert got == {(2, "r7"), (3, "r99")}
-    with pytest.raises(ValueError):
-        scan.with_hits(df, rules)
+    found = scan.line_findings_from_table(df, rules_df(spark), block_bytes)
+    assert {(r.doc_id, r.line_no, r.rule_id, r.line) for r in found.collect()} == expected_lines(rows)
+
+
+def test_needed_literals():
+    want = {r"\bgets\s*\(": ["gets"], r"==\s*NULL|NULL\s*==": ["NULL"], r"(?:foo|bar)+x?": ["bar", "foo"], r"a{0,3}": None,
+            r"(?i)eval": None, r"[ab]c": ["c"], r"x*(ab|c)(?=zzz)": ["ab", "c"], r"a.bc": ["bc"], r"(?:a|b*)": None, r"\d+": None, r"^abc$": ["abc"],
+            r"(?i:q)rest": ["rest"]}
+    assert {p: needed_literals(p) for p in want} == {p: w if w is None else sorted(w, key=str) for p, w in want.items()}
+
+
+@pytest.mark.parametrize("n", [100, 5000])
+def test_table_packs_of_any_size_share_one_plan(spark, n):
+    rows = [(f"r{i:04d}", "python", i // 2, rf"\bname{i}\b" if i % 3 else rf"(?i)NAME{i}(?!\d)", 1, "m") for i in range(n)]
+    rules = spark.createDataFrame(rows, "rule_id string, lang string, ord int, pattern string, severity int, message string")
+    code = "\n".join(f"x = name{i}, name{n - 1 - i}" for i in range(0, n, 97)) + "\n name0 "
+    df = spark.createDataFrame([(1, "python", code), (2, "python", None), (3, None, "name1"), (4, "go", "name1")],
+                               "doc_id bigint, lang string, code string")
+    found = scan.line_findings_from_table(df, rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+    want = [(k + 1, f"r{min(i, n - 1 - i):04d}") for k, i in enumerate(range(0, n, 97))]
+    want.append((len(want) + 1, "r0000"))
+    assert sorted((r.line_no, r.rule_id) for r in found.collect()) == want
+
+
+def test_pack_wider_than_a_word_goes_through_the_whole_chain(spark):
+    rules = [Rule(f"r{i}", "python", i, rf"\bname{i}\b", 1 + i % 3, "m") for i in range(100)]
+    df = spark.createDataFrame([(1, "python", "x\nname7 name99\nname99"), (2, "python", "name98\n"), (3, "python", "name"), (4, "c", "name1")],
+                               "doc_id bigint, lang string, code string")
+    got = {(r.doc_id, r.line_no, r.rule_id) for r in scan.line_findings(df, rules).collect()}
+    assert got == {(1, 2, "r7"), (1, 3, "r99"), (2, 1, "r98")}
+    assert {(r.doc_id, r.rule_id) for r in scan.doc_rule_hits(df, rules).collect()} == {(1, "r7"), (1, "r99"), (2, "r98")}
+    assert {r.doc_id: r.base_score for r in scoring.base_score(df, rules=rules).collect()} == {1: 100 - 12 - 5, 2: 100 - 22, 3: 100, 4: 100}
+    assert {r.doc_id: (r.critical, r.optims) for r in scoring.severity_counts(df, rules=rules).collect()} == \
+        {1: (0, 2), 2: (1, 0), 3: (0, 0), 4: (0, 0)}
+    whole = {r.doc_id: r for r in analyze_corpus(df, rules=rules).collect()}
+    assert [whole[i].score for i in (1, 2, 3, 4)] == [83, 78, 100, 100]
+    assert whole[1].old_line.startswith(f"{S.YELLOW} Line   2:  name7 name99")
 
 
 def test_report_lists_rules_then_lines(corpus):

@@ -59,3 +59,19 @@ def test_rules_answer_where_no_model_did(spark):
                                     "request_id bigint, result string")
     got = {r.doc_id: (r.review, r.fixed) for r in usage.fallback_to_rules(results, reviews, repairs).collect()}
     assert got == {1: (LONG, LONG), 2: ("r2", "f2"), 3: ("r3", "f3")}
+
+
+def test_usage_share_rounds_the_binary_value(spark):
+    """As Python rounds: 0.05 is stored above one twentieth, 0.15 below three; a quarter is exact and goes to the even tenth."""
+    rows = [(t, m) for m in (128000, 8192, 32768, 1000, 7, 400) for t in [*range(0, 700), 8191, 64000, 127999, 131072]]
+    df = spark.createDataFrame(rows, "t int, m int").select("t", "m", R.usage_pct(F.col("t"), F.col("m")).alias("p"))
+    for r in df.collect():
+        assert r.p == round(r.t / r.m * 100, 1), (r.t, r.m)
+    assert df.filter("t = 64 AND m = 128000").first().p == 0.1
+
+
+def test_blank_snippets_keep_empty_results(spark):
+    results = spark.createDataFrame([(1, "", ""), (2, "report", "code")], "doc_id bigint, old_line string, full_code string")
+    replies = spark.createDataFrame([(1, "a reply"), (2, "another reply that is long")], "request_id bigint, result string")
+    got = {r.doc_id: (r.review, r.fixed) for r in usage.fallback_to_rules(results, replies, replies).collect()}
+    assert got == {1: ("", ""), 2: ("another reply that is long",) * 2}

@@ -52,10 +52,11 @@ def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every script of every page, keyed by page and place; a page without one has an empty script."""
+    scripts = F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
-    return pages.select(
-        F.col("page_id").alias("doc_id"), F.lit("javascript").alias("lang"),
-        F.regexp_extract("html", r"(?s)<script[^>]*>(.*?)</script>", 1).alias("code"))
+    return pages.select("page_id", F.posexplode(F.when(F.size(scripts) > 0, scripts).otherwise(F.array(F.lit("")))).alias("n", "code")) \
+        .select(F.concat_ws("-", "page_id", "n").alias("doc_id"), F.lit("javascript").alias("lang"), "code")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,20 +66,21 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per model reply: some fenced, some cut too short to be accepted."""
-    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    """One row per model reply, whole and partly fenced; every fifth has a reply of better rank that is too short."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'").withColumn(
+        "n", F.col("conv_id") + F.col("turn"))
+    short = turns.filter("n % 5 = 0").withColumn("text", F.concat(F.lit(" no: "), F.col("n").cast("string")))
+    turns = turns.withColumn("place", F.lit(1)).unionByName(short.withColumn("place", F.lit(0)))
     rank = F.floor(F.col("turn") / 2).cast("int")
-    n = F.col("conv_id") + F.col("turn")
-    text = (F.when(n % 5 == 0, F.substring("text", 1, 20))
-            .when(n % 3 == 0, F.concat(F.lit("```python\n"), F.col("text"), F.lit("\n```")))
-            .otherwise(F.col("text")))
+    text = F.when((F.col("n") % 3 == 0) & (F.col("place") == 1), F.concat(
+        F.lit("```python\n"), F.col("text"), F.lit("\n```"))).otherwise(F.col("text"))
     tokens = F.floor(F.length("text") / 4).cast("int")
     limits = F.broadcast(dims.model_limits_df(spark).select("rank", "model"))
     return turns.select(
-        F.col("conv_id").alias("request_id"), rank.alias("rank"), text.alias("result"),
+        F.col("conv_id").alias("request_id"), rank.alias("rank"), "place", text.alias("result"),
         (tokens * 3).alias("prompt_tokens"), tokens.alias("output_tokens"), (tokens * 4).alias("total_tokens"),
     ).join(limits, "rank", "left").select(
-        "request_id", "rank", F.coalesce("model", F.lit("other-model")).alias("model"), "result",
+        "request_id", (F.col("rank") * 2 + F.col("place")).alias("rank"), F.coalesce("model", F.lit("other-model")).alias("model"), "result",
         "prompt_tokens", "output_tokens", "total_tokens")
 
 

@@ -57,8 +57,9 @@ CTES["snippets"] = f"""snippets AS (
   FROM (SELECT *, regexp_extract(props, '"k": (\\d+)', 1) AS k FROM events) e
   JOIN templates t ON e.event_id % {len(TEMPLATES)} = t.tid)"""
 CTES["page_scripts"] = """page_scripts AS (
-  SELECT page_id AS doc_id, 'javascript' AS lang,
-         regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS code FROM pages)"""
+  SELECT page_id::VARCHAR || '-' || (unnest(range(greatest(len(s), 1))))::VARCHAR AS doc_id, 'javascript' AS lang,
+         unnest(CASE WHEN len(s) > 0 THEN s ELSE [''] END) AS code
+  FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS s FROM pages))"""
 CTES["labelled"] = f"""labelled AS (
   SELECT c_custkey::BIGINT AS row_no, replace(t.body, '{{k}}', c_nationkey::VARCHAR) AS code, t.lang AS language,
          t.bug_type, t.has_bug::INTEGER AS has_bug,
@@ -276,12 +277,13 @@ CTES.update(_fixed_ctes("page_", "page_scripts"))
 CTES["limits"] = "limits(rank, model, lim) AS (VALUES " + ", ".join(
     f"({i}, {q(m)}, {n})" for i, (m, n) in enumerate(MODEL_LIMITS)) + ")"
 CTES["responses"] = """responses AS (
-  SELECT conv_id AS request_id, (turn // 2)::INTEGER AS rank, coalesce(l.model, 'other-model') AS model,
-         CASE WHEN (conv_id + turn) % 5 = 0 THEN substring(text, 1, 20)
-              WHEN (conv_id + turn) % 3 = 0 THEN '```python' || chr(10) || text || chr(10) || '```' ELSE text END AS result,
+  SELECT conv_id AS request_id, (turn // 2 * 2 + place)::INTEGER AS rank, coalesce(l.model, 'other-model') AS model,
+         CASE WHEN (conv_id + turn) % 3 = 0 AND place = 1 THEN '```python' || chr(10) || text || chr(10) || '```' ELSE text END AS result,
          (length(text) // 4 * 3)::INTEGER AS prompt_tokens, (length(text) // 4)::INTEGER AS output_tokens,
          (length(text) // 4 * 4)::INTEGER AS total_tokens
-  FROM conversations LEFT JOIN limits l ON l.rank = turn // 2 WHERE role = 'assistant')"""
+  FROM (SELECT conv_id, turn, text, role, 1 AS place FROM conversations UNION ALL
+        SELECT conv_id, turn, ' no: ' || (conv_id + turn)::VARCHAR, role, 0 FROM conversations WHERE (conv_id + turn) % 5 = 0)
+  LEFT JOIN limits l ON l.rank = turn // 2 WHERE role = 'assistant')"""
 CTES["accepted"] = f"accepted AS (SELECT * REPLACE ({strip('result')} AS result) FROM responses WHERE length({strip('result')}) > 20)"
 CTES["first_ok"] = """first_ok AS (
   SELECT r.request_id, coalesce(a.model, '') AS model, coalesce(a.result, '') AS result,
@@ -294,7 +296,7 @@ CTES["first_ok"] = """first_ok AS (
 
 def _usage(source: str) -> str:
     return f"""SELECT r.*, CASE WHEN r.model = '' THEN 0 ELSE coalesce(l.lim, {R.DEFAULT_LIMIT}) END::INTEGER AS lim,
-      CASE WHEN r.model = '' THEN 0.0 ELSE round_even(r.total_tokens / coalesce(l.lim, {R.DEFAULT_LIMIT}) * 100, 1) END::DOUBLE AS pct
+      CASE WHEN r.model = '' THEN 0.0 ELSE printf('%.1f', r.total_tokens / coalesce(l.lim, {R.DEFAULT_LIMIT}) * 100)::DOUBLE END::DOUBLE AS pct
       FROM {source} r LEFT JOIN limits l ON l.model = r.model"""
 
 
@@ -314,13 +316,17 @@ CTES["asks"] = """asks AS (
   SELECT doc_id, ['convert', 'assistant', 'review', 'fix', 'assistant'][doc_id % 5 + 1] AS task, lang,
          ['java', 'python', 'go'][doc_id % 3 + 1] AS to_lang,
          CASE WHEN doc_id % 11 = 0 THEN '  ' WHEN doc_id % 13 <> 0 THEN 'make it faster ' || doc_id::VARCHAR END AS prompt,
-         CASE WHEN doc_id % 4 <> 0 THEN code END AS code FROM snippets)"""
+         code FROM snippets)"""
 CTES["checked"] = f"""checked AS (
   SELECT *, CASE WHEN task = 'assistant' AND {strip("coalesce(prompt, '')")} = '' THEN {q(U.NO_PROMPT)}
     WHEN task <> 'assistant' AND {strip("coalesce(code, '')")} = '' THEN {q(U.NO_CODE)}
     WHEN task = 'convert' AND lang = to_lang THEN {q(U.SAME_LANG)} END AS error FROM asks)"""
 
 
+CTES["checked_some"] = CTES["checked"].replace("checked AS", "checked_some AS").replace(
+    "FROM asks", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 4 <> 0 THEN code END AS code) FROM asks)")
+
+
 def _filled(template: str) -> str:
     for name in ("lang", "to_lang", "prompt", "code"):
         template = template.replace("'", "''") if name == "lang" else template
@@ -405,7 +411,7 @@ _NEEDS = {
     "page_java_steps": ["page_scripts"],
     "page_body": ["page_python_steps", "page_javascript_steps", "page_java_steps"], "page_fixed": ["page_body"],
     "responses": ["limits"], "accepted": ["responses"], "first_ok": ["accepted"], "usage": ["responses"],
-    "ok_usage": ["first_ok"], "asks": ["snippets"], "checked": ["asks"], "feats": ["snippets"],
+    "ok_usage": ["first_ok"], "asks": ["snippets"], "checked": ["asks"], "checked_some": ["asks"], "feats": ["snippets"],
     "chances": ["feats"], "predicted": ["chances"], "sim_pairs": ["snippets", "corr"], "similar_rows": ["sim_pairs"],
     "exact": ["corr"], "model_text": ["snippets"], "terms": ["model_text"], "vocab": ["terms"], "tf": ["vocab"],
     "weighted": ["tf"],
@@ -498,6 +504,13 @@ _LANG = case(f"lower({_SUFFIX})", LANG_BY_SUFFIX, "'python'")
 ORACLE: dict[str, str] = {
     "explode_lines": sql("SELECT doc_id, line_no, line FROM lines", "lines"),
     "line_findings": sql("SELECT doc_id, lang, line_no, rule_id, severity, message, line FROM findings", "findings"),
+    "wide_pack_findings": r"""WITH rules AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS word FROM benchmark),
+        l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1))::INTEGER AS line_no FROM (
+          SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1)
+                 ELSE text END, chr(10)) END AS ls FROM documents)),
+        w AS (SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(line, '[\p{L}\p{N}_]+')) AS word FROM l)
+        SELECT doc_id, line_no, word AS rule_id FROM w JOIN rules USING (word)
+        QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY ascii(word), word) = 1""",
     "table_rule_findings": sql("SELECT doc_id, line_no, rule_id, severity FROM findings", "findings"),
     "doc_rule_hits": sql("SELECT * FROM hits", "hits"),
     "fault_report": sql("SELECT doc_id, report FROM rule_report", "rule_report"),
@@ -527,7 +540,7 @@ ORACLE: dict[str, str] = {
     "severity_icon": sql(f"SELECT {icon('severity')} AS icon, count(*) AS lines FROM findings GROUP BY 1", "findings"),
     "severity_counts": sql(
         """SELECT doc_id, count(*) FILTER (severity = 3) AS critical, count(*) FILTER (severity <> 3) AS optims FROM (
-             SELECT doc_id, severity FROM findings UNION ALL SELECT doc_id, 3 FROM tree UNION ALL
+             SELECT doc_id, NULL AS severity FROM snippets UNION ALL SELECT doc_id, severity FROM findings UNION ALL SELECT doc_id, 3 FROM tree UNION ALL
              SELECT l.doc_id, 2 FROM lint l JOIN snippets s ON s.doc_id = l.doc_id AND s.lang = 'python') GROUP BY doc_id""",
         "findings", "tree", "lint"),
     "security_count": sql(f"SELECT doc_id, {security('report')} AS security_count FROM rule_report", "rule_report"),
@@ -600,7 +613,7 @@ ORACLE: dict[str, str] = {
         f"(SELECT request_id, rank, {_EDGES.format('result')} AS t FROM responses)", "responses"),
     "strip_fences_all": sql(
         f"SELECT request_id, rank, {fences_all('result', 'target')} AS converted, {fences_all('result', None)} AS answered "
-        "FROM (SELECT *, CASE WHEN rank % 2 = 0 THEN 'c' ELSE 'python' END AS target FROM responses)", "responses"),
+        "FROM (SELECT *, CASE WHEN rank // 2 % 2 = 0 THEN 'c' ELSE 'python' END AS target FROM responses)", "responses"),
     "accept_response": sql("SELECT request_id, rank, result FROM accepted", "accepted"),
     "first_success": sql("SELECT * FROM first_ok", "first_ok"),
     "context_usage": sql(
@@ -611,15 +624,15 @@ ORACLE: dict[str, str] = {
               sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(output_tokens)::BIGINT AS output_tokens,
               sum(total_tokens)::BIGINT AS total_tokens, round(avg(pct), 6) AS mean_pct,
               round(avg((pct >= 80)::INTEGER), 6) AS share_near_limit FROM usage GROUP BY model""", "usage"),
-    "validate_request": sql("SELECT doc_id, coalesce(error, '') AS error FROM checked", "checked"),
+    "validate_request": sql("SELECT doc_id, coalesce(error, '') AS error FROM checked_some", "checked_some"),
     "build_prompts": sql(
         "SELECT doc_id, kind, CASE kind " + " ".join(f"WHEN {q(k)} THEN {_filled(v[0])}" for k, v in U.PROMPTS.items())
         + " END AS system, CASE kind " + " ".join(f"WHEN {q(k)} THEN {_filled(v[1])}" for k, v in U.PROMPTS.items())
         + f""" END AS "user" FROM (SELECT *, CASE WHEN task <> 'assistant' THEN task WHEN {strip("coalesce(code, '')")} = ''
              THEN 'generate' ELSE 'modify' END AS kind FROM checked WHERE error IS NULL)""", "checked"),
     "fallback_to_rules": sql(
-        f"""SELECT a.doc_id, CASE WHEN r.result <> '' THEN r.result ELSE a.old_line END AS review,
-              CASE WHEN r.result <> '' AND length({_EDGES.format('r.result')}) > 20 THEN {_EDGES.format('r.result')}
+        f"""SELECT a.doc_id, CASE WHEN a.old_line = '' THEN '' WHEN r.result <> '' THEN r.result ELSE a.old_line END AS review,
+              CASE WHEN a.old_line = '' THEN '' WHEN r.result <> '' AND length({_EDGES.format('r.result')}) > 20 THEN {_EDGES.format('r.result')}
                    ELSE a.full_code END AS fixed
             FROM ({_SNIPPET_ANALYSIS.replace('{report}', 'tree_report').replace('{base}', 'base')}) a
             LEFT JOIN first_ok r ON r.request_id = a.doc_id""", "tree_report", "fixed", "base", "first_ok"),

@@ -45,6 +45,18 @@ def table_rule_findings(spark, sf):
     return found.select("doc_id", "line_no", "rule_id", "severity")
 
 
+@register
+def wide_pack_findings(spark, sf):
+    """A pack of hundreds of rules, one for each long word of the benchmark, over the lines of all documents."""
+    words = I.table(spark, sf, "benchmark").select(
+        F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{9,}"), F.lit(0))).alias("word")).distinct()
+    langs = F.explode(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")])).alias("lang")
+    rules = words.select(F.col("word").alias("rule_id"), langs, F.ascii("word").alias("ord"),
+                         F.concat(F.lit(r"\b"), "word", F.lit(r"\b")).alias("pattern"),
+                         F.lit(1).alias("severity"), F.lit("benchmark word").alias("message"))
+    return scan.line_findings_from_table(I.documents(spark, sf), rules).select("doc_id", "line_no", "rule_id")
+
+
 @register
 def doc_rule_hits(spark, sf):
     return scan.doc_rule_hits(I.snippets(spark, sf))
@@ -131,7 +143,7 @@ def severity_icon(spark, sf):
 
 @register
 def severity_counts(spark, sf):
-    return scoring.severity_counts(scoring.all_findings(I.snippets(spark, sf), I.lint_log(spark, sf)))
+    return scoring.severity_counts(I.snippets(spark, sf), I.lint_log(spark, sf))
 
 
 @register
@@ -269,7 +281,7 @@ def source_file_review(spark, sf):
     read = files.read_source_files(spark, src, "javascript")
     files.write_fixed(fixes.with_fixed(read), out)
     done = spark.read.parquet(out)
-    return done.select("lang", F.regexp_extract("out_path", r"name=(s\d+)/", 1).alias("name"),
+    return done.select("lang", F.regexp_extract("out_path", r"name=(s[\d-]+)/", 1).alias("name"),
                        F.regexp_extract("out_path", r"(_fixed\.\w+)$", 1).alias("suffix"), "fixed_code")
 
 
@@ -407,7 +419,7 @@ def strip_fence_edges(spark, sf):
 
 @register
 def strip_fences_all(spark, sf):
-    target = F.when(F.col("rank") % 2 == 0, "c").otherwise("python")
+    target = F.when(F.floor(F.col("rank") / 2) % 2 == 0, "c").otherwise("python")
     return I.responses(spark, sf).select(
         "request_id", "rank", R.strip_fences_all(F.col("result"), target).alias("converted"),
         R.strip_fences_all(F.col("result")).alias("answered"))
@@ -442,14 +454,14 @@ def _request_rows(spark, sf):
     to_lang = F.element_at(F.array(F.lit("java"), F.lit("python"), F.lit("go")), (n % 3 + 1).cast("int"))
     prompt = F.when(n % 11 == 0, F.lit("  ")).when(n % 13 != 0, F.concat(
         F.lit("make it faster "), n.cast("string")))
-    code = F.when(n % 4 != 0, F.col("code"))
     return I.snippets(spark, sf).select("doc_id", task.alias("task"), "lang", to_lang.alias("to_lang"),
-                                        prompt.alias("prompt"), code.alias("code"))
+                                        prompt.alias("prompt"), "code")
 
 
 @register
 def validate_request(spark, sf):
-    return usage.validate_request(_request_rows(spark, sf)).select(
+    some = _request_rows(spark, sf).withColumn("code", F.when(F.col("doc_id") % 4 != 0, F.col("code")))
+    return usage.validate_request(some).select(
         "doc_id", F.coalesce("error", F.lit("")).alias("error"))
 
 
