@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codegauge.functions import text as T
+from codegauge.session import scratch_path
 from codegauge.sources.corpus import CORPUS_COLUMNS
 
-MAX_LABELS = 1000
+#: What row numbers of added rows start from, so that they follow all existing ones.
+ADDED_FROM = 1 << 48
 
 
 def expand_corpus(existing: DataFrame, extra: DataFrame, order_col: str = "row_no") -> DataFrame:
@@ -17,10 +19,22 @@ def expand_corpus(existing: DataFrame, extra: DataFrame, order_col: str = "row_n
     shuffle, and the known codes are made distinct first: a code that fills a third of either
     side shuffles as one row per task.
     """
-    first = Window.partitionBy("code").orderBy(order_col)
-    fresh = extra.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    added = fresh.join(existing.select("code").distinct(), "code", "left_anti")
-    return existing.select(*CORPUS_COLUMNS).unionByName(added.select(*CORPUS_COLUMNS))
+    return existing.select(*CORPUS_COLUMNS).unionByName(_added(existing, extra, order_col).select(*CORPUS_COLUMNS))
+
+
+def expand_ordered(existing: DataFrame, extra: DataFrame, order_col: str = "row_no") -> DataFrame:
+    """The same with row numbers: added rows keep their order and come behind all existing ones."""
+    number = (F.col(order_col) + F.lit(ADDED_FROM)).alias("row_no")
+    return existing.select(F.col(order_col).alias("row_no"), *CORPUS_COLUMNS).unionByName(
+        _added(existing, extra, order_col).select(number, *CORPUS_COLUMNS))
+
+
+def _added(existing: DataFrame, extra: DataFrame, order_col: str) -> DataFrame:
+    """Codes are told apart by a hash: a join needs no text of the existing rows."""
+    code = F.sha2(F.col("code"), 256)
+    first = Window.partitionBy("_hash").orderBy(order_col)
+    fresh = extra.withColumn("_hash", code).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return fresh.join(existing.select(code.alias("_hash")).distinct(), "_hash", "left_anti").drop("_hash")
 
 
 def flag_blank(df: DataFrame) -> DataFrame:
@@ -47,7 +61,7 @@ def stratified_split(df: DataFrame, fraction: float = 0.2, seed: int = 42,
 
     No row is ranked against its whole label. The hash space is counted in 65,536 buckets, the
     bucket holding the limit is found from those counts, and only that bucket is ranked. The
-    limit is one key per label, so the split itself is a comparison in the scan.
+    limits, one key per label, are a table joined to the rows; any number of labels may occur.
     """
     key = _split_key(id_col, seed)
     keyed = df.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"), key.alias("key"))
@@ -55,30 +69,25 @@ def stratified_split(df: DataFrame, fraction: float = 0.2, seed: int = 42,
     counts = bucketed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
     per_label = Window.partitionBy("label")
     upto = per_label.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
+    cuts = (  # the bucket of each label that holds its limit, and the limit's rank in it
         counts.withColumn("cum", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(per_label))
         .withColumn("want", F.floor(F.col("total") * fraction + 0.5))
         .filter((F.col("cum") >= F.col("want")) & (F.col("cum") - F.col("n") < F.col("want")))
         .select("label", "bucket", (F.col("want") - (F.col("cum") - F.col("n"))).alias("rank"))
-    ).limit(MAX_LABELS + 1).collect()
-    if len(cuts) > MAX_LABELS:
-        raise ValueError(f"{label_col} has more than {MAX_LABELS} values; it is not a class label")
-    if not cuts:
-        return df.withColumn("is_test", F.lit(False))
-
-    edge = None
-    for c in cuts:
-        here = F.col("label").eqNullSafe(F.lit(c.label)) & (F.col("bucket") == c.bucket)
-        edge = F.when(here, int(c["rank"])) if edge is None else edge.when(here, int(c["rank"]))
-    in_bucket = Window.partitionBy("label").orderBy("key", "id")
-    limits = (
-        bucketed.withColumn("want", edge).filter("want is not null")
-        .withColumn("n", F.row_number().over(in_bucket)).filter("n = want")
-        .select("label", "key", "id").collect()
     )
-    is_test = None
-    for row in limits:
-        below = (key < row["key"]) | ((key == row["key"]) & (F.col(id_col) <= row["id"]))
-        mine = F.col(label_col).eqNullSafe(F.lit(row["label"]))
-        is_test = F.when(mine, below) if is_test is None else is_test.when(mine, below)
-    return df.withColumn("is_test", is_test.otherwise(F.lit(False)))
+    cuts = _kept(cuts, "split-cuts").withColumnsRenamed({"label": "cut_label", "bucket": "cut_bucket"})
+    in_bucket = Window.partitionBy("label").orderBy("key", "id")
+    limits = _kept(
+        bucketed.join(cuts, F.col("label").eqNullSafe(F.col("cut_label")) & (F.col("bucket") == F.col("cut_bucket")))
+        .withColumn("n", F.row_number().over(in_bucket)).filter("n = rank")
+        .select(F.struct(F.col("label"), F.col("key"), F.col("id")).alias("_limit")), "split-limits")
+    below = (key < F.col("_limit.key")) | ((key == F.col("_limit.key")) & (F.col(id_col) <= F.col("_limit.id")))
+    return df.join(limits, F.col(label_col).eqNullSafe(F.col("_limit.label")) & F.col("_limit").isNotNull(), "left") \
+        .withColumn("is_test", F.coalesce(below, F.lit(False))).drop("_limit")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A table of one row per label, written so that joins know its true size."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -16,8 +16,13 @@ def corrections(corpus: DataFrame) -> DataFrame:
     return corpus.filter((F.col("has_bug") != 0) & ~T.is_blank(F.col("corrected_code")))
 
 
+def _key(code: Column) -> Column:
+    """What stands for the stripped text in shuffles and joins."""
+    return F.sha2(T.strip(code), 256)
+
+
 def _exact_keys(corr: DataFrame) -> DataFrame:
-    return corr.groupBy(T.strip(F.col("code")).alias("key")).agg(
+    return corr.groupBy(_key(F.col("code")).alias("key")).agg(
         F.max_by("corrected_code", "row_no").alias("exact_correction"))
 
 
@@ -27,7 +32,7 @@ def exact_lookup(snips: DataFrame, corr: DataFrame) -> DataFrame:
     The lookup side has one row per key, so a code shared by a third of all snippets is only
     heavy on the left, where adaptive skew joins may split it. No broadcast is forced.
     """
-    return snips.select("doc_id", T.strip(F.col("code")).alias("key")).join(
+    return snips.select("doc_id", _key(F.col("code")).alias("key")).join(
         _exact_keys(corr), "key", "left").select("doc_id", "exact_correction")
 
 
@@ -84,8 +89,8 @@ def _closest(rest: DataFrame, cands: DataFrame) -> DataFrame:
 
 
 def _asked(snips: DataFrame) -> DataFrame:
-    key = T.strip(F.col("code"))
-    return snips.select("doc_id", "bug_type", key.alias("key"), F.substring(key, 1, PREFIX).alias("head"))
+    code = F.col("code")
+    return snips.select("doc_id", "bug_type", _key(code).alias("key"), F.substring(T.strip(code), 1, PREFIX).alias("head"))
 
 
 def _winners(snips: DataFrame, corr: DataFrame) -> DataFrame:

@@ -8,16 +8,18 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from codegauge.functions import ngrams as N
 from codegauge.operators import corpus, evaluation, textvec
 from codegauge.session import ensure_checkpoint_dir
+from codegauge.sources.folders import Folder
 
 TREES, DEPTH, RATE, SEED = 120, 4, 0.1, 42
 TREE_FEATURES = 1000
 TOLERANCE = 1e-4
+VERSION, DONE = "version-", "done-"
 
 
 def with_text(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFrame:
@@ -80,25 +82,37 @@ def predict_proba(df: DataFrame, advanced: PipelineModel | None = None,
     return _p_bug(model, df, df.columns)
 
 
+class IncompleteModel(Exception):
+    """A model was begun to be stored, and no version of it was finished."""
+
+
 def save_models(path: str, **models: PipelineModel) -> None:
+    """Every model becomes a new version, which counts once its marker stands; older versions are removed then."""
     for name, model in models.items():
-        model.write().overwrite().save(f"{path}/{name}")
+        folder = Folder(_session(), f"{path}/{name}")
+        number = 1 + max((int(v.removeprefix(VERSION)) for v in folder.names() if v.startswith(VERSION)), default=0)
+        model.write().save(f"{path}/{name}/{VERSION}{number}")
+        folder.commit_text(f"{DONE}{number}", "")
+        for old in folder.names():
+            if old not in (f"{VERSION}{number}", f"{DONE}{number}"):
+                folder.delete(old)
 
 
 def load_model(path: str, name: str) -> PipelineModel | None:
-    """A stored model, or None where it is absent."""
-    try:
-        return PipelineModel.load(f"{path}/{name}")
-    except Exception as err:
-        if _is_missing(err):
-            return None
-        raise
-
-
-def _is_missing(err: Exception) -> bool:
-    text = str(err)
-    return any(m in text for m in ("does not exist", "PATH_NOT_FOUND", "FileNotFound", "No such file",
-                                   "empty collection"))
+    """The newest finished version of a stored model, or None where there is none. A model that was begun and never finished
+    raises; any other failure to read a finished version does as well."""
+    folder = Folder(_session(), f"{path}/{name}")
+    entries = folder.names()
+    done = [int(entry.removeprefix(DONE)) for entry in entries if entry.startswith(DONE) and entry.removeprefix(DONE).isdigit()]
+    if done:
+        return PipelineModel.load(f"{path}/{name}/{VERSION}{max(done)}")
+    if any(entry.startswith(VERSION) for entry in entries):
+        raise IncompleteModel(f"{path}/{name}")
+    return None
+
+
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
 @dataclass

@@ -72,3 +72,35 @@ def test_submissions_get_the_form_defaults(spark, tmp_path):
     (tmp_path / "s.json").write_text('{"doc_id": 1, "lang": "c"}\n{"doc_id": 2, "code": "x"}\n')
     got = submissions.read_submissions(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [(r.code, r.lang) for r in got] == [("", "c"), ("x", "python")]
+
+
+def test_split_of_very_many_labels(spark):
+    rows = [(i, f"label {i % 1500}") for i in range(15000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, kind string").repartition(4)
+    got = corpus.stratified_split(df, 0.2, 42, label_col="kind")
+    assert got.columns == ["doc_id", "kind", "is_test"]
+    assert {r["count"] for r in got.filter("is_test").groupBy("kind").count().collect()} == {2}
+    assert got.filter("is_test").select("kind").distinct().count() == 1500
+    assert corpus.stratified_split(df.filter("doc_id < 0"), label_col="kind").collect() == []
+
+
+def test_rows_of_files_are_numbered_in_order(spark, tmp_path):
+    def line(n):
+        return (f"code {n}\nsecond", "python", "t", 1, f"fix {n}", "d")
+
+    rows = [line(n) for n in range(1, 400)]
+    for fmt in ("csv", "parquet"):
+        path = str(tmp_path / fmt)
+        # files of different sizes, written out of order, the second one empty
+        for k, (a, b) in reversed(list(enumerate([(0, 150), (150, 150), (150, 153), (153, 399)]))):
+            part = spark.createDataFrame(rows[a:b], io.CORPUS_SCHEMA).coalesce(1)
+            io.write_corpus(part, f"{path}/{k}", fmt)
+        got = io.read_ordered_corpus(spark, f"{path}/*", fmt).repartition(3)
+        assert [(r.row_no, r.code) for r in got.orderBy("row_no").collect()] == [(i + 1, r[0]) for i, r in enumerate(rows)]
+
+
+def test_ordered_expansion_puts_new_rows_last(spark):
+    existing = spark.createDataFrame([row(1, "a", "e1"), row(9, "b", "e2")], SCHEMA)
+    extra = spark.createDataFrame([row(7, "c", "x"), row(5, "c", "y"), row(3, "a", "z"), row(6, "d", "w")], SCHEMA)
+    got = corpus.expand_ordered(existing, extra).orderBy("row_no").collect()
+    assert [(r.code, r.description) for r in got] == [("a", "e1"), ("b", "e2"), ("c", "y"), ("d", "w")]

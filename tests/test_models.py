@@ -1,5 +1,7 @@
 import pytest
 
+import pytest
+
 from codegauge.operators import models
 from codegauge.plans.analyze import analyze_corpus
 
@@ -45,3 +47,18 @@ def test_advanced_model_wins_and_none_leaves_the_rule_score(labelled, trained):
     blended = {r.doc_id: r.score for r in analyze_corpus(
         models.predict_proba(labelled, trained.basic)).collect()}
     assert any(blended[i] < plain[i] for i in plain)
+
+
+def test_half_written_models_are_told_from_absent_ones(spark, trained, tmp_path):
+    path = str(tmp_path)
+    assert models.load_model(path, "basic") is None
+    trained.basic.stages[-1].write().save(f"{path}/basic/version-1/stages")  # a writer was lost before it was done
+    with pytest.raises(models.IncompleteModel):
+        models.load_model(path, "basic")
+    models.save_models(path, basic=trained.basic)
+    assert sorted(p.name for p in (tmp_path / "basic").iterdir() if not p.name.startswith(".")) == ["done-2", "version-2"]
+    (tmp_path / "basic" / "version-3").mkdir()  # a later writer was lost: the finished version still counts
+    assert len(models.load_model(path, "basic").stages) == len(trained.basic.stages)
+    (tmp_path / "basic" / "version-2" / "metadata").rename(tmp_path / "elsewhere")
+    with pytest.raises(Exception):
+        models.load_model(path, "basic")

@@ -51,9 +51,44 @@ def test_history_stream_merges_batches_and_restarts(spark, tmp_path):
     # late rows arrive after a restart
     df.filter("doc_id % 2 = 1").repartition(3).write.mode("append").json(src)
     run()
-    assert len(list((tmp_path / "out").glob("batch_id=*"))) >= 3
     want = sorted(map(tuple, history.recent_history(read_submissions(spark, src), 20).collect()))
     assert sorted(map(tuple, jobs.read_recent_history(spark, out).collect())) == want
-    packed = str(tmp_path / "packed")
-    jobs.compact_recent_history(spark, out, packed)
-    assert sorted(map(tuple, jobs.read_recent_history(spark, packed).collect())) == want
+
+
+def folders(path):
+    return sum(1 for p in path.rglob("*") if p.is_dir())
+
+
+def test_history_does_not_grow_with_the_number_of_batches(spark, tmp_path):
+    _, df = submissions(spark, 600)
+    src, out, cp = (str(tmp_path / p) for p in ("in", "out", "cp"))
+    assert jobs.read_recent_history(spark, out).collect() == []
+    store(df.filter("doc_id < 500"), src, 26)
+    jobs.write_recent_history(read_submissions(spark, src, stream=True, max_files=1), out, cp, 5, buckets=4).awaitTermination()
+    before = folders(tmp_path / "out")
+    df.filter("doc_id >= 500").repartition(25).write.mode("append").json(src)
+    jobs.write_recent_history(read_submissions(spark, src, stream=True, max_files=1), out, cp, 5, buckets=4).awaitTermination()
+    assert folders(tmp_path / "out") <= max(before, 1 + 2 * 2 * 4)  # the manifest's, and two generations of four buckets
+    assert len(list((tmp_path / "out" / "_manifest").glob("0*[0-9]"))) == 1
+    want = sorted(map(tuple, history.recent_history(read_submissions(spark, src), 5).collect()))
+    assert sorted(map(tuple, jobs.read_recent_history(spark, out, 5).collect())) == want
+
+
+def test_a_batch_repeated_around_its_commit_changes_nothing(spark, tmp_path):
+    from codegauge.streaming.versions import VersionedTable
+
+    def rows(*values):
+        return spark.createDataFrame([(v, v % 2) for v in values], "v int, bucket int")
+
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.replace(rows(1, 2), [0, 1], 0, table.manifest())
+    first = table.manifest()
+    rows(9).write.partitionBy("bucket").parquet(f"{tmp_path}/t/version=1")  # written, then lost before the commit
+    assert sorted(r.v for r in table.read(table.manifest()).collect()) == [1, 2]
+    table.replace(rows(3, 5), [1], 1, first)
+    assert (table.manifest().batch, table.manifest().versions) == (1, {"0": 0, "1": 1})
+    assert sorted(r.v for r in table.read(table.manifest()).collect()) == [2, 3, 5]
+    assert sorted(r.v for r in table.read(first).collect()) == [1, 2]  # a reader of the manifest before
+    table.replace(rows(), [], 2, table.manifest())
+    assert sorted(r.v for r in table.read(table.manifest()).collect()) == [2, 3, 5]
+    assert not (tmp_path / "t" / "version=0" / "bucket=1").exists()

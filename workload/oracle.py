@@ -570,6 +570,13 @@ ORACLE: dict[str, str] = {
            SELECT code, lang, bug_type, has_bug, corrected_code, description FROM snippets
            WHERE code NOT IN (SELECT code FROM labelled)
            QUALIFY row_number() OVER (PARTITION BY code ORDER BY doc_id) = 1""", "labelled", "snippets"),
+    "ordered_corpus_lookup": sql(
+        f"""SELECT s.doc_id, e.fixed AS exact_correction FROM snippets s LEFT JOIN (
+              SELECT {strip('code')} AS key, arg_max(corrected_code, (part, n)) AS fixed FROM (
+                SELECT code, has_bug, corrected_code, 0 AS part, row_no AS n FROM labelled UNION ALL
+                (SELECT code, has_bug, corrected_code, 1, doc_id FROM snippets WHERE code NOT IN (SELECT code FROM labelled)
+                 QUALIFY row_number() OVER (PARTITION BY code ORDER BY doc_id) = 1))
+              WHERE has_bug <> 0 AND {strip('corrected_code')} <> '' GROUP BY 1) e ON e.key = {strip('s.code')}""", "labelled", "snippets"),
     "non_blank": sql(f"SELECT doc_id, lang FROM snippets WHERE {strip('code')} <> ''", "snippets"),
     "corpus_summary": sql("SELECT count(*) AS samples, count(*) FILTER (has_bug <> 0) AS bugs, "
                           "count(*) FILTER (has_bug = 0) AS clean FROM labelled", "labelled"),

@@ -236,6 +236,18 @@ def expand_corpus(spark, sf):
     return corpus.expand_corpus(I.labelled_corpus(spark, sf), extra)
 
 
+@register
+def ordered_corpus_lookup(spark, sf):
+    """A corpus of several files read with its row numbers, expanded by the snippets, and looked up: the last row of a code wins."""
+    path = scratch_path(spark, "ordered")
+    corpus_io.write_corpus(I.labelled_corpus(spark, sf).repartitionByRange(5, "row_no").sortWithinPartitions("row_no"), path)
+    snips = I.snippets(spark, sf)
+    extra = snips.select(F.col("doc_id").alias("row_no"), "code", F.col("lang").alias("language"), "bug_type", "has_bug",
+                         "corrected_code", "description")
+    known = corpus.expand_ordered(corpus_io.read_ordered_corpus(spark, path), extra)
+    return C.exact_lookup(snips, C.corrections(known))
+
+
 @register
 def non_blank(spark, sf):
     return corpus.non_blank(I.snippets(spark, sf)).select("doc_id", "lang")
