@@ -22,6 +22,7 @@ _STRING_OR_COMMENT = (
 _COMMENT = T.rx(r"#[^\n]*")
 _CONTINUED = "\\\n"
 _HEAD = T.rx(r"(?m)^([^\S\n]*)def\s+(\w+)\s*(?:\[[^\]]*\]\s*)?\(")
+_NO_DEFAULT = T.rx(r"^[^()=]*\)")
 _TOKEN = T.rx(r"\*\*|:=|->|[=!<>]=|\w+|''|[^\s\w]")
 _HEADER = T.rx(r"^\s*def\s+(\w+)\s*[(\[]")
 _OPENS = T.rx(r"^\s*(?:(?:async\s+)?def|class)\s+\w+\s*\(")
@@ -88,7 +89,8 @@ def _displays(tail: str) -> str:
             "'named', s.named OR (s.depth = 1 AND t = '*' AND s.last IN ('(', ',')), 'last', t, "
             f"'n', s.n + if({ends} AND s.at = 3 AND NOT s.named, 1, 0), 'done', s.depth = 1 AND t = ')'))")
     start = ("named_struct('depth', 1, 'at', 0, 'base', 0, 'lambda', false, 'named', false, 'last', '(', 'n', 0, 'done', false)")
-    return f"aggregate(regexp_extract_all({tail}, {quote(_TOKEN)}, 0), {start}, (s, t) -> {step}, s -> s.n)"
+    fold = f"aggregate(regexp_extract_all({tail}, {quote(_TOKEN)}, 0), {start}, (s, t) -> {step}, s -> s.n)"
+    return f"if({tail} RLIKE {quote(_NO_DEFAULT)}, 0, {fold})"
 
 
 def mutable_defaults(skel: str) -> str:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codegauge.functions import text as T
+from codegauge.operators.nearest import nearest
 
 PREFIX = 50
-CHUNK = 256
+#: Sizes of books, shelves and parts of the search, where they are not its own.
+SIZES: dict[str, int] = {}
 BLOCK = 65536
 
 
@@ -68,24 +70,10 @@ def _complete_matches(cands: DataFrame) -> DataFrame:
 
 
 def _closest(rest: DataFrame, cands: DataFrame) -> DataFrame:
-    """(bug_type, head, row_no) for the heads no candidate starts with.
-
-    Candidates of a type are packed in chunks of about 256; a head meets a chunk as one row and
-    picks the chunk's best inside it, then the chunk winners are compared. Heads spread over
-    (type, chunk), so a frequent type is not one task.
-    """
-    sizes = cands.groupBy("bug_type").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    chunked = cands.join(sizes, "bug_type").withColumn(
-        "chunk", F.pmod(F.xxhash64("prefix"), F.col("chunks")).cast("int"))
-    packs = chunked.groupBy("bug_type", "chunk").agg(F.collect_list(
-        F.struct("row_no", _chars(F.col("prefix")).alias("chars"))).alias("pack"))
-    asks = rest.join(sizes, "bug_type").select(
-        "bug_type", "head", _chars(F.col("head")).alias("chars"),
-        F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    best = F.array_max(F.transform("pack", lambda c: F.struct(
-        _matches(F.col("chars"), c["chars"]).alias("sim"), (-c["row_no"]).alias("neg"))))
-    return asks.join(packs, ["bug_type", "chunk"]).select("bug_type", "head", best.alias("best")).groupBy(
-        "bug_type", "head").agg((-F.max("best")["neg"]).alias("row_no"))
+    """(bug_type, head, row_no) for the heads no candidate starts with."""
+    found = nearest(rest.select(F.col("bug_type").alias("kind"), F.col("head").alias("text")),
+                    cands.select(F.col("bug_type").alias("kind"), F.col("prefix").alias("text"), "row_no"), PREFIX, **SIZES)
+    return found.select(F.col("kind").alias("bug_type"), F.col("text").alias("head"), "row_no")
 
 
 def _asked(snips: DataFrame) -> DataFrame:

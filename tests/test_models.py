@@ -1,7 +1,5 @@
 import pytest
 
-import pytest
-
 from codegauge.operators import models
 from codegauge.plans.analyze import analyze_corpus
 
