@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from codegauge.llm.words import slices, text_bytes
+from codegauge.llm.words import row_filter, slices, text_bytes
 
 PER_CLASS, CHUNKS, CHUNK = 4000, 6000, 2048
 FOLDS = 5
@@ -193,14 +193,11 @@ def scored(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFra
 
 def keep_rows(docs: DataFrame, model: Model, least: float = -math.inf, most: float = math.inf, text_col: str = "text") -> DataFrame:
     """The documents with least <= score < most, all columns as they are."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = model.make() if model.make else None
-        for batch in batches:
-            for part in slices(batch, text_col):
-                found = model.scores(features, part.column(text_col))
-                yield part.filter(pa.array((found >= least) & (found < most)))
+    def keep(part: pa.RecordBatch, features: Features | None) -> np.ndarray:
+        found = model.scores(features, part.column("text"))
+        return (found >= least) & (found < most)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(row_filter(keep, lambda: model.make() if model.make else None)(F.col(text_col)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, build: Callable[[dict[int, list[bytes]]], Callable[[], Features]],

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codegauge.llm.words import NON_WORD, slices, word_hashes, words
+from codegauge.llm.words import NON_WORD, row_filter, slices, word_hashes, words
 
 WINDOW = 10
 #: Text bytes of the benchmark that one pass takes to the executors.
@@ -264,15 +264,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     for items in _blocks(benchmark, item_id, item_text, block_bytes):
         tests = docs.sparkSession.sparkContext.broadcast(build_tests(items, window))
 
-        def keep(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, text_col) if tests.value is not None else [batch]:
-                    if tests.value is not None:
-                        number, hashes = words(part.column(text_col), NON_WORD)
-                        hit = np.zeros(part.num_rows, bool)
-                        hit[occurrences(number, hashes, tests.value)[0]] = True
-                        part = part.filter(pa.array(~hit))
-                    yield part
-
-        docs = docs.mapInArrow(keep, docs.schema)
+        def keep(part: pa.RecordBatch, tests=tests) -> np.ndarray:
+            clean = np.ones(part.num_rows, bool)
+            if tests.value is not None:
+                clean[occurrences(*words(part.column("text"), NON_WORD), tests.value)[0]] = False
+            return clean
+
+        docs = docs.where(row_filter(keep)(F.col(text_col)))
     return docs

@@ -6,11 +6,15 @@ blocks of about one MiB that end between two words; memory does not grow with th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -151,6 +155,29 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(keys))
 
 
+def released() -> None:
+    """Gives the memory of a finished task back: workers outlive their task, and what they hold counts beside the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def row_filter(keep: Callable[[pa.RecordBatch], np.ndarray], make: Callable[[], object] | None = None) -> Callable[[F.Column], F.Column]:
+    """A condition on a text column: only the texts go to Python, slice by slice, and one boolean per row returns.
+
+    `keep` gets a slice with the column `text` and, where `make` is given, what it made once for the task."""
+    @F.arrow_udf("boolean")
+    def condition(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        made = () if make is None else (make(),)
+        for column in columns:
+            batch = pa.record_batch([column], names=["text"])
+            yield pa.array(np.concatenate([np.zeros(0, bool), *(keep(part, *made) for part in slices(batch, "text"))]))
+        released()
+
+    return condition
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices of about `limit` bytes of text; a longer text is a slice of its own."""
     if not batch.num_rows:
