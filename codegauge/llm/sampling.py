@@ -31,7 +31,7 @@ from codegauge.llm.pieces import MODEL_PATH, Lookup, Pieces, char_bytes, code_po
 from codegauge.llm.words import mix, slices
 
 SAMPLES, ALPHA, SEED = 2, 0.3, 1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _DRAW = np.uint64(0x9E3779B97F4A7C15)
 #: Draw numbers: sample << 40 | pre-token << 8 | use; `use` counts the tokens of a pre-token, the last ones are set aside.
 _ROOT, _REST = 255, 254
