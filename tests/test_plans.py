@@ -63,8 +63,10 @@ def test_newest_rows_are_limited_before_the_shuffle(stored):
     assert "WindowGroupLimit" in before and "Partial" in before
 
 
-def test_split_is_a_filter_in_the_scan_stage(stored):
-    assert "Exchange" not in plan(corpus.stratified_split(stored))
+def test_split_moves_no_rows(stored):
+    """The limits, one row per label, come to the rows."""
+    text = plan(corpus.stratified_split(stored))
+    assert "hashpartitioning" not in text and text.count("BroadcastHashJoin") >= 1
 
 
 def test_small_inputs_are_spread_and_large_ones_are_not(spark, sf_dir, monkeypatch):
