@@ -31,7 +31,7 @@ from codegauge.llm.pieces import MODEL_PATH, Lookup, Pieces, char_bytes, code_po
 from codegauge.llm.words import mix, slices
 
 SAMPLES, ALPHA, SEED = 2, 0.3, 1
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 2 << 20
 _DRAW = np.uint64(0x9E3779B97F4A7C15)
 #: Draw numbers: sample << 40 | pre-token << 8 | use; `use` counts the tokens of a pre-token, the last ones are set aside.
 _ROOT, _REST = 255, 254
@@ -269,8 +269,10 @@ def sample_texts(keys: list[int], texts: list[str], pieces: Pieces, lookup: Look
 
 
 def sample_segmentations(docs: DataFrame, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, model_path: str = MODEL_PATH,
-                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Up to k rows for every document: its id, `rank` in the order of perturbed scores, `ids`, `log_prob` and `log_inclusion`."""
+                         id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Up to k rows for every document: its id, `rank` in the order of perturbed scores, `ids`, `log_prob` and `log_inclusion`.
+
+    `slice_bytes` of text share one set of lattices: less takes less memory and more time, the rows are the same."""
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_path))
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -278,7 +280,7 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, alpha: float = ALPHA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(pieces.value)
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
+            for part in slices(batch, "text", slice_bytes):
                 keys = [row_key(i, seed) for i in part.column("id").to_pylist()]
                 found = sample_texts(keys, part.column("text").to_pylist(), pieces.value, lookup, k, alpha)
                 flat = [x for rows in found for x in rows]

@@ -16,6 +16,8 @@ from codegauge.session import scratch_path
 
 TOXIC_FROM = 0.5
 GOOD_FROM = quality.THRESHOLD
+#: Text that shares lattices: small, since workers still hold what earlier stages took.
+SLICE_BYTES = 512 << 10
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of every document: doc_id, rank, ids, log_prob, log_inclusion, n_tokens."""
-    return sampling.sample_segmentations(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    return sampling.sample_segmentations(docs, slice_bytes=SLICE_BYTES).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
