@@ -6,18 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import UnivariateFeatureSelector
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from codegauge.functions import ngrams as N
-from codegauge.operators import corpus, evaluation, textvec
+from codegauge.operators import bundles, corpus, evaluation, textvec
 from codegauge.session import ensure_checkpoint_dir
 from codegauge.sources.folders import Folder
 
 TREES, DEPTH, RATE, SEED = 120, 4, 0.1, 42
-TREE_FEATURES = 1000
 TOLERANCE = 1e-4
 VERSION, DONE = "version-", "done-"
 
@@ -49,23 +47,24 @@ def train_basic(train: DataFrame, max_iter: int = 1000) -> PipelineModel:
 
 
 def train_advanced(train: DataFrame, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
-    """Boosted trees on 2-5 grams. The 1,000 terms that separate the classes best are kept
-    first: split search cost grows with features times bins."""
+    """Boosted trees on 2-5 grams. All terms of the vocabulary take part: terms that never meet share a
+    column, which bounds the cost of a split search (`codegauge.operators.bundles`)."""
     lo, hi, k = textvec.ADVANCED
     ensure_checkpoint_dir(train.sparkSession)
     vectoriser = textvec.fit_text_vectors(train, lo, hi, k, output="wide")
-    rows = vectoriser.transform(train.withColumn("label", F.col("has_bug").cast("double"))).select("label", "wide")
+    grams, counter, scaler = vectoriser.stages
+    # the scaler replaces the counts it reads, so they are kept under another name for the signatures
+    counted = counter.transform(grams.transform(train.select("text", F.col("has_bug").cast("double").alias("label"))))
+    rows = scaler.transform(counted.select("label", F.xxhash64("text").alias("key"), "_counts", F.col("_counts").alias("counts")))
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        selector = UnivariateFeatureSelector(
-            featuresCol="wide", outputCol="features", labelCol="label", selectionMode="numTopFeatures"
-        ).setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(
-            min(TREE_FEATURES, len(vectoriser.stages[1].vocabulary))).fit(rows)
-        fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=RATE, seed=SEED,
-                               checkpointInterval=10).fit(selector.transform(rows).select("label", "features"))
+        slots = min(bundles.SLOTS, rows.count())
+        bundler = bundles.fit_bundles(rows, len(counter.vocabulary), levels=max(1, min(bundles.LEVELS, slots - 1)), slots=slots)
+        fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=RATE, seed=SEED, maxBins=bundles.SLOTS,
+                               checkpointInterval=10).fit(bundler.transform(rows).select("label", "features"))
     finally:
         rows.unpersist()
-    return PipelineModel([*vectoriser.stages, selector, fitted])
+    return PipelineModel([*vectoriser.stages, bundler, fitted])
 
 
 def _p_bug(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:

@@ -7,11 +7,11 @@ import math
 import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizerModel, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codegauge.functions import ngrams as N
 
@@ -59,19 +59,41 @@ def _vocabulary_with_df(terms: DataFrame, k: int) -> DataFrame:
 def tfidf_sublinear(docs: DataFrame, lo: int, hi: int, k: int, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, term, tf, weight) in long form: (1 + ln tf) * (ln((1+n)/(1+df)) + 1), L2 per document.
 
-    Documents are hashed by id once, as text; the norm reuses that partitioning. The vocabulary
-    has at most k rows, which bounds its broadcast.
+    Counting, weights and norm stay inside a document's row, as flat buffers of term numbers and counts: no text is
+    shuffled. The vocabulary (at most k terms) is all that the driver and the plan hold. A null text has no terms.
     """
     base = docs.select(id_col, "text")
-    vocab = F.broadcast(_vocabulary_with_df(with_doc_terms(base, lo, hi), k))
-    n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
-    raw = (
-        with_doc_terms(base.repartition(F.col(id_col)), lo, hi)
-        .select(id_col, F.inline_outer("terms")).join(vocab, "term")
-        .withColumn("w", (1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", "tf", (F.col("w") / norm).alias("weight"))
+    terms, idf = _fitted(base, lo, hi, k)
+    if not terms:
+        return base.select(id_col, F.lit("").alias("term"), F.lit(0).cast("bigint").alias("tf"), F.lit(0.0).alias("weight")).limit(0)
+    grams = base.select(F.col(id_col).alias("_id"), CharNgrams(inputCol="text", outputCol="_grams", lo=lo, hi=hi).grams("text").alias("_grams"))
+    counts = CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_counts").transform(grams)
+    flat = counts.select("_id", F.unwrap_udt("_counts").alias("v")).select("_id", F.col("v.indices").alias("i"), F.col("v.values").alias("n"))
+    known = docs.sparkSession.createDataFrame([(terms, idf)], "terms array<string>, idf array<double>")
+    at = lambda column: known.select(column).scalar()
+    raw = flat.withColumn("idf", at("idf")).select("_id", "i", "n", F.zip_with("i", "n", lambda i, n: (1 + F.ln(n)) * F.get("idf", i)).alias("w"))
+    normed = raw.withColumn("norm", F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x)))
+    long = normed.select("_id", "norm", F.explode(F.arrays_zip("i", "n", "w")).alias("t"))
+    return long.select(F.col("_id").alias(id_col), F.get(at("terms"), F.col("t.i")).alias("term"),
+                       F.col("t.n").cast("bigint").alias("tf"), (F.col("t.w") / F.col("norm")).alias("weight"))
+
+
+class CharNgrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """The character n-grams of a text column; a null text has none."""
+
+    lo = Param(Params._dummy(), "lo", "shortest n-gram", typeConverter=TypeConverters.toInt)
+    hi = Param(Params._dummy(), "hi", "longest n-gram", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, lo=None, hi=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def grams(self, text: str) -> Column:
+        return F.coalesce(N.char_wb_ngrams(F.col(text), self.getOrDefault(self.lo), self.getOrDefault(self.hi)), F.array().cast("array<string>"))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.getOutputCol(), self.grams(self.getInputCol()))
 
 
 class TfidfScaler(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -100,20 +122,17 @@ class TfidfScaler(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return apart.withColumn(self.getOutputCol(), scale(F.col(self.getInputCol())))
 
 
-def _ngram_sql(lo: int, hi: int) -> str:
-    """The n-gram expression as SQL text, so that the fitted pipeline can be stored."""
-    words = ("transform(filter(split(lower(text), '(?dU)[\\\\s\\\\x1C-\\\\x1F]+', -1), w -> w <> ''), "
-             "w -> concat(' ', w, ' '))")
-    return (f"flatten(transform({words}, w -> flatten(transform(sequence({lo}, least({hi}, length(w))), "
-            f"n -> transform(sequence(1, length(w) - n + 1), i -> substring(w, i, n))))))")
+def _fitted(texts: DataFrame, lo: int, hi: int, k: int) -> tuple[list[str], list[float]]:
+    """The k most frequent terms and their inverse document frequencies."""
+    rows = _vocabulary_with_df(with_doc_terms(texts.select("text"), lo, hi), k).collect()
+    n = texts.count()
+    return [r.term for r in rows], [math.log((1 + n) / (1 + r.df)) + 1 for r in rows]
 
 
 def fit_text_vectors(texts: DataFrame, lo: int, hi: int, k: int, output: str = "features") -> PipelineModel:
     """Vectoriser of a `text` column. The driver holds the vocabulary only: at most k terms."""
-    rows = _vocabulary_with_df(with_doc_terms(texts.select("text"), lo, hi), k).collect()
-    n = texts.count()
-    sql = SQLTransformer(statement=f"SELECT *, {_ngram_sql(lo, hi)} AS _grams FROM __THIS__")
-    counter = CountVectorizerModel.from_vocabulary(
-        [r.term for r in rows], inputCol="_grams", outputCol="_counts")
-    idf = [math.log((1 + n) / (1 + r.df)) + 1 for r in rows]
-    return PipelineModel([sql, counter, TfidfScaler(inputCol="_counts", outputCol=output, idf=idf)])
+    terms, idf = _fitted(texts, lo, hi, k)
+    return PipelineModel([
+        CharNgrams(inputCol="text", outputCol="_grams", lo=lo, hi=hi),
+        CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_counts"),
+        TfidfScaler(inputCol="_counts", outputCol=output, idf=idf)])
