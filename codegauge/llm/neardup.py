@@ -2,7 +2,8 @@
 
 1. Sketch (row-local): the distinct word shingles of a whole text become 64-bit hashes; each of `bins` bins keeps the smallest
    hash that falls in it, an empty bin borrows from a bin that a hash of (bin, attempt) picks. `rows` bins make a band key.
-   Documents with equal shingle sets share a digest and are one class from here on: only the class with its smallest id goes on.
+   Documents with equal shingle sets share a digest and are one class from here on. A class has a number of its own, given once
+   when the classes are stored; ids play no part until the end, when each component takes the smallest one in it.
 2. Star: the classes that share a band key are a bucket; its member of smallest random rank is the centre and every other member
    gets one edge to it, so a bucket of m members makes m - 1 edges. Ranks differ from band to band, so centres do too.
 3. Edges are confirmed on the full shingle sets, rebuilt from the texts of the classes that have an edge.
@@ -19,9 +20,9 @@ execution splits; per-key facts are aggregated before they are shuffled. Nothing
 written below the session's shared folder, so a lost executor never restarts the loop.
 
 Defined results: null texts and texts without words have an empty set and are linked with nothing; a text of fewer words than a
-shingle has one shingle, the whole sequence; repeated ids are one document per row with the same id (each row is returned, and
-rows of equal id and text share a class); a null id can never be the smallest, its rows are linked like all others; other columns
-are not read, so their names cannot clash; an empty table gives an empty result.
+shingle has one shingle, the whole sequence; repeated ids are one document per row with the same id (each row is returned and
+linked by its own text); a null id can never be the smallest, its rows are linked like all others and bridge others, and a component
+of null ids only has a null component id; other columns are not read, so their names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def _digests(text: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray
 
 
 def _sketches(docs: DataFrame, size: int, bins: int, rows: int) -> DataFrame:
-    """id, n (set size), d1 and d2 (digest of the set) and the band keys of every row."""
+    """id, ref, n (set size), d1 and d2 (digest of the set) and the band keys of every row."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -140,10 +141,10 @@ def _sketches(docs: DataFrame, size: int, bins: int, rows: int) -> DataFrame:
                 ends = np.zeros(part.num_rows + 1, np.int32)
                 ends[which + 1] = keys.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.reshape(-1)))
-                yield pa.record_batch([part.column("id"), pa.array(count, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), lists],
-                                      names=["id", "n", "d1", "d2", "keys"])
+                yield pa.record_batch([part.column("id"), part.column("ref"), pa.array(count, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), lists],
+                                      names=["id", "ref", "n", "d1", "d2", "keys"])
 
-    return docs.mapInArrow(sketch, "id long, n long, d1 long, d2 long, keys array<long>")
+    return docs.mapInArrow(sketch, "id long, ref long, n long, d1 long, d2 long, keys array<long>")
 
 
 def _stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -157,11 +158,16 @@ def _ends(edges: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """node and its sorted shingle hashes as bytes, for the given classes."""
-    wanted = classes.select("node", "n", "d1", "d2").join(nodes, "node", "left_semi").withColumnRenamed("node", "id")
+    """node and its sorted shingle hashes as bytes, for the given classes.
+
+    A class is rebuilt from a row with its smallest id and the `ref` (hash of the text) that goes with it; other rows with that id
+    have another ref, so an id that many rows share multiplies nothing.
+    """
+    wanted = classes.select("node", "n", "d1", "d2", "id", "ref").join(nodes, "node", "left_semi")
+    keyed = lambda df: df.withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # of this task: rows with a repeated id lie together
+        seen: set[int] = set()  # of this task: equal rows mostly lie together
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 text, value = shingle_sets(part.column("text"), size)
@@ -170,14 +176,14 @@ def _sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, size: int) -> D
                     & (sums[1] == part.column("d2").to_numpy())
                 raw, cut = value.tobytes(), np.concatenate([[0], np.cumsum(count)]) * 8
                 nodes, shingles = [], []
-                for k, node in enumerate(part.column("id").to_pylist()):
+                for k, node in enumerate(part.column("node").to_pylist()):
                     if own[k] and node not in seen:
                         seen.add(node)
                         nodes.append(node)
                         shingles.append(raw[cut[k]:cut[k + 1]])
                 yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(shingles, pa.binary())], names=["node", "shingles"])
 
-    return docs.join(wanted, "id").mapInArrow(sets, "node long, shingles binary")
+    return keyed(docs).join(keyed(wanted), ["id", "ref"]).mapInArrow(sets, "node long, shingles binary")
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -292,12 +298,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, `n_shingles` (size of its set) and `component_id` (smallest id reachable, itself included)."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("ref"), F.col(text_col).alias("text"))
     sketched = _stored(spark, _sketches(source, shingle, bins, rows), "sketches")
-    # classes: documents with the same set; a class is named by its smallest id
+    # classes: documents with the same set; `one` is a row of it, with the smallest id
     digest = ["n", "d1", "d2"]
-    named = sketched.where("n > 0 AND id IS NOT NULL")
-    classes = _stored(spark, named.groupBy(*digest).agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("node")), "classes")
+    one = F.struct(F.col("id").isNull().alias("anon"), "id", "ref")
+    grouped = sketched.where("n > 0").groupBy(*digest).agg(F.min_by("keys", one).alias("keys"), F.min(one).alias("one"))
+    classes = _stored(spark, grouped.select(*digest, "keys", "one.id", "one.ref", F.monotonically_increasing_id().alias("node")), "classes")
     members = classes.select("node", "n", F.explode("keys").alias("key"))
     mask = F.xxhash64("key")  # ranks the members of a bucket; undone below, so the smallest rank names its member
     shared = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(mask)).alias("r"), F.count(F.lit(1)).alias("m")) \
@@ -305,16 +312,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bins:
     bucketed = _stored(spark, members.join(shared, "key"), "buckets")  # only buckets of two and more
     star = _stored(spark, bucketed.where("node <> centre").select(
         F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct(), "star")
-    texts = source.where("id IS NOT NULL")
-    links = _stored(spark, confirmed(star, _sets(texts, _ends(star), classes, shingle), percent), "links")
+    links = _stored(spark, confirmed(star, _sets(source, _ends(star), classes, shingle), percent), "links")
     labels = bucketed.select("node").distinct().join(components(spark, links), "node", "left") \
         .select("node", F.coalesce("label", "node").alias("label"))
     labels = _stored(spark, labels, "labels")
     left = _mixed(spark, bucketed.where("m > 2"), labels)
-    more = _stored(spark, _block_links(spark, left, texts, classes, shingle, percent), "links")
+    more = _stored(spark, _block_links(spark, left, source, classes, shingle, percent), "links")
     if not more.isEmpty():
         labels = _merged(spark, labels, more)
-    found = classes.select(*digest, "node").join(labels, "node", "left").select(*digest, F.coalesce("label", "node").alias("component"))
+    named = labels.join(classes.select("node", F.col("id").alias("own")), "node")
+    least = named.join(named.groupBy("label").agg(F.min("own").alias("least")), "label").select("node", "least")
+    found = classes.select(*digest, "node", F.col("id").alias("own")).join(least, "node", "left") \
+        .select(*digest, F.coalesce("least", "own").alias("component"))
     return sketched.select("id", *digest).join(found, digest, "left") \
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
@@ -325,6 +334,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Documents are told apart by their id: rows that share an id stay or go together, and go only if each of them is linked to
     a smaller id. Rows without an id stay.
     """
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.groupBy(F.col(id_col).cast("long").alias("gone")).agg(F.max("component_id").alias("c")).where("gone <> c")
-    return docs.join(gone.select("gone"), docs[id_col].cast("long") == F.col("gone"), "left_anti")
+    gone = "gone"
+    while gone in {c.lower() for c in docs.columns}:  # a name of its own beside the columns that pass through
+        gone += "_"
+    found = near_duplicates(docs, id_col=id_col, **options).select(F.col(id_col).cast("long").alias("id"), "component_id")
+    later = found.groupBy("id").agg(F.max("component_id").alias("c")).where("id <> c").select(F.col("id").alias(gone))
+    return docs.join(later, F.col(id_col).cast("long") == F.col(gone), "left_anti")

@@ -76,6 +76,30 @@ def test_keep_first_and_odd_rows(spark, docs, texts, empty):
     assert result(empty) == [] and n.keep_first(empty).collect() == []
 
 
+def test_rows_without_an_id_bridge_others(spark):
+    words = [f"w{i}" for i in range(60)]
+    text = [" ".join(words[a:a + 45]) for a in (0, 4, 8)]  # neighbours share 40 of 48 shingles, the ends 36 of 52
+    rows = [(1, text[0]), (None, text[1]), (5, text[2]), (None, "x y z"), (None, "x y z"), (6, text[1] + " end"), (8, "lone one")]
+    found = n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2)
+    assert sorted((r.doc_id or 0, r.component_id) for r in found.collect() if r.n_shingles > 2) == [(0, 1), (1, 1), (5, 1), (6, 1)]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found.collect() if r.n_shingles <= 2) == [(0, 0), (0, 0), (8, 8)]
+    apart = spark.createDataFrame([r for r in rows if r[1] not in (text[1], text[1] + " end")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in n.near_duplicates(apart, shingle=2).collect() if r.doc_id} == {1: 1, 5: 5, 8: 8}
+
+
+def test_rows_of_one_id_are_linked_by_their_own_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(3, a), (3, b), (7, a + " end"), (2, b + " end"), (9, a)]
+    found = n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(2, 2), (3, 2), (3, 3), (7, 3), (9, 3)]
+
+
+def test_column_names_of_the_operator_pass_through(spark):
+    rows = [(1, "a b c", 10, 11, "p"), (2, "a b c", 20, 21, "q"), (3, "d e f", 30, 31, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, component_id int, c string")
+    assert sorted(map(tuple, n.keep_first(docs, shingle=2).collect())) == [rows[0], rows[2]]
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     for size in (4, 20, 400):
