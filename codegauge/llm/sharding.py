@@ -13,8 +13,8 @@ single task. A row above the limit has a page of its own, marked `oversize`; no
 
 Defined results: a null key hashes as an empty text, a null text has 0 bytes; repeated rows share a hash and get pages as said;
 rows keep all their columns, to which `bytes`, `shard` (the prefix bits), `depth`, `page`, `shard_bytes`, `shard_rows` and
-`oversize` are added, each under `prefix` + its name, which must be free (a clash is an error that names the column); an empty table
-gives an empty result.
+`oversize` are added, each under `prefix` + its name, which must be free (a clash is an error that names the column); a row travels as
+one struct, so no other column name can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limit: i
     if taken:
         raise ValueError(f"columns exist already: {taken}")
     size = F.coalesce(F.octet_length(text_col).cast("long"), F.lit(0).cast("long"))
-    rows = docs.withColumns({"__h": _hash(key), "__bytes": size})
+    rows = docs.select(F.struct("*").alias("__row"), _hash(key).alias("__h"), size.alias("__bytes"))
     bits, cells = directory(rows.select("__h", "__bytes"), limit, fine_bits)
     path = scratch_path(docs.sparkSession, "directory")
     cells.write.parquet(path)
@@ -106,7 +106,7 @@ def shard(docs: DataFrame, key: str = "doc_id", text_col: str = "text", limit: i
     named = {"bytes": F.col("__bytes"), "shard": F.expr(f"lpad(bin(shiftright(__h, {HASH_BITS} - __leaf.depth)), __leaf.depth, '0')"),
              "depth": F.col("__leaf.depth").cast("long"), "page": F.col("__page"), "shard_bytes": F.col("__leaf.bytes"),
              "shard_rows": F.col("__leaf.n"), "oversize": F.col("__bytes") > limit}
-    return reduce(DataFrame.union, parts).select(*docs.columns, *(c.alias(prefix + n) for n, c in named.items()))
+    return reduce(DataFrame.union, parts).select("__row.*", *(c.alias(prefix + n) for n, c in named.items()))
 
 
 def write_shards(sharded: DataFrame, path: str, prefix: str = "") -> None:

@@ -37,3 +37,13 @@ def test_plan_is_native_and_names_are_checked(docs, empty, tmp_path):
     assert clash.where("shard = 1").count() == docs.count() and "own_shard" in clash.columns
     s.write_shards(found, str(tmp_path / "out"))
     assert docs.sparkSession.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_column_names_of_the_operator_pass_through(spark):
+    names = ["leaves", "__h", "__salt", "__leaf", "__bytes", "__cell", "__page", "__group", "__alone", "__row", "cell"]
+    rows = [(i, "x" * 40, *[i * 100 + k for k in range(len(names))]) for i in range(30)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    for limit in (100, 10_000):
+        found = s.shard(docs, limit=limit)
+        assert found.columns == docs.columns + s.ADDED
+        assert sorted(tuple(r) for r in found.select(docs.columns).collect()) == sorted(rows)
