@@ -583,6 +583,19 @@ ORACLE: dict[str, str] = {
     "stratified_split": sql(
         """SELECT doc_id, has_bug, (row_number() OVER (PARTITION BY has_bug ORDER BY md5('42:' || doc_id::VARCHAR), doc_id)
              <= floor(count(*) OVER (PARTITION BY has_bug) * 0.2 + 0.5))::INTEGER AS is_test FROM snippets""", "snippets"),
+    "training_report": sql(
+        f"""SELECT * FROM (WITH held AS (
+              SELECT has_bug, floor(count(*) * 0.2 + 0.5)::BIGINT AS n FROM (
+                SELECT code, has_bug FROM labelled UNION ALL
+                (SELECT code, has_bug FROM snippets WHERE code NOT IN (SELECT code FROM labelled)
+                 QUALIFY row_number() OVER (PARTITION BY code ORDER BY doc_id) = 1))
+              WHERE {strip('code')} <> '' GROUP BY has_bug),
+            classes AS (
+              SELECT 'clean' AS class, coalesce(sum(n) FILTER (has_bug = 0), 0)::BIGINT AS support FROM held UNION ALL
+              SELECT 'bug', coalesce(sum(n) FILTER (has_bug = 1), 0)::BIGINT FROM held UNION ALL
+              SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), sum(n)::BIGINT FROM held)
+            SELECT model, class, support, true AS in_range, true AS beats_majority
+            FROM classes, (SELECT unnest(['basic', 'advanced']) AS model))""", "labelled", "snippets"),
     "corpus_file_summary": sql(
         "SELECT code, language, bug_type, has_bug, corrected_code, description FROM labelled", "labelled"),
     "submission_defaults": sql(

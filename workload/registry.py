@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codegauge.functions import lang as L, ngrams as N, replies as R, score as S, text as T
 from codegauge.operators import (
     corpus, corrections as C, evaluation, fixes, history, models, scan, scoring, structure, textvec, usage)
+from codegauge.plans import training
 from codegauge.plans.analyze import analyze_corpus
 from codegauge.plans.reports import report_by_lang, report_by_rule
 from codegauge.session import scratch_path
@@ -411,6 +412,17 @@ def train_advanced_metrics(spark, sf):
     return models.evaluate(models.train_advanced(train), test)
 
 
+@register
+def training_report(spark, sf):
+    """A corpus file read in order, expanded by the snippets, split, both models fitted, stored, loaded and held against the rest."""
+    path = scratch_path(spark, "training")
+    corpus_io.write_corpus(I.labelled_corpus(spark, sf).repartitionByRange(5, "row_no").sortWithinPartitions("row_no"), f"{path}/corpus")
+    extra = I.snippets(spark, sf).select(F.col("doc_id").alias("row_no"), "code", F.col("lang").alias("language"), "bug_type", "has_bug",
+                                         "corrected_code", "description")
+    report = training.training_report(corpus_io.read_ordered_corpus(spark, f"{path}/corpus"), extra, path)
+    return report.select("model", "class", "support", "in_range", "beats_majority")
+
+
 @register
 def predict_stored_model(spark, sf):
     """Trains the basic model, stores it, loads both names back and scores every snippet."""
