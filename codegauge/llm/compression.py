@@ -45,10 +45,11 @@ def compressor(dictionary: bytes, level: int, raw: bool, min_match: int = 0, sou
         compression_params=settings, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind) if dictionary else None)
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary trained on the samples; on too few of them their plain content."""
+def trained(samples: list[bytes], size: int, segment: int = 0) -> bytes:
+    """A dictionary trained on the samples; on too few of them their plain content. With `segment`, it is picked in segments of that length."""
+    own = {"k": segment, "d": 6, "split_point": 1.0} if segment else {}
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **own).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
 

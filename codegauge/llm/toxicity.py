@@ -1,13 +1,16 @@
 """Toxicity: compressed lengths of text windows under a toxic and an ordinary zstandard dictionary.
 
-The ordinary dictionary is trained on windows of ordinary labelled text. The toxic dictionary is the same content preceded by the
-stretches that mark toxic text: byte n-grams that occur in many more toxic than ordinary pieces, joined where they overlap. The
-ordinary dictionary is padded to the same length, so matches in the common part cost the same, and a window gets shorter under
-the toxic dictionary by what toxic stretches save. Pieces that repeat one another count once, so copies are no evidence.
-
-Every whole text, with letters A-Z lower-cased, is compressed in windows with both. Features of the score: the
-largest saving of a window, the three largest, the mean, the share and the sum of savings of two bytes and more, the sum of those of
-four and more. A logistic curve, fitted on labelled documents that built no dictionary, weighs them: it is the threshold's calibration. Bounds and defined results: `codegauge.llm.compression`.
+The ordinary dictionary is trained on windows of ordinary labelled text, the toxic one on the stretches of toxic labelled text that
+tell it from ordinary text: byte n-grams of so many more toxic than ordinary pieces that chance hardly explains it, joined where they
+overlap. The bar is a bound on false findings among all n-grams looked at, so it asks for the same evidence at every table size and
+in every language. Pieces that repeat one another count once, so copies are no evidence; where no stretch tells, whole windows of
+toxic text train the dictionary.
+
+Windows are compressed under the ordinary dictionary followed by the toxic one and under the ordinary one padded to the same length:
+matches in the common part cost the same, and a window gets shorter by what toxic wording saves. Letters A-Z are lower-cased.
+Features of the score: the largest saving of a window, the three largest, the mean, and the share and number of windows that save
+2, 3, 4 and 6 bytes. A logistic curve, fitted on labelled documents that built no dictionary, weighs them: it is the threshold's
+calibration. Bounds and defined results: `codegauge.llm.compression`.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from pyspark.sql import DataFrame
 
 from codegauge.llm.compression import LOWER, Features, Model, compressor, fit, grams, log1, scored, trained, unlike, windows
 
-#: Below 64 literals zstandard writes them plainly, so in short windows a saving is bytes of matched wording.
-WINDOW, LEVEL, MIN_MATCH = 96, 6, 4
-ORDINARY, TOXIC = 16_000, 8192
-NGRAMS = (4, 5, 6, 8)
-#: How much more frequent an n-gram is in toxic pieces, and how many standard errors that exceeds chance by.
-RATIO, ERRORS = 30.0, 4.5
+#: Matches are at least MIN_MATCH bytes, and few literals are written plainly: a saving is bytes of matched wording.
+WINDOW, LEVEL, MIN_MATCH = 96, 6, 6
+#: Bytes of the ordinary dictionary, and the most of the toxic one, which is as long as its stretches; it is picked in short segments.
+ORDINARY, TOXIC, SEGMENT = 32_000, 1 << 16, 12
+NGRAMS = (5, 6, 7, 8)
+#: How much more frequent an n-gram is in toxic pieces, and how many n-grams of a length may pass by chance.
+RATIO, FALSE = 5.0, 0.05
+STEPS = (2, 3, 4, 6)
 
 
 def _counts(pieces: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,20 +50,23 @@ def _counts_of(known: np.ndarray, pieces: list[bytes], n: int) -> np.ndarray:
 
 
 def telling(toxic: list[bytes], ordinary: list[bytes], n: int) -> np.ndarray:
-    """The n-grams that mark toxic pieces; one of a single piece is never that many errors above chance."""
+    """The n-grams that mark toxic pieces: the bound on the chance of so many toxic pieces, times the n-grams, is below FALSE."""
     u, a = _counts(toxic, n)
     if not len(u):
         return u
-    other = _counts_of(u, ordinary, n)
-    p, q = (a + 0.5) / (len(toxic) + 1), (other + 0.5) / (len(ordinary) + 1)
-    error = np.sqrt(p * (1 - p) / len(toxic) + q * (1 - q) / len(ordinary))
-    return u[(p >= RATIO * q) & (p - q >= ERRORS * error)]
+    b = _counts_of(u, ordinary, n)
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    p = a / (a + b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        divergence = p * np.log(p / share) + np.where(b > 0, (1 - p) * np.log((1 - p) / (1 - share)), 0.0)
+    rare = (a + b) * divergence >= np.log(len(u) / FALSE)
+    return u[(p > share) & rare & (a * len(ordinary) >= RATIO * b * len(toxic))]
 
 
-def stretches(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Maximal stretches of telling n-grams in toxic pieces, most frequent last, none inside another."""
+def stretches(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
+    """Maximal stretches of telling n-grams in toxic pieces, each where it occurs; those that occur once are left out."""
     marks = {n: telling(toxic, ordinary, n) for n in NGRAMS}
-    found: Counter[bytes] = Counter()
+    found: list[bytes] = []
     for piece in toxic:
         cover = np.zeros(len(piece) + 1, np.int64)
         for n, known in marks.items():
@@ -66,37 +74,35 @@ def stretches(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
             np.add.at(cover, at, 1)
             np.add.at(cover, at + n, -1)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover) > 0, [False]]).astype(np.int8)))
-        found.update(piece[s:e] for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()))
-    kept: list[bytes] = []
-    size = 0
-    for part, count in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if count < 3 or size + len(part) > TOXIC:
-            break
-        if not any(part in k for k in kept):
-            kept.append(part)
-            size += len(part)
-    return b"".join(reversed(kept))
+        found += [piece[s:e] for s, e in zip(edge[::2].tolist(), edge[1::2].tolist())]
+    count = Counter(found)
+    return [part for part in found if count[part] > 1]
 
 
 def saving_features(toxic: bytes, ordinary: bytes) -> Callable[[], Features]:
     def make() -> Features:
-        a, b = (compressor(d, LEVEL, True, MIN_MATCH, WINDOW) for d in (b"\0" * len(toxic) + ordinary, toxic + ordinary))
+        a, b = (compressor(ordinary + d, LEVEL, True, MIN_MATCH, WINDOW) for d in (b"\0" * len(toxic), toxic))
 
         def features(text: bytes) -> list[float]:
             saved = sorted((len(a.compress(w)) - len(b.compress(w)) for w in windows(text, WINDOW)), reverse=True)
-            some = [s for s in saved if s >= 2]
-            return [min(saved[0], 12), min(sum(saved[:3]), 30), sum(saved) / len(saved), len(some) / len(saved),
-                    log1(sum(some)), log1(sum(s for s in some if s >= 4))]
+            counts = [sum(s >= least for s in saved) for least in STEPS]
+            return [min(saved[0], 12), min(sum(saved[:3]), 30), sum(saved) / len(saved),
+                    *(n / len(saved) for n in counts), *(log1(n) for n in counts)]
 
         return features
 
     return make
 
 
+def toxic_dictionary(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
+    parts = stretches(unlike(toxic), unlike(ordinary)) or [w for p in toxic for w in windows(p, WINDOW)]
+    return trained(parts, max(256, min(TOXIC, sum(map(len, set(parts))) + 200)), SEGMENT)
+
+
 def _build(pieces: dict[int, list[bytes]]) -> Callable[[], Features]:
     toxic, ordinary = ([p.translate(LOWER) for p in pieces[label]] for label in (1, 0))
     parts = [w for p in ordinary for w in windows(p, WINDOW)]
-    return saving_features(stretches(unlike(toxic), unlike(ordinary)), trained(parts, ORDINARY)[-ORDINARY:])
+    return saving_features(toxic_dictionary(toxic, ordinary), trained(parts, ORDINARY)[-ORDINARY:])
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", **options) -> Model:

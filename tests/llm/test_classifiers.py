@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -14,7 +15,7 @@ def ranking(rows):
     return sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
 
 
-@pytest.mark.parametrize("name, label, least", [("op6_quality", "quality", 0.97), ("op10_toxicity", "toxic", 0.75)])
+@pytest.mark.parametrize("name, label, least", [("op6_quality", "quality", 0.97), ("op10_toxicity", "toxic", 0.88)])
 def test_held_out_ranking(spark, name, label, least):
     sf_dir = "/root/testdata/sf0.1"
     found = QUERIES[name](spark, sf_dir)
@@ -25,6 +26,46 @@ def test_held_out_ranking(spark, name, label, least):
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = spark.createDataFrame([r for r in rows if r.held_out]).join(labels, "doc_id").collect()
     assert ranking(held) >= least
+    if label == "toxic":
+        langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+        for lang, caught in (("en", 0.8), ("de", 0.5), ("fr", 0.5)):
+            own = [r for r in held if langs[r.doc_id] == lang]
+            ones, zeros = ([r.predicted for r in own if r.label == k] for k in (1, 0))
+            assert sum(ones) >= caught * len(ones) and sum(zeros) <= 0.05 * len(zeros), lang
+
+
+def test_telling_grams_by_hand():
+    """The bound on chance, worked out in plain Python for every n-gram of two or more toxic pieces."""
+    rnd = random.Random(7)
+    plain = [bytes(rnd.choice(b"abcdef ") for _ in range(200)) for _ in range(300)]
+    toxic = [p[:90] + (b" vilely!! " if k % 3 else b" so bad!! ") + p[90:] for k, p in enumerate(plain[:40])]
+    ordinary = plain[40:] + [b"a vilely!! thing"]
+    for n in toxicity.NGRAMS:
+        def pieces_with(gram, pieces):
+            return sum(gram in p for p in pieces)
+
+        seen = {p[i:i + n] for p in toxic for i in range(len(p) - n + 1)}
+        tested = [g for g in seen if pieces_with(g, toxic) > 1]
+        share, expected = len(toxic) / (len(toxic) + len(ordinary)), set()
+        for g in tested:
+            a, b = pieces_with(g, toxic), pieces_with(g, ordinary)
+            p = a / (a + b)
+            if p > share and a / len(toxic) >= toxicity.RATIO * b / len(ordinary):
+                bound = (a + b) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if b else 0.0))
+                if len(tested) * math.exp(-bound) <= toxicity.FALSE:
+                    expected.add(int.from_bytes(g, "big"))
+        assert expected and set(toxicity.telling(toxic, ordinary, n).tolist()) == expected
+
+
+def test_toxic_dictionary_holds_the_wording():
+    rnd = random.Random(9)
+    plain = [bytes(rnd.choice(b"abcdefghij ") for _ in range(300)) for _ in range(200)]
+    toxic = [b"".join(p[i:i + 60] + rnd.choice([b" worthless ", b" horrible "]) for i in range(0, 300, 60)) for p in plain[:60]]
+    made = toxicity.toxic_dictionary(toxic, plain[60:])
+    assert b"worthless" in made and b"horrible" in made
+    make = toxicity.saving_features(made, c.trained(plain[60:], 4000))
+    assert make()(b"x" * 40 + b" worthless " + b"y" * 30)[0] >= 3 and make()(b"")[0] == 0
+    assert toxicity.toxic_dictionary([b"same words"] * 3, [b"same words"] * 3)  # nothing tells
 
 
 def make(spark):
