@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,24 @@ def test_vocabulary_and_tfidf_match_brute_force(spark):
 def test_balanced_weights(spark):
     df = spark.createDataFrame([(1,), (1,), (1,), (0,)], "has_bug int")
     assert {(r.has_bug, r.weight) for r in evaluation.balanced_weights(df).collect()} == {(1, 4 / 6), (0, 2.0)}
+
+
+def test_texts_are_split_alike_inside_and_outside_python(spark):
+    texts = [f"A{chr(c)}b" for c in range(0x3100)] + ["\u0130x  Y ", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = df.select("text", F.filter(N.raw_words(F.col("text")), lambda w: w != "").alias("words"), F.lower("text").alias("low")).collect()
+    assert all((r.low or "").split() == (r.words or []) for r in got)
+
+
+def test_vectors_are_built_in_bounded_pieces_and_keep_their_rows(spark, monkeypatch):
+    texts = [(0, "ab abc ab"), (1, None), (2, ""), (3, "zz"), (4, "abc " * 40)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    whole = textvec.fit_text_vectors(df, 2, 4, 50)
+    array = pa.array([t for _, t in texts])
+    grams = textvec.WordGrams(2, 4, whole.stages[1].vocabulary)
+    want = [np.column_stack(grams.counts(array[i:i + 1]))[:, 1:].tolist() for i in range(5)]
+    monkeypatch.setattr(textvec, "PIECE", 8)
+    parts = list(textvec._by_text(array))
+    assert [len(p) for p in parts] != [5] and sum(map(len, parts)) == 5
+    got = {r.doc_id: list(zip(r._counts.indices.tolist(), r._counts.values.tolist())) for r in whole.transform(df).collect()}
+    assert [list(map(tuple, want[i])) for i in range(5)] == [got[i] for i in range(5)]
