@@ -21,11 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Transformer
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
+from codegauge.operators import textvec
+
 LEVELS = 4
 #: Categories of a bundle at most, the empty one included; also the bins of the trees.
 SLOTS = 32
@@ -53,17 +55,25 @@ class TermBundler(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         for term, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
             table[term, :b - a] = limits[a:b]
 
-        @F.udf(VectorUDT(), useArrow=True)
-        def categories(v):
-            known = bundle[v.indices] >= 0
-            term, weight = v.indices[known][::-1], v.values[known][::-1]
-            column, at = np.unique(bundle[term], return_index=True)  # reversed: the latest term of a bundle
-            level = (weight[at, None] > table[term[at]]).sum(axis=1)
-            return SparseVector(len(sizes), column, (first[term[at]] + level).astype(float))
+        def categories(vectors: pa.Array) -> pa.Array:
+            out = []
+            for part in textvec.by_cells(vectors):
+                row, term, weight = textvec.cells_of(part)
+                known = bundle[term] >= 0
+                row, term, weight = row[known], term[known], weight[known]
+                column = row * max(len(sizes), 1) + bundle[term]
+                order = np.argsort(column, kind="stable")  # terms ascend in a row, so the last of a bundle is its latest
+                last = order[np.flatnonzero(np.diff(column[order], append=-1))]
+                row, term, weight = row[last], term[last], weight[last]
+                level = (weight[:, None] > table[term]).sum(axis=1)
+                out.append(textvec.sparse_vectors(
+                    len(sizes), textvec.lists(row, len(part), pa.array(bundle[term], pa.int32())),
+                    textvec.lists(row, len(part), pa.array((first[term] + level).astype(float)))))
+            return pa.concat_arrays(out)
 
         marked = {"ml_attr": {"num_attrs": len(sizes), "attrs": {"nominal": [
             {"idx": i, "num_vals": size} for i, size in enumerate(sizes)]}}}
-        return dataset.withColumn(self.getOutputCol(), categories(F.col(self.getInputCol()))).withMetadata(self.getOutputCol(), marked)
+        return dataset.withColumn(self.getOutputCol(), F.arrow_udf(categories, VectorUDT())(F.col(self.getInputCol()))).withMetadata(self.getOutputCol(), marked)
 
 
 def _term_facts(rows: DataFrame, levels: int) -> DataFrame:
