@@ -17,6 +17,8 @@ from codegauge.sources.folders import Folder
 
 TREES, DEPTH, RATE, SEED = 120, 4, 0.1, 42
 TOLERANCE = 1e-4
+#: Text bytes, rows and tree bins of a training task at most.
+TEXT_BYTES, ROWS, BINS = 4 << 20, 1 << 15, 1 << 25
 VERSION, DONE = "version-", "done-"
 
 
@@ -24,25 +26,26 @@ def with_text(df: DataFrame, code: str = "code", lang: str = "lang") -> DataFram
     return df.withColumn("text", N.model_text(F.col(code), F.col(lang)))
 
 
-def _vectors(vectoriser: PipelineModel, train: DataFrame) -> DataFrame:
-    """Training vectors, kept because every iteration reads them; disk is used when memory is short."""
-    rows = train.withColumn("label", F.col("has_bug").cast("double"))
-    rows = evaluation.balanced_weights(rows, "has_bug")
-    return vectoriser.transform(rows).select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+def _spread(train: DataFrame) -> tuple[DataFrame, int, int]:
+    """Training rows dealt to as many tasks as their text and number need, so that what a task holds of the vectors does not grow
+    with the table; with the numbers of rows and tasks."""
+    n, size = train.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-size // TEXT_BYTES), -(-n // ROWS))
+    return train.repartition(parts), n, parts
 
 
 def train_basic(train: DataFrame, max_iter: int = 1000) -> PipelineModel:
-    """Logistic regression on 2-4 grams: L2 with C = 1, balanced classes."""
+    """Logistic regression on 2-4 grams: L2 with C = 1, balanced classes.
+
+    The vectors are not kept here: the regression reads them twice and iterates over blocks that it keeps itself.
+    """
     lo, hi, k = textvec.BASIC
     vectoriser = textvec.fit_text_vectors(train, lo, hi, k)
-    vectors = _vectors(vectoriser, train)
-    try:
-        n = vectors.count()
-        fitted = LogisticRegression(
-            maxIter=max_iter, tol=TOLERANCE, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
-            weightCol="weight").fit(vectors)
-    finally:
-        vectors.unpersist()
+    rows, n, _ = _spread(evaluation.balanced_weights(train, "has_bug").select(
+        "text", "weight", F.col("has_bug").cast("double").alias("label")))
+    fitted = LogisticRegression(
+        maxIter=max_iter, tol=TOLERANCE, regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
+        weightCol="weight").fit(vectoriser.transform(rows).select("label", "weight", "features"))
     return PipelineModel([*vectoriser.stages, fitted])
 
 
@@ -52,16 +55,22 @@ def train_advanced(train: DataFrame, trees: int = TREES, depth: int = DEPTH) ->
     lo, hi, k = textvec.ADVANCED
     ensure_checkpoint_dir(train.sparkSession)
     vectoriser = textvec.fit_text_vectors(train, lo, hi, k, output="wide")
-    grams, counter, scaler = vectoriser.stages
+    lowered, counter, scaler = vectoriser.stages
+    train, n, parts = _spread(train.select("text", F.col("has_bug").cast("double").alias("label")))
     # the scaler replaces the counts it reads, so they are kept under another name for the signatures
-    counted = counter.transform(grams.transform(train.select("text", F.col("has_bug").cast("double").alias("label"))))
+    counted = counter.transform(lowered.transform(train))
     rows = scaler.transform(counted.select("label", F.xxhash64("text").alias("key"), "_counts", F.col("_counts").alias("counts")))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.select("label", "key", "counts", "wide").persist(StorageLevel.DISK_ONLY)
     try:
-        slots = min(bundles.SLOTS, rows.count())
+        slots = min(bundles.SLOTS, n)
         bundler = bundles.fit_bundles(rows, len(counter.vocabulary), levels=max(1, min(bundles.LEVELS, slots - 1)), slots=slots)
+        binned = bundler.transform(rows).select("label", "features")
+        # the trees hold a number per row and bundle: no task gets more of them than fit well
+        needed = -(-n * len(bundler.getOrDefault(bundler.sizes)) // BINS)
+        if needed > parts:
+            binned = binned.repartition(needed)
         fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=RATE, seed=SEED, maxBins=bundles.SLOTS,
-                               checkpointInterval=10).fit(bundler.transform(rows).select("label", "features"))
+                               checkpointInterval=10).fit(binned)
     finally:
         rows.unpersist()
     return PipelineModel([*vectoriser.stages, bundler, fitted])
