@@ -1,6 +1,8 @@
 import hashlib
 import math
 
+from pyspark.sql import functions as F
+
 from codegauge.operators import corpus, fixes
 from codegauge.sources import corpus as io, files, submissions
 
@@ -104,3 +106,19 @@ def test_ordered_expansion_puts_new_rows_last(spark):
     extra = spark.createDataFrame([row(7, "c", "x"), row(5, "c", "y"), row(3, "a", "z"), row(6, "d", "w")], SCHEMA)
     got = corpus.expand_ordered(existing, extra).orderBy("row_no").collect()
     assert [(r.code, r.description) for r in got] == [("a", "e1"), ("b", "e2"), ("c", "y"), ("d", "w")]
+
+
+def test_sources_are_written_as_sparks_own_writer_does(spark, tmp_path):
+    rows = [("s1-0", "a\nb"), ("s2-0", ""), ("s2-0", "c"), ("x/y:z", "d"), ("s3-0", None), (None, "e"), ("é", "ü")]
+    df = spark.createDataFrame(rows, "name string, value string").coalesce(1)
+    files.write_sources(df, str(tmp_path / "own"))
+    df.write.partitionBy("name").text(str(tmp_path / "theirs"))
+    read = lambda at: sorted((f.parent.name, f.read_text()) for f in (tmp_path / at).rglob("*.txt") if not f.name.startswith("."))
+    assert read("own") == read("theirs") and len(read("own")) == 6
+    assert sorted(p.name for p in (tmp_path / "own").rglob("*") if p.is_file() and p.name.startswith(".")) == []
+    big = spark.range(400).selectExpr("concat('s', id) AS name", "'eval(x)' AS value").repartition(40)
+    files.write_sources(big, str(tmp_path / "src"))
+    found = files.read_source_files(spark, str(tmp_path / "src"), "javascript").repartition(40)
+    files.write_fixed(found.withColumn("fixed_code", F.col("code")), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 400
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) < 20

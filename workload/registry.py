@@ -288,9 +288,8 @@ def source_file_review(spark, sf):
     """Page scripts stored as text files, read as a tree, fixed and written with their target paths."""
     root = scratch_path(spark, "files")
     src, out = f"{root}/src", f"{root}/fixed"
-    I.page_scripts(spark, sf).select(
-        F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("name"), F.col("code").alias("value")
-    ).write.partitionBy("name").text(src)
+    files.write_sources(I.page_scripts(spark, sf).select(
+        F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("name"), F.col("code").alias("value")), src)
     read = files.read_source_files(spark, src, "javascript")
     files.write_fixed(fixes.with_fixed(read), out)
     done = spark.read.parquet(out)
