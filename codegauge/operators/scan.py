@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codegauge.functions import matching as M, score as S, text as T
 from codegauge.functions.literals import LineIndex
 from codegauge.functions.rulebook import RULES, Rule
+from codegauge.operators.batches import stretches
 
 # Bytes of a rule table that travel to the executors at a time.
 RULE_BLOCK_BYTES = 8 << 20
+# Bytes of text that a task looks at together.
+SCAN_BYTES = 1 << 18
 OWNED = "array<struct<line_no:int,ord:int,rule_id:string,severity:int,message:string,line:string>>"
 
 
@@ -60,10 +64,13 @@ def line_findings_from_table(df: DataFrame, rules: DataFrame, block_bytes: int =
         def scan(batches: Iterator[pa.RecordBatch], packs=packs) -> Iterator[pa.RecordBatch]:
             indexes = {lang: (LineIndex([r[2] for r in pack]), pack) for lang, pack in packs.value.items()}
             for batch in batches:
-                texts, langs, known = (batch.column(c).to_pylist() for c in ("code", "lang", "owned"))
-                owned = [_owners(text, *indexes[lang], old) if text and lang in indexes else old
-                         for text, lang, old in zip(texts, langs, known)]
-                yield pa.record_batch([*batch.columns[:3], pa.array(owned, batch.schema.field("owned").type)], schema=batch.schema)
+                sizes = pc.binary_length(batch.column("code")).fill_null(0).to_numpy(zero_copy_only=False)
+                for a, b in stretches(sizes, SCAN_BYTES):  # only a piece of the batch is ever held as Python objects
+                    part = batch.slice(a, b - a)
+                    texts, langs, known = (part.column(c).to_pylist() for c in ("code", "lang", "owned"))
+                    owned = [_owners(text, *indexes[lang], old) if text and lang in indexes else old
+                             for text, lang, old in zip(texts, langs, known)]
+                    yield pa.record_batch([*part.columns[:3], pa.array(owned, part.schema.field("owned").type)], schema=part.schema)
 
         state = state.mapInArrow(scan, schema)
     return state.select("doc_id", "lang", F.inline_outer("owned")).filter("line_no is not null").select(

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from codegauge.operators import models
 from codegauge.plans.analyze import analyze_corpus
@@ -60,3 +61,14 @@ def test_half_written_models_are_told_from_absent_ones(spark, trained, tmp_path)
     (tmp_path / "basic" / "version-2" / "metadata").rename(tmp_path / "elsewhere")
     with pytest.raises(Exception):
         models.load_model(path, "basic")
+
+
+def test_training_rows_are_dealt_by_number_and_text(labelled, monkeypatch):
+    rows = models.with_text(labelled)
+    monkeypatch.setattr(models, "ROWS", 20)
+    spread, n, parts = models._spread(rows)
+    assert (n, parts) == (240, 12) and max(spread.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 40
+    monkeypatch.setattr(models, "ROWS", 1000)
+    monkeypatch.setattr(models, "TEXT_BYTES", 256)
+    assert models._spread(rows)[2] > 12
+    assert sorted(spread.select("doc_id").collect()) == sorted(labelled.select("doc_id").collect())

@@ -169,3 +169,12 @@ def test_linter_lines_lower_python_scores_only(spark):
     assert got[1].old_line.splitlines()[0] == f"{S.YELLOW} PYLINT:  Line 0: text"
     assert len(got[1].old_line.splitlines()) == 10
     assert scoring.all_findings(df, log).filter("source = 3").count() == 10
+
+
+def test_a_batch_is_scanned_in_pieces_of_bounded_text(spark, monkeypatch):
+    monkeypatch.setattr(scan, "SCAN_BYTES", 40)
+    rules = spark.createDataFrame([("r", "en", 1, "word", 1, "m")], "rule_id string, lang string, ord int, pattern string, severity int, message string")
+    rows = [(i, "en", f"line\nword {i}" if i % 3 else None) for i in range(60)] + [(60, None, "word"), (61, "en", "word " * 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, code string").coalesce(1)
+    got = [(r.doc_id, r.line_no) for r in scan.line_findings_from_table(df, rules).collect()]
+    assert sorted(got) == [(i, 2) for i in range(60) if i % 3] + [(61, 1)]
