@@ -6,12 +6,16 @@ reference is the corpus itself, so its automata have no size bound and cannot be
 1. Every window has an anchor, the word group with the smallest hash inside it (the first of equal ones). Equal windows have equal
    anchors. Neighbouring windows with one anchor form a piece of at most `2 * window` words; each window lies in one piece.
 2. Pieces whose anchor occurs once cannot repeat and go no further: only anchor hashes are counted for them.
-3. Equal pieces are aggregated to the earliest one; the windows of all later ones are repeated as a whole.
-4. The earliest pieces are dealt by anchor to shards of bounded size. A shard builds one suffix automaton over its pieces in document
-   order and streams each piece through it while it grows: the matching statistic of a word is the longest stretch ending there
-   that the automaton has from an earlier place. Stretches of `window` words and more are spans to be removed.
-5. An anchor whose pieces alone would pass a shard's size (a phrase in very many different surroundings) is dealt by whole windows
-   instead, whose earliest occurrence is an aggregate. It needs no automaton, and no case is dropped.
+3. Equal pieces are aggregated to the earliest one; the windows of all later ones are repeated as a whole. The windows of one piece
+   differ from each other, since their common anchor stands at another place in each; so an anchor with one piece left is settled.
+4. The earliest pieces of the other anchors are dealt by anchor to shards of bounded size. A window reaches far to the left or far to
+   the right of its anchor, so two pieces with a common window have equal words on that side: a piece whose sides (see `sides`) stand
+   in no other piece is left out. From the others a shard builds one suffix automaton in document order and streams each piece
+   through it while it grows: the matching statistic of a word is the longest stretch ending there that the automaton has from an
+   earlier place. Stretches of `window` words and more are spans to be removed.
+5. An anchor whose pieces alone would pass a shard's size (a phrase in very many different surroundings) is dealt by its sides, and
+   what shares a side by whole windows, whose earliest occurrence is an aggregate. It needs no automaton, and no case is dropped.
+   A piece has at most `window` less the anchor's words plus one windows, so the rows grow with the pieces, not with their pairs.
 6. Spans return to their documents by id and text hash.
 
 Defined results: a null or empty text has no words; a null id counts as smaller than all others; rows with one id and different
@@ -22,16 +26,15 @@ result; other columns are left out, whatever their names; an empty table gives a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from codegauge.llm.words import chain, joined_words, mix, runs, slices, split_words
+from codegauge.llm.words import SPACES, chain, joined_words, mix, plain_words, runs, slices, split_words
 from codegauge.session import scratch_path
 
 WINDOW = 20
@@ -52,53 +55,93 @@ def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+def _anchor_words(window: int) -> int:
+    return max(1, 3 * window // 10)
+
+
+def _grams(hashes: np.ndarray, group: int) -> np.ndarray:
+    """Hash of the `group` words from each word on."""
+    count = max(0, len(hashes) - group + 1)
+    grams = mix(hashes[:count])
+    for k in range(1, group):
+        grams = chain(grams, hashes[k:count + k])
+    return grams
+
+
+def _stretches(hashes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from starts and numbers of words to the hashes of these stretches."""
+    n = len(hashes)
+    power = np.full(n + 1, _BASE, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * power[1:], out=total[1:])
+    inverse = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
+    inverse[0] = 1
+    inverse = np.multiply.accumulate(inverse)
+    return lambda start, words: mix((total[start + words] - total[start]) * inverse[start] + words.astype(np.uint64))
+
+
 def find_pieces(number: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Text, first word in the slice, number of words, anchor hash and content hash of every piece."""
-    group = max(1, 3 * window // 10)
+    group = _anchor_words(window)
     n = len(hashes)
     if n < window:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    grams = mix(hashes[:n - group + 1])
-    for k in range(1, group):
-        grams = chain(grams, hashes[k:n - group + 1 + k])
+    grams = _grams(hashes, group)
     anchor = _first_smallest(grams, window - group + 1)
     whole = np.flatnonzero(number[:n - window + 1] == number[window - 1:])  # windows inside one text
     first, last = runs(anchor[whole])
     start, words = whole[first], whole[last - 1] - whole[first] + window
     # windows of two texts never share an anchor's place, since an anchor lies inside its window
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * power[1:], out=total[1:])
-    inverse = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    content = mix((total[start + words] - total[start]) * inverse[start] + words.astype(np.uint64))
-    return number[start], start, words, grams[anchor[start]], content
+    return number[start], start, words, grams[anchor[start]], _stretches(hashes)(start, words)
 
 
-def word_numbers(found: pa.Array) -> np.ndarray:
-    """A 64-bit hash of every word, the same in all tasks."""
+def sides(found: pa.Array, offsets: np.ndarray, anchor: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every piece the last start of a window that lies to the left of its anchor, and the keys of its left and its right side.
+
+    `found` has the words of all pieces, `offsets` where each begins. Of a window's words beside the anchor at least half stand on
+    one side: windows up to that start hold the left key's words, later ones the right key's. A side with no window has the key 0."""
+    group, pieces = _anchor_words(window), len(anchor)
+    near = (window - group + 1) // 2
     coded = found.dictionary_encode()
-    known = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return known[coded.indices.to_numpy()] if len(found) else np.zeros(0, np.uint64)
+    hashes = plain_words(coded.dictionary, SPACES)[1][coded.indices.to_numpy()] if len(found) else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(pieces), np.diff(offsets))
+    grams = _grams(hashes, group)
+    hits = np.flatnonzero(grams == anchor.view(np.uint64)[owner[:len(grams)]])
+    at = hits[np.searchsorted(owner[hits], np.arange(pieces))]  # all windows hold the anchor's first place
+    begin, end = offsets[:-1], offsets[1:]
+    last, stretch = at - near, _stretches(hashes)
+
+    def key(some: np.ndarray, start: np.ndarray, side: int) -> np.ndarray:
+        out = np.zeros(pieces, np.uint64)
+        out[some] = np.maximum(mix(stretch(start[some], np.full(some.sum(), near + group)) + np.uint64(side)), 1)
+        return out
+
+    return last - begin, key(last >= begin, last, 1), key(np.maximum(last + 1, begin) + window <= end, at, 2)
+
+
+def sharing(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pieces have a side that another piece has too."""
+    _, which, count = np.unique(np.concatenate([left, right]), return_inverse=True, return_counts=True)
+    left_count, right_count = np.split(count[which], 2)
+    return (left != 0) & (left_count > 1) | (right != 0) & (right_count > 1)
 
 
 def _slice_pieces(part: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
-    number, found = split_words(part.column("text"))
-    text, start, words, anchor, content = find_pieces(number, word_numbers(found), window)
+    number, hashes = plain_words(part.column("text"), SPACES)
+    text, start, words, anchor, content = find_pieces(number, hashes, window)
     start = start - np.searchsorted(number, text)
     return text, start * _PACK + words, anchor.view(np.int64), content.view(np.int64)
 
 
-def earlier_matches(pieces: Iterator[list[str]], window: int) -> Iterator[list[tuple[int, int]]]:
+def earlier_matches(pieces: Iterator[list[Hashable]], window: int) -> Iterator[list[tuple[int, int]]]:
     """For each piece the maximal stretches covered by windows that stand in an earlier piece or earlier in this one.
 
     One suffix automaton of all pieces so far; it takes in each word after the word's matching statistic is known."""
     length, link, step = [0], [-1], [{}]
 
-    def cloned(state: int, word: str, at: int) -> int:
+    def cloned(state: int, word: Hashable, at: int) -> int:
         """A copy of state `at` for the words that reach it over `state`."""
         length.append(length[state] + 1)
         link.append(link[at])
@@ -190,9 +233,14 @@ def _shard_spans(pieces: DataFrame, shards: int, window: int, id_type: str) -> D
         order = pd.DataFrame({"known": shard["id"].is_valid().to_numpy(), "id": shard["id"].to_pandas(), "hash": shard["hash"].to_numpy(),
                               "place": shard["place"].to_numpy()}).drop_duplicates().sort_values(["known", "id", "hash", "place"]) \
             .index.to_numpy()  # a repeated row sends its pieces twice
-        words = shard["words"].combine_chunks()
+        words = shard["words"].combine_chunks().take(pa.array(order))
+        found, offsets = words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py()
+        _, left, right = sides(found, offsets, shard["anchor"].to_numpy()[order], window)
+        linked = np.flatnonzero(sharing(left, right))
+        codes = found.dictionary_encode().indices.to_numpy()
+        texts = (codes[offsets[i]:offsets[i + 1]].tolist() for i in linked.tolist())
         rows, begins, ends = [], [], []
-        for row, spans in zip(order.tolist(), earlier_matches((words[i].as_py() for i in order.tolist()), window)):
+        for row, spans in zip(order[linked].tolist(), earlier_matches(texts, window)):
             for begin, end in spans:
                 rows.append(row)
                 begins.append(begin)
@@ -206,12 +254,37 @@ def _shard_spans(pieces: DataFrame, shards: int, window: int, id_type: str) -> D
         .applyInArrow(judge, f"id {id_type}, hash long, begin long, end long")
 
 
-def _window_spans(pieces: DataFrame, window: int) -> DataFrame:
+def _sides_apart(pieces: DataFrame, window: int, id_type: str) -> DataFrame:
+    """For each side of a piece that has windows: its key and the words of these windows, from word `begin` of the text on."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            found, offsets = words.flatten(), words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
+            last, left, right = sides(found, offsets, batch.column("anchor").to_numpy(), window)
+            first = batch.column("place").to_numpy() // _PACK
+            size = np.diff(offsets)
+            middle = np.maximum(last + 1, 0)  # where the right side's windows begin
+            for key, start, stop in ((left, np.zeros_like(last), np.minimum(last + window, size)), (right, middle, size)):
+                some = np.flatnonzero(key)
+                total = np.append(0, np.cumsum(stop[some] - start[some]))
+                taken = np.arange(total[-1]) + np.repeat(offsets[some] + start[some] - total[:-1], stop[some] - start[some])
+                rows = pa.array(some)
+                yield pa.record_batch([batch.column("id").take(rows), batch.column("hash").take(rows), pa.array(first[some] + start[some]),
+                                       pa.array(key[some].view(np.int64)),
+                                       pa.ListArray.from_arrays(pa.array(total, pa.int32()), found.take(pa.array(taken)))],
+                                      names=["id", "hash", "start", "key", "words"])
+
+    return pieces.mapInArrow(cut, f"id {id_type}, hash long, start long, key long, words array<string>")
+
+
+def _window_spans(pieces: DataFrame, window: int, id_type: str, stored: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Repeated windows of anchors too frequent for a shard, by the earliest occurrence of each window."""
-    first = F.expr(f"place div {_PACK}")
-    found = pieces.select("id", "hash", first.alias("start"), F.posexplode(F.expr(
-        f"transform(sequence(1, size(words) - {window - 1}), i -> slice(words, i, {window}))")).alias("nth", "part")) \
-        .select("id", "hash", F.expr("start + nth").alias("begin"), F.sha2(F.array_join("part", " "), 256).alias("part"))
+    apart = stored(_sides_apart(pieces, window, id_type), "sides")
+    shared = stored(apart.groupBy("key").count().where("count > 1").select("key"), "shared")
+    found = stored(apart.join(shared, "key").select("id", "hash", "start", F.posexplode(F.expr(
+        f"transform(sequence(1, size(words) - {window - 1}), i -> slice(words, i, {window}))")).alias("nth", "part"))
+        .select("id", "hash", F.expr("start + nth").alias("begin"), F.sha2(F.array_join("part", " "), 256).alias("part")), "windows")
     earliest = found.groupBy("part").agg(F.min(F.struct("id", "hash", "begin")).alias("earliest"), F.count("*").alias("n")).where("n > 1")
     return found.join(earliest, "part").where("NOT struct(id, hash, begin) <=> earliest") \
         .select("id", "hash", "begin", F.expr(f"begin + {window}").alias("end"))
@@ -234,15 +307,16 @@ def repeated_spans(source: DataFrame, window: int = WINDOW, shard_words: int = S
     copies = repeated.join(distinct.where("n > 1").select("anchor", "content", "earliest"), ["anchor", "content"]) \
         .where("NOT struct(id, hash, place) <=> earliest") \
         .select("id", "hash", F.expr(f"place div {_PACK}").alias("begin"), F.expr(f"place div {_PACK} + place % {_PACK}").alias("end"))
-    words = F.sum(F.expr(f"earliest.place % {_PACK}"))
-    shards = max(1, math.ceil((distinct.agg(words).first()[0] or 0) / shard_words))
-    hot = distinct.groupBy("anchor").agg(words.alias("words")).where(F.col("words") > shard_words // 4).select("anchor", F.lit(True).alias("hot"))
-    asked = distinct.join(hot, "anchor", "left").selectExpr("earliest.*", "anchor", "coalesce(hot, false) AS hot") \
+    # an anchor with one piece has no window in two places but in that piece's copies
+    several = stored(distinct.groupBy("anchor").agg(F.sum(F.expr(f"earliest.place % {_PACK}")).alias("words"), F.count("*").alias("contents"))
+                     .where("contents > 1").select("anchor", "words"), "several")
+    shards = max(1, math.ceil((several.agg(F.sum("words")).first()[0] or 0) / shard_words))
+    asked = distinct.join(several, "anchor").selectExpr("earliest.*", "anchor", f"words > {shard_words // 4} AS hot") \
         .groupBy(F.col("id").alias("i"), F.col("hash").alias("h")).agg(F.collect_list(F.struct("place", "anchor", "hot")).alias("asked"))
     texts = source.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))).select("id", "hash", "text", "asked")
     pieces = stored(_piece_texts(texts, id_type), "pieces")
     return copies.unionByName(_shard_spans(pieces.where("NOT hot"), shards, window, id_type)) \
-        .unionByName(_window_spans(pieces.where("hot"), window))
+        .unionByName(_window_spans(pieces.where("hot"), window, id_type, stored))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",

@@ -14,9 +14,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
+#: Bytes of a word from which on `plain_words` hashes it by itself: long words can be built to share a sum of powers.
+_LONG = 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = 0xD1342543DE82EF95
 _ODD_INVERSE = pow(_ODD, -1, 1 << 64)
@@ -123,6 +126,25 @@ def words(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(texts), np.concatenate(hashes)
 
 
+def plain_words(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and 64-bit hash of every unchanged word, in order; the same in all tasks."""
+    data, offsets = text_bytes(column)
+    texts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for start, stop in _blocks(data, offsets, separators):
+        block = data[start:stop]
+        cuts = offsets[np.searchsorted(offsets, start, "right"):np.searchsorted(offsets, stop, "left")] - start
+        begins, ends = _block_words(block, np.unique(cuts), separators)
+        size = ends - begins
+        long = np.flatnonzero(size > _LONG)
+        total = np.zeros(min(len(block), BLOCK) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUE[block[:BLOCK]] * _POWER[:len(block)], out=total[1:])
+        value = (total[np.minimum(ends, BLOCK)] - total[begins]) * _INVERSE[begins] if len(begins) else np.zeros(0, np.uint64)
+        value[long] = [xxhash.xxh3_64_intdigest(block[begins[k]:ends[k]]) for k in long.tolist()]
+        hashes.append(mix(value + size.astype(np.uint64)))
+        texts.append(np.searchsorted(offsets, begins + start, "right") - 1)
+    return np.concatenate(texts), np.concatenate(hashes)
+
+
 def split_words(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Text number and unchanged bytes of every word `[^\x20\x09-\x0D]+`, in order."""
     data, offsets = text_bytes(column)
