@@ -121,7 +121,12 @@ class Lookup:
 
     def __init__(self, pieces: Pieces) -> None:
         names = list(pieces.text)
-        hashes = np.array([self._one(n) for n in names], np.uint64)
+        flat, start = code_points(names)
+        length, value = np.diff(start), self.start(len(names))
+        for k in range(pieces.longest):
+            some = np.flatnonzero(length > k)
+            value[some] = self.extend(value[some], flat[start[some] + k].astype(np.uint64))
+        hashes = value * self._ODD
         by = np.argsort(hashes)
         self.hashes = hashes[by]
         if (self.hashes[1:] == self.hashes[:-1]).any():
@@ -130,6 +135,8 @@ class Lookup:
         self.scores = np.array([pieces.text[names[k]][1] for k in by])
         bits = 20
         self.table = np.searchsorted(self.hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.joined = np.zeros(0x110000, bool)
+        self.joined[[ord(c) for c in pieces.joined - {MARK}]] = True
         self.shift, self.deepest = np.uint64(64 - bits), int(np.diff(self.table).max())
 
     @classmethod
@@ -137,27 +144,37 @@ class Lookup:
         x = (value ^ chars) * cls._ODD
         return x ^ (x >> np.uint64(29))
 
-    @classmethod
-    def _one(cls, text: str) -> np.uint64:
-        value = np.array([cls._START])
-        for c in text:
-            value = cls.extend(value, np.array([ord(c)], np.uint64))
-        return (value * cls._ODD)[0]
-
     def start(self, n: int) -> np.ndarray:
         return np.full(n, self._START)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """Row of the piece with this running hash, or -1."""
         value = value * self._ODD
-        first = self.table[(value >> self.shift).astype(np.int64)]
+        bucket = (value >> self.shift).astype(np.int64)
+        first = self.table[bucket]
         out = np.full(len(value), -1, np.int64)
+        some = np.flatnonzero(self.table[bucket + 1] > first)  # most buckets are empty
+        value, first = value[some], first[some]
         for k in range(self.deepest):
             at = np.minimum(first + k, len(self.hashes) - 1)
-            out = np.where(self.hashes[at] == value, at, out)
+            hit = np.flatnonzero(self.hashes[at] == value)
+            out[some[hit]] = at[hit]
         return out
 
 
+def pretokens(texts: list[str], lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all escaped texts, where each pre-token begins (and the last ends), and each text's number of pre-tokens.
+
+    The same pre-tokens as those of `splitter`."""
+    flat, start = code_points([escape(t) for t in texts])
+    own, mark = lookup.joined[flat], flat == ord(MARK)
+    first = np.ones(len(flat), bool)
+    first[1:] = ~(own[1:] & (own | mark)[:-1] | mark[1:] & mark[:-1])
+    first[start[start < len(flat)]] = True
+    begin = np.append(np.flatnonzero(first), len(flat))
+    return flat, begin, np.diff(np.searchsorted(begin, start))
+
+
 def code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Characters of all words one after the other, and where each word starts."""
     flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -21,14 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codegauge.llm.pieces import MODEL_PATH, Lookup, Pieces, char_bytes, code_points, decode, escape, load_pieces, splitter
-from codegauge.llm.words import mix, slices
+from codegauge.llm.pieces import MODEL_PATH, Lookup, Pieces, char_bytes, decode, load_pieces, pretokens
+from codegauge.llm.words import mix, slices, stretches
 
 SAMPLES, ALPHA, SEED = 2, 0.3, 1
 SLICE_BYTES = 2 << 20
@@ -38,96 +38,156 @@ _ROOT, _REST = 255, 254
 _ALL = (1 << 64) - 1
 
 
+def in_order(keys: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in their order, first ones first, and the sorted keys; `bits` of a number beside the key hold a place."""
+    packed = keys << bits | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()  # much faster than an indirect sort
+    return (packed & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64), packed >> bits
+
+
+def distinct(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each stretch of characters, equal ones sharing theirs, and for each number its first stretch, in their order.
+
+    Stretches are matched by the upper bits of hashes; `same` tells from the numbers and first stretches whether that was right, else none are shared."""
+    hashes = stretches(mix(flat.astype(np.uint64)))(begin, size)
+    bits = np.uint64(len(hashes).bit_length())
+    order, high = in_order(hashes >> bits, bits)
+    new = np.ones(len(order), bool)
+    new[1:] = high[1:] != high[:-1]
+    first = order[new]
+    by = np.argsort(first)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    number = np.empty(len(order), np.int64)
+    number[order] = rank[np.cumsum(new) - 1]
+    first = first[by]
+    return (number, first) if same(number, first).all() else (np.arange(len(order)),) * 2
+
+
 class Lattices:
-    """Edges of all distinct pre-tokens with their chances. Nodes of word w: base[w] + position."""
-
-    def __init__(self, words: list[str], pieces: Pieces, lookup: Lookup, alpha: float) -> None:
-        flat, start = code_points(words)
-        length = np.diff(start)
-        self.base = start[:-1] + np.arange(len(words))
-        self.final = self.base + length
-        word = np.repeat(np.arange(len(words)), length)
-        room = start[1:][word] - np.arange(len(flat))  # characters up to the word's end
-        node = np.arange(len(flat)) + word
-        begin, size, token, score = [], [], [], []
-        value, at = lookup.start(len(flat)), np.arange(len(flat))
+    """Edges of the lattices of all distinct pre-tokens with their chances. A node is the rest of a pre-token from a character on, so
+    pre-tokens of one ending share its nodes; `base` has the node of each pre-token, `end` is that of the empty rest."""
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, pieces: Pieces, lookup: Lookup, alpha: float) -> None:
+        at = np.arange(len(flat))
+        room = np.repeat(start[1:], np.diff(start)) - at  # characters up to the pre-token's end
+
+        def same(number: np.ndarray, first: np.ndarray) -> np.ndarray:
+            other, after = first[number], np.append(number, 0)
+            return (flat == flat[other]) & (room == room[other]) & ((room == 1) | (after[1:] == after[other + 1]))
+
+        number, first = distinct(flat, at, room, same)
+        nodes = self.end = len(first)
+        self.base, room = number[start[:-1]], room[first]
+        number = np.append(number, nodes)
+        found = []  # of pieces of k characters: first character, number among its edges, k, token, score
+        count = np.zeros(nodes, np.int64)
+
+        def add(at: np.ndarray, k: int, token: np.ndarray, score: np.ndarray | float) -> None:
+            found.append((at, count[at], k, token, score))
+            count[at] += 1
+
+        value, at = lookup.start(nodes), np.arange(nodes)
         for k in range(1, pieces.longest + 1):
-            keep = room[at] >= k
-            at, value = at[keep], value[keep]
+            keep = np.flatnonzero(room[at] >= k)
+            if len(keep) < len(at):
+                at, value = at[keep], value[keep]
             if not len(at):
                 break
-            value = lookup.extend(value, flat[at + k - 1].astype(np.uint64))
+            chars = flat[first[at] + k - 1]
+            value = lookup.extend(value, chars.astype(np.uint64))
             row = lookup.find(value)
-            ok = row >= 0
-            begin.append(at[ok]), size.append(np.full(ok.sum(), k)), token.append(lookup.ids[row[ok]]), score.append(lookup.scores[row[ok]])
+            ok = np.flatnonzero(row >= 0)
+            add(at[ok], k, lookup.ids[row[ok]], lookup.scores[row[ok]])
             if k == 1:
-                lost = at[~ok]
-                begin.append(lost), size.append(np.ones(len(lost), np.int64)), token.append(-1 - flat[lost].astype(np.int64))
-                score.append(np.full(len(lost), pieces.unknown))
-        begin, size, token, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (begin, size, token, score))
-        by = np.argsort(begin, kind="stable")
-        begin, size, self.token, score = begin[by], size[by], token[by], score[by] * alpha
-        source = node[begin]
-        self.target = source + size
-        nodes = len(flat) + len(words)
-        self.first = np.searchsorted(source, np.arange(nodes + 1))
+                lost = row < 0
+                add(at[lost], 1, -1 - chars[lost].astype(np.int64), pieces.unknown)
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        edge_count = int(self.first[-1])
+        source = np.repeat(np.arange(nodes), count)
+        self.target, self.token, score = np.zeros(edge_count, np.int64), np.zeros(edge_count, np.int64), np.zeros(edge_count)
+        for at, slot, k, token, own in found:
+            to = self.first[at] + slot
+            self.target[to] = np.where(room[at] == k, nodes, number[first[at] + k])
+            self.token[to], score[to] = token, own
+        score *= alpha
         # backward sums by distance from the word's end
-        total = np.zeros(nodes)
-        order = np.argsort(room[begin], kind="stable")
-        cuts = np.searchsorted(room[begin][order], np.arange(1, int(length.max(initial=0)) + 2))
-        for lo, hi in zip(cuts, cuts[1:]):
-            edges = order[lo:hi]
-            if len(edges):
-                heads = np.flatnonzero(np.concatenate([[True], source[edges][1:] != source[edges][:-1]]))
-                mass = score[edges] + total[self.target[edges]]
-                top = np.maximum.reduceat(mass, heads)
-                groups = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(edges))))
-                total[source[edges][heads]] = top + np.log(np.add.reduceat(np.exp(mass - top[groups]), heads))
+        total = np.zeros(nodes + 1)
+        longest = int(room.max(initial=0))
+        far = np.repeat(room.astype(np.uint16 if longest < 1 << 16 else np.int64), count)
+        order = np.argsort(far, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(far, minlength=longest + 1))])[1:]
+        by_source, by_target, by_score = source[order], self.target[order], score[order]
+        heads = np.flatnonzero(np.concatenate([[True], by_source[1:] != by_source[:-1]])) if edge_count else np.zeros(0, np.int64)
+        spans = np.diff(np.append(heads, edge_count))
+        head_cuts = np.searchsorted(heads, cuts)
+        for lo, hi, a, b in zip(cuts.tolist(), cuts[1:].tolist(), head_cuts.tolist(), head_cuts[1:].tolist()):
+            if lo < hi:
+                starts = heads[a:b] - lo
+                mass = by_score[lo:hi] + total[by_target[lo:hi]]
+                top = np.maximum.reduceat(mass, starts)
+                mass -= np.repeat(top, spans[a:b])
+                total[by_source[heads[a:b]]] = top + np.log(np.add.reduceat(np.exp(mass, out=mass), starts))
         chance = np.exp(score + total[self.target] - total[source])
-        inner = np.flatnonzero(self.first[1:] > self.first[:-1])
-        heads, ends = self.first[inner], self.first[inner + 1]
-        run = np.repeat(np.arange(len(inner)), ends - heads)
-        if len(chance):
-            chance = chance / np.add.reduceat(chance, heads)[run]
+        if edge_count:
+            heads = self.first[:-1]
+            chance /= np.repeat(np.add.reduceat(chance, heads), count)
+            upto = np.cumsum(chance)
+            upto -= np.repeat(upto[heads] - chance[heads], count)
+            upto[heads + count - 1] = 1.0
+        else:
+            upto = chance
         self.chance = chance
         with np.errstate(divide="ignore"):
             self.log = np.log(chance)
-        upto = np.cumsum(chance)
-        upto = upto - np.repeat(upto[heads] - chance[heads], ends - heads) if len(chance) else upto
-        if len(chance):
-            upto[ends - 1] = 1.0
         self.ladder = source + np.minimum(upto, 1.0)  # rises over all nodes, so one search picks an edge
 
-    def draw(self, word: np.ndarray, key: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A segmentation of each given word: edges one after the other, where each word's begin, and their log chances."""
-        at, end = self.base[word].copy(), self.final[word]
-        live = np.argsort(word, kind="stable")  # neighbouring nodes are searched one after the other
-        live = live[at[live] < end[live]]
-        owner, edges, chance, turn = [], [], np.zeros(len(word)), 0
-        while len(live):
-            u = uniform(key[live], number[live] + np.uint64(min(turn, _REST - 1)) + (np.uint64(turn // _REST) << np.uint64(56)))
-            edge = np.minimum(np.searchsorted(self.ladder, at[live] + u), self.first[at[live] + 1] - 1)
+    def draw(self, word: np.ndarray, key: np.ndarray, number: np.ndarray,
+             order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A segmentation of each given word: edges one after the other, where each word's begin, and their log chances.
+
+        `order`: the words' places by word, so that neighbouring nodes are searched one after the other."""
+        live = np.argsort(word, kind="stable") if order is None else order
+        at = self.base[word[live]]
+        seed = (key + number.astype(np.uint64) * _DRAW)[live]
+        owner, edges, chance, size, turn = [], [], np.zeros(len(word)), np.zeros(len(word), np.int64), 0
+        sums = np.zeros(len(live))
+        while True:
+            on = at < self.end
+            if not on.all():
+                done = live[~on]
+                chance[done], size[done] = sums[~on], turn
+                on = np.flatnonzero(on)
+                live, at, seed, sums = live[on], at[on], seed[on], sums[on]
+            if not len(live):
+                break
+            use = np.uint64(min(turn, _REST - 1)) + (np.uint64(turn // _REST) << np.uint64(56))
+            u = _unit(seed + np.array([use]) * _DRAW)
+            u += at
+            edge = np.minimum(np.searchsorted(self.ladder, u), self.first[at + 1] - 1)
             owner.append(live)
             edges.append(edge)
-            chance[live] += self.log[edge]
-            at[live] = self.target[edge]
-            live = live[at[live] < end[live]]
+            sums = sums + self.log[edge]
+            at = self.target[edge]
             turn += 1
-        if not owner:
-            return np.zeros(0, np.int64), np.zeros(len(word) + 1, np.int64), chance
-        owner, edges = np.concatenate(owner), np.concatenate(edges)
-        by = np.argsort(owner, kind="stable")
-        return edges[by], np.searchsorted(owner[by], np.arange(len(word) + 1)), chance
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        out = np.zeros(offsets[-1], np.int64)
+        for turn, (some, edge) in enumerate(zip(owner, edges)):
+            out[offsets[some] + turn] = edge
+        return out, offsets, chance
+
+    def path_log(self, path: tuple[int, ...]) -> float:
+        return sum(map(self.log.item, path))
 
-    def draw_other(self, word: int, known: list[tuple[int, ...]], key: np.uint64, number: int) -> tuple[list[int], float]:
+    def draw_other(self, word: int, known: list[tuple[int, ...]], key: int, number: int) -> tuple[list[int], float]:
         """A segmentation of a word that is none of the known ones, by their remaining chances."""
-        at, out, log, left, step = int(self.base[word]), [], 0.0, known, 0
-        while at < self.final[word]:
-            first = int(self.first[at])
-            mass = self.chance[first:int(self.first[at + 1])].tolist()
+        at, out, log, left, step = self.base.item(word), [], 0.0, known, 0
+        while at < self.end:
+            first = self.first.item(at)
+            mass = self.chance[first:self.first.item(at + 1)].tolist()
             for path in left:
-                mass[path[step] - first] -= math.exp(sum(self.log[list(path[step:])].tolist()))
-            u = uniform_one(int(key), number + (step << 48)) * sum(max(0.0, m) for m in mass)
+                mass[path[step] - first] -= math.exp(self.path_log(path[step:]))
+            u = uniform_one(key, number + (step << 48)) * sum(max(0.0, m) for m in mass)
             e, run = first + mass.index(max(mass)), 0.0
             for k, m in enumerate(mass):
                 run += max(0.0, m)
@@ -135,15 +195,23 @@ class Lattices:
                     e = first + k
                     break
             out.append(e)
-            log += float(self.log[e])
+            log += self.log.item(e)
             left = [path for path in left if path[step] == e]
-            at, step = int(self.target[e]), step + 1
+            at, step = self.target.item(e), step + 1
         return out, log
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Numbers above 0 and below 1 from the bits of `mix(x)`."""
+    u = (mix(x) >> np.uint64(12)).astype(np.float64)
+    u *= 2.0 ** -52
+    u += 2.0 ** -53
+    return u
+
+
 def uniform(key: np.ndarray, number: np.ndarray) -> np.ndarray:
     """Numbers above 0 and below 1 from a row key and the number of a draw."""
-    return (mix(key + number.astype(np.uint64) * _DRAW) >> np.uint64(12)).astype(np.float64) * 2.0 ** -52 + 2.0 ** -53
+    return _unit(key + number.astype(np.uint64) * _DRAW)
 
 
 def uniform_one(key: int, number: int) -> float:
@@ -154,76 +222,107 @@ def uniform_one(key: int, number: int) -> float:
     return ((x ^ x >> 31) >> 12) * 2.0 ** -52 + 2.0 ** -53
 
 
-def truncated(location: np.ndarray, most: float, u: np.ndarray) -> np.ndarray:
+def truncated(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbels of the given locations that are at most `most`."""
     with np.errstate(over="ignore"):
         return location - np.log(np.exp(np.minimum(location - most, 700.0)) - np.log(u))
 
 
-def log_rest(log: np.ndarray | float) -> np.ndarray:
+def log_rest(log: np.ndarray) -> np.ndarray:
     """log(1 - exp(log)), -inf where nothing is left."""
-    with np.errstate(divide="ignore"):
-        rest = -np.expm1(np.minimum(log, 0.0))
-        return np.where(rest > 1e-15, np.log(np.maximum(rest, 1e-300)), -np.inf)
+    rest = -np.expm1(np.minimum(log, 0.0))
+    out = np.full(len(log), -np.inf)
+    some = rest > 1e-15
+    out[some] = np.log(rest[some])
+    return out
 
 
 def row_key(value: object, seed: int) -> int:
     return int.from_bytes(hashlib.blake2b(f"{seed}|{value!r}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def best_first(lattices: Lattices, words: np.ndarray, key: np.uint64, fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
-               k: int) -> list[tuple[np.ndarray, float, float]]:
-    """(edges, log chance, log inclusion) of up to k segmentations of one text; `fresh[j]` is its j-th independent draw."""
-    n = len(words)
-    if not n:
-        return [(np.zeros(0, np.int64), 0.0, 0.0)]
-    paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # edges, offsets, log chances by pre-token
-    values: list[np.ndarray] = []  # of the regions "another segmentation at this pre-token"
+def _number(j: int, i: int, use: int) -> int:
+    return (j << 40) + (i << 8) + use
+
+
+def best_first(lattices: Lattices, words: np.ndarray, starts: np.ndarray, key: np.ndarray, fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
+               k: int) -> list[list[tuple[np.ndarray, float, float]]]:
+    """(edges, log chance, log inclusion) of up to k segmentations of every text.
+
+    Text t has words[starts[t]:starts[t + 1]]; `fresh[j]` is the j-th independent draw of all words. All texts expand together, so a
+    round costs a few operations on all words and little Python for each text."""
+    texts, counts = len(starts) - 1, np.diff(starts)
+    owner = np.repeat(np.arange(texts), counts)
+    place = np.arange(len(words)) - starts[owner]
+    base = key[owner] + (place.astype(np.uint64) << np.uint64(8)) * _DRAW
+    some = np.flatnonzero(counts)
+    bounds = list(zip(starts.tolist(), starts[1:].tolist()))
+    seeds = key.tolist()
+    logs: list[np.ndarray] = []  # of each path's words
+    values: list[np.ndarray] = []  # of the regions "another segmentation at this word"
+    best = np.full((k, texts), -np.inf)  # value of each path's best region
+    paths: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(texts)]  # edges and offsets
     known: dict[tuple[int, int], list[tuple[int, ...]]] = {}
 
-    def number(j: int, i: int, use: int) -> int:
-        return (j << 40) + (i << 8) + use
-
-    def expand(path: tuple[np.ndarray, np.ndarray, np.ndarray], after: int, most: float) -> None:
-        log = path[2]
-        before = np.concatenate([[0.0], np.cumsum(log)[:-1]])
-        location = before + log_rest(log)
-        location[:after] = -np.inf
-        u = uniform(np.full(n, key), np.uint64(number(len(paths), 0, _REST)) + (np.arange(n, dtype=np.uint64) << np.uint64(8)))
-        value = np.full(n, -np.inf)
-        some = np.isfinite(location)
-        value[some] = truncated(location[some], most, u[some])
-        paths.append(path)
+    def expand(log: np.ndarray, after: np.ndarray, most: np.ndarray) -> None:
+        location = np.zeros(len(words))
+        for a, b in bounds:
+            if b - a > 1:
+                np.cumsum(log[a:b - 1], out=location[a + 1:b])
+        location += log_rest(log)
+        value = np.full(len(words), -np.inf)
+        open_ = np.flatnonzero(np.isfinite(location) & (place >= after[owner]))
+        u = _unit(base[open_] + np.array([_number(len(values), 0, _REST)], np.uint64) * _DRAW)
+        value[open_] = truncated(location[open_], most[owner[open_]], u)
+        if len(some):
+            best[len(values), some] = np.maximum.reduceat(value, starts[some])
+        logs.append(log)
         values.append(value)
 
-    top = -math.log(-math.log(uniform_one(int(key), number(0, 0, _ROOT))))
-    expand(fresh[0], 0, top)
-    while True:
-        j = max(range(len(values)), key=lambda x: values[x].max())
-        i = int(values[j].argmax())
-        most = float(values[j][i])
-        if len(paths) == k or most == -math.inf:
-            break
-        edges, offsets, log = paths[j]
-        gone = known.setdefault((j, i), [tuple(edges[offsets[i]:offsets[i + 1]].tolist())])
-        new = len(paths)
-        other, chance = lattices.draw_other(int(words[i]), gone, key, number(new, i, _ROOT))
-        gone.append(tuple(other))
-        rest = float(log_rest(math.log(min(1.0, sum(math.exp(sum(lattices.log[list(path)].tolist())) for path in gone)))))
-        u = np.array([uniform_one(int(key), number(new + k, i, _ROOT))])
-        location = float(log[:i].sum()) + rest
-        values[j][i] = float(truncated(np.array([location]), most, u)[0]) if rest > -math.inf else -math.inf
+    most = np.array([-math.log(-math.log(uniform_one(x, _number(0, 0, _ROOT)))) for x in seeds])
+    edges, offsets, log = fresh[0]
+    for t, (a, b) in enumerate(bounds):
+        paths[t].append((edges[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]))
+    expand(log, np.zeros(texts, np.int64), most)
+    for new in range(1, k):
+        log, after = np.zeros(len(words)), np.zeros(texts, np.int64)
         tail_edges, tail_offsets, tail_log = fresh[new]
-        cut = int(tail_offsets[i + 1])
-        joined = np.concatenate([edges[:offsets[i]], np.array(other, np.int64), tail_edges[cut:]])
-        moved = np.concatenate([offsets[:i + 1], tail_offsets[i + 1:] - cut + offsets[i] + len(other)])
-        expand((joined, moved, np.concatenate([log[:i], [chance], tail_log[i + 1:]])), i + 1, most)
-    out = []
-    for edges, _, log in paths:
-        total = float(log.sum())
-        gap = total - most
-        share = 0.0 if most == -math.inf else gap if gap < -30 else math.log(-math.expm1(-math.exp(min(gap, 700.0))))
-        out.append((edges, total, share))
+        parents, most = best[:new].argmax(axis=0).tolist(), best[:new].max(axis=0)
+        for t in np.flatnonzero(most > -np.inf).tolist():
+            (a, b), j, top = bounds[t], parents[t], most.item(t)
+            i = int(values[j][a:b].argmax())
+            edges, offsets = paths[t][j]
+            lo, hi = offsets.item(i), offsets.item(i + 1)
+            gone = known.setdefault((j, a + i), [tuple(edges[lo:hi].tolist())])
+            other, chance = lattices.draw_other(words.item(a + i), gone, seeds[t], _number(new, i, _ROOT))
+            gone.append(tuple(other))
+            share = min(1.0, sum(math.exp(lattices.path_log(path)) for path in gone))
+            rest = -math.expm1(math.log(share)) if share > 0 else 1.0
+            value = -math.inf
+            if rest > 1e-15:
+                location = float(logs[j][a:a + i].sum()) + math.log(rest)
+                u = uniform_one(seeds[t], _number(new + k, i, _ROOT))
+                value = location - math.log(math.exp(min(location - top, 700.0)) - math.log(u))
+            values[j][a + i] = value
+            best[j, t] = values[j][a:b].max()
+            cut = tail_offsets.item(a + i + 1)
+            joined = np.concatenate([edges[:lo], np.array(other, np.int64), tail_edges[cut:tail_offsets.item(b)]])
+            moved = np.concatenate([offsets[:i + 1], tail_offsets[a + i + 1:b + 1] - cut + (lo + len(other))])
+            paths[t].append((joined, moved))
+            log[a:a + i] = logs[j][a:a + i]
+            log[a + i] = chance
+            log[a + i + 1:b] = tail_log[a + i + 1:b]
+            after[t] = i + 1
+        expand(log, after, most)
+    out, limits = [], best.max(axis=0).tolist()
+    for t, (a, b) in enumerate(bounds):
+        rows, limit = [], limits[t]
+        for m, (edges, _) in enumerate(paths[t]):
+            total = float(logs[m][a:b].sum())
+            gap = total - limit
+            share = 0.0 if limit == -math.inf else gap if gap < -30 else math.log(-math.expm1(-math.exp(min(gap, 700.0))))
+            rows.append((edges, total, share))
+        out.append(rows)
     return out
 
 
@@ -249,23 +348,32 @@ def _tokens(edges: np.ndarray, flat: np.ndarray, begin: np.ndarray) -> np.ndarra
 
 def sample_texts(keys: list[int], texts: list[str], pieces: Pieces, lookup: Lookup, k: int, alpha: float) -> list[list[tuple[np.ndarray, float, float]]]:
     """For every text up to k of (token ids, log chance, log inclusion)."""
-    split = splitter(pieces)
-    parts = [split.findall(escape(t)) for t in texts]
-    distinct = sorted(set().union(*parts)) if parts else []
-    number = {w: n for n, w in enumerate(distinct)}
-    lattices = Lattices(distinct, pieces, lookup, alpha)
-    words = np.array([number[w] for part in parts for w in part], np.int64)
-    counts = np.array([len(p) for p in parts], np.int64)
+    flat, begin, counts = pretokens(texts, lookup)
+    size = np.diff(begin)
+
+    def same(number: np.ndarray, first: np.ndarray) -> np.ndarray:
+        if (size != size[first[number]]).any():
+            return np.zeros(1, bool)
+        return flat == flat[np.arange(len(flat)) + np.repeat(begin[first[number]] - begin[:-1], size)]
+
+    words, first = distinct(flat, begin[:-1], size, same)
+    start = np.concatenate([[0], np.cumsum(size[first])])
+    flat = flat[np.arange(start[-1]) + np.repeat(begin[first] - start[:-1], size[first])]
+    lattices = Lattices(flat, start, pieces, lookup, alpha)
     starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(parts)), counts)
+    owner = np.repeat(np.arange(len(texts)), counts)
     place = (np.arange(len(words)) - starts[owner]).astype(np.uint64) << np.uint64(8)
     key = np.array(keys, np.uint64)
-    draws = [lattices.draw(words, key[owner], place + np.uint64(j << 40)) for j in range(k)]
-    tokens, out = _edge_tokens(lattices, pieces), []
-    for t, (a, b) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
-        fresh = [(e[o[a]:o[b]], o[a:b + 1] - o[a], log[a:b]) for e, o, log in draws]
-        out.append([(_tokens(e, *tokens), p, q) for e, p, q in best_first(lattices, words[a:b], key[t], fresh, k)])
-    return out
+    order, _ = in_order(words.astype(np.uint64), np.uint64(len(words).bit_length()))
+    draws = [lattices.draw(words, key[owner], place + np.uint64(j << 40), order) for j in range(k)]
+    found = best_first(lattices, words, starts, key, draws, k)
+    edges = [e for rows in found for e, _, _ in rows]
+    flat_edges = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+    ids, begin = _edge_tokens(lattices, pieces)
+    upto = np.concatenate([[0], np.cumsum(begin[flat_edges + 1] - begin[flat_edges])])
+    cuts = upto[np.cumsum([0, *map(len, edges)])].tolist()
+    ids, row = _tokens(flat_edges, ids, begin), iter(zip(cuts, cuts[1:]))
+    return [[(ids[slice(*next(row))], p, q) for _, p, q in rows] for rows in found]
 
 
 def sample_segmentations(docs: DataFrame, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, model_path: str = MODEL_PATH,

@@ -34,14 +34,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from codegauge.llm.words import SPACES, chain, joined_words, mix, plain_words, runs, slices, split_words
+from codegauge.llm.words import SPACES, chain, joined_words, mix, plain_words, runs, slices, split_words, stretches
 from codegauge.session import scratch_path
 
 WINDOW = 20
 #: Words that one automaton holds on average; an anchor with more than a quarter of it is dealt by windows.
 SHARD_WORDS = 1 << 16
 _PACK = 4096  # a piece's place: first word * _PACK + number of words
-_BASE = 0xD1342543DE82EF95
 
 
 def _first_smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,20 +67,6 @@ def _grams(hashes: np.ndarray, group: int) -> np.ndarray:
     return grams
 
 
-def _stretches(hashes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function from starts and numbers of words to the hashes of these stretches."""
-    n = len(hashes)
-    power = np.full(n + 1, _BASE, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * power[1:], out=total[1:])
-    inverse = np.full(n + 1, pow(_BASE, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    return lambda start, words: mix((total[start + words] - total[start]) * inverse[start] + words.astype(np.uint64))
-
-
 def find_pieces(number: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Text, first word in the slice, number of words, anchor hash and content hash of every piece."""
     group = _anchor_words(window)
@@ -94,7 +79,7 @@ def find_pieces(number: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np
     first, last = runs(anchor[whole])
     start, words = whole[first], whole[last - 1] - whole[first] + window
     # windows of two texts never share an anchor's place, since an anchor lies inside its window
-    return number[start], start, words, grams[anchor[start]], _stretches(hashes)(start, words)
+    return number[start], start, words, grams[anchor[start]], stretches(hashes)(start, words)
 
 
 def sides(found: pa.Array, offsets: np.ndarray, anchor: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +96,7 @@ def sides(found: pa.Array, offsets: np.ndarray, anchor: np.ndarray, window: int)
     hits = np.flatnonzero(grams == anchor.view(np.uint64)[owner[:len(grams)]])
     at = hits[np.searchsorted(owner[hits], np.arange(pieces))]  # all windows hold the anchor's first place
     begin, end = offsets[:-1], offsets[1:]
-    last, stretch = at - near, _stretches(hashes)
+    last, stretch = at - near, stretches(hashes)
 
     def key(some: np.ndarray, start: np.ndarray, side: int) -> np.ndarray:
         out = np.zeros(pieces, np.uint64)

@@ -59,6 +59,15 @@ def chain(first: np.ndarray, then: np.ndarray) -> np.ndarray:
     return mix(first * _MULT + then)
 
 
+def stretches(hashes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from starts and numbers of items to the hashes of these stretches."""
+    n = len(hashes)
+    power, inverse = _powers(_ODD, n + 1), _powers(_ODD_INVERSE, n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * power[1:], out=total[1:])
+    return lambda start, size: mix((total[start + size] - total[start]) * inverse[start] + size.astype(np.uint64))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of a string column and the offsets of each text; null is empty."""
     column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
