@@ -48,20 +48,28 @@ def in_order(keys: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]
 def distinct(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A number for each stretch of characters, equal ones sharing theirs, and for each number its first stretch, in their order.
 
-    Stretches are matched by the upper bits of hashes; `same` tells from the numbers and first stretches whether that was right, else none are shared."""
+    Stretches are matched by the upper bits of hashes; `same` tells from the numbers and first stretches whether that was right. If it was not,
+    the whole hashes are tried; if these fail too, none are shared."""
     hashes = stretches(mix(flat.astype(np.uint64)))(begin, size)
-    bits = np.uint64(len(hashes).bit_length())
-    order, high = in_order(hashes >> bits, bits)
-    new = np.ones(len(order), bool)
-    new[1:] = high[1:] != high[:-1]
-    first = order[new]
-    by = np.argsort(first)
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.arange(len(by))
-    number = np.empty(len(order), np.int64)
-    number[order] = rank[np.cumsum(new) - 1]
-    first = first[by]
-    return (number, first) if same(number, first).all() else (np.arange(len(order)),) * 2
+    for whole in (False, True):
+        if whole:
+            order = np.argsort(hashes, kind="stable")
+            keys = hashes[order]
+        else:
+            bits = np.uint64(len(hashes).bit_length())
+            order, keys = in_order(hashes >> bits, bits)
+        new = np.ones(len(order), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        first = order[new]
+        by = np.argsort(first)
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        number = np.empty(len(order), np.int64)
+        number[order] = rank[np.cumsum(new) - 1]
+        first = first[by]
+        if same(number, first).all():
+            return number, first
+    return (np.arange(len(hashes)),) * 2
 
 
 class Lattices:

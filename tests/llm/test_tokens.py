@@ -94,3 +94,30 @@ def test_texts_with_few_segmentations_give_all(pieces):
         if every:
             assert {tuple(x[0].tolist()) for x in found} == every and math.isclose(sum(math.exp(x[1]) for x in found), 1, rel_tol=1e-6)
     assert np.isfinite(p.load_pieces().unknown)
+
+
+ODD = ["", "▁ x  y\n\n\tz \x00 \U0001F600é", "  two  blanks ", "ends ▁▁", "\n", " ", "nospace" * 40, "漢字 and words", "walking talking walking"]
+
+
+def test_pretokens_are_those_of_the_splitter(pieces):
+    split, texts = p.splitter(pieces), ODD + ["".join(random.Random(k).choices(" ▁a\né.", k=200)) for k in range(20)]
+    flat, begin, counts = p.pretokens(texts, p.Lookup(pieces))
+    joined = flat.tobytes().decode("utf-32-le", "surrogatepass")
+    found = [joined[a:b] for a, b in zip(begin.tolist(), begin[1:].tolist())]
+    wanted = [split.findall(p.escape(t)) for t in texts]
+    assert found == sum(wanted, []) and counts.tolist() == [len(w) for w in wanted]
+
+
+def test_equal_endings_share_nodes_and_a_wrong_match_changes_no_sample(pieces, monkeypatch):
+    lookup = p.Lookup(pieces)
+    flat, start = p.code_points(["▁walking", "▁talking", "king", "▁walking"])
+    lattices = s.Lattices(flat, start, pieces, lookup, 0.3)
+    endings = {w[k:] for w in ["▁walking", "▁talking"] for k in range(len(w))}
+    assert lattices.end == len(endings) and lattices.base[0] == lattices.base[3]
+    keys = list(range(len(ODD)))
+    plain = [[(ids.tolist(), a, b) for ids, a, b in rows] for rows in s.sample_texts(keys, ODD, pieces, lookup, 3, 0.3)]
+    monkeypatch.setattr(s, "stretches", lambda hashes: lambda begin, size: np.zeros(len(begin), np.uint64))  # all stretches seem equal
+    again = [[(ids.tolist(), a, b) for ids, a, b in rows] for rows in s.sample_texts(keys, ODD, pieces, lookup, 3, 0.3)]
+    for one, two in zip(plain, again, strict=True):
+        assert [x[0] for x in one] == [x[0] for x in two]
+        assert np.allclose([x[1:] for x in one], [x[1:] for x in two], atol=1e-9)
