@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+from pyspark import RDD
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from codegauge.functions import ngrams as N
-from codegauge.operators import bundles, corpus, evaluation, textvec
-from codegauge.session import ensure_checkpoint_dir
+from codegauge.operators import boosting, bundles, corpus, evaluation, textvec
 from codegauge.sources.folders import Folder
 
 TREES, DEPTH, RATE, SEED = 120, 4, 0.1, 42
 TOLERANCE = 1e-4
-#: Text bytes, rows and tree bins of a training task at most.
-TEXT_BYTES, ROWS, BINS = 4 << 20, 1 << 15, 1 << 25
+#: Text bytes and rows of a task that makes vectors, and cells of a task of the trees at most.
+TEXT_BYTES, ROWS, CELLS = 4 << 20, 1 << 15, 1 << 26
 VERSION, DONE = "version-", "done-"
 
 
@@ -53,29 +54,32 @@ def train_advanced(train: DataFrame, trees: int = TREES, depth: int = DEPTH) ->
     """Boosted trees on 2-5 grams. All terms of the vocabulary take part: terms that never meet share a
     column, which bounds the cost of a split search (`codegauge.operators.bundles`)."""
     lo, hi, k = textvec.ADVANCED
-    ensure_checkpoint_dir(train.sparkSession)
     vectoriser = textvec.fit_text_vectors(train, lo, hi, k, output="wide")
     lowered, counter, scaler = vectoriser.stages
-    train, n, parts = _spread(train.select("text", F.col("has_bug").cast("double").alias("label")))
+    train, n, _ = _spread(train.select("text", F.col("has_bug").cast("double").alias("label")))
     # the scaler replaces the counts it reads, so they are kept under another name for the signatures
     counted = counter.transform(lowered.transform(train))
     rows = scaler.transform(counted.select("label", F.xxhash64("text").alias("key"), "_counts", F.col("_counts").alias("counts")))
-    rows = rows.select("label", "key", "counts", "wide").persist(StorageLevel.DISK_ONLY)
+    packed = bundles.pack(rows.select("label", "key", "counts", "wide")).persist(StorageLevel.DISK_ONLY)
     try:
         slots = min(bundles.SLOTS, n)
-        bundler = bundles.fit_bundles(rows, len(counter.vocabulary), levels=max(1, min(bundles.LEVELS, slots - 1)), slots=slots)
-        binned = bundler.transform(rows).select("label", "features")
-        # the trees hold a number per row and bundle: no task gets more of them than fit well
-        needed = -(-n * len(bundler.getOrDefault(bundler.sizes)) // BINS)
-        if needed > parts:
-            binned = binned.repartition(needed)
-        fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=RATE, seed=SEED, maxBins=bundles.SLOTS,
-                               checkpointInterval=10).fit(binned)
+        bundler, usual, cells = bundles.fit_packed(packed, len(counter.vocabulary), levels=max(1, min(bundles.LEVELS, slots - 1)), slots=slots)
+        shape = boosting.Shape(np.array(bundler.getOrDefault(bundler.sizes), np.int64), np.array(usual, np.int64))
+        tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-cells // CELLS))
+        grown = boosting.grow_trees(_binned(packed, bundler, shape).coalesce(tasks), shape, trees, depth, RATE)
     finally:
-        rows.unpersist()
+        packed.unpersist()
+    fitted = boosting.to_model(train.sparkSession, grown, shape, maxIter=trees, maxDepth=depth, stepSize=RATE, seed=SEED,
+                               maxBins=bundles.SLOTS)
     return PipelineModel([*vectoriser.stages, bundler, fitted])
 
 
+def _binned(packed: RDD, bundler: bundles.TermBundler, shape: boosting.Shape) -> RDD:
+    """Packed training rows as blocks of the trees."""
+    categories = bundler.categoriser()
+    return packed.map(lambda b: boosting.make_block(b.label, *categories(b.row, b.term, bundles.weights(b.weight)), shape))
+
+
 def _p_bug(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     scored = model.transform(with_text(df))
     return scored.select(*keep, vector_to_array("probability")[1].alias("p_bug"))
